@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textguard.functions.text import is_ascii, let, listed_class, range_class
+from textguard.functions.text import evaluate, is_ascii, let, listed_class, range_class
 from textguard.rules import INVISIBLE_RANGES
 
 # Characters for which NFKC is provably the identity, alone or next to each
@@ -52,6 +52,14 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfkc_each(lists: pd.Series) -> pd.Series:
+    def fold(text: str | None) -> str | None:
+        return None if text is None else unicodedata.normalize("NFKC", text)
+
+    return lists.map(lambda texts: None if texts is None else [fold(t) for t in texts])
+
+
 def strip_invisible(text: Column) -> Column:
     """Remove zero-width, bidirectional and non-printable control characters.
     Two cheap tests spare clean text the replacement."""
@@ -102,7 +110,18 @@ def with_normalized(
     ``compatibility=False`` leaves NFKC out and keeps the plan free of Python;
     use it only for text that is known to be NFKC-stable.
     """
-    out = df.withColumn(output, strip_invisible(F.col(text)))
-    if compatibility:
-        out = out.withColumn(output, nfkc(F.col(output)))
-    return out.withColumn(output, collapse_whitespace(lower(F.col(output))))
+    if not compatibility:
+        return df.withColumn(output, collapse_whitespace(lower(strip_invisible(F.col(text)))))
+    stripped = evaluate(df, output, strip_invisible(F.col(text)))
+    return stripped.withColumn(output, collapse_whitespace(lower(nfkc(F.col(output)))))
+
+
+def with_normalized_each(df: DataFrame, texts: str, output: str) -> DataFrame:
+    """:func:`with_normalized` for every element of an array of texts, in
+    place: a row with all its messages is neither exploded nor regrouped."""
+    stripped = evaluate(df, output, F.transform(texts, strip_invisible))
+    dirty = F.exists(output, lambda t: F.coalesce(needs_nfkc(t), F.lit(False)))
+    folded = F.coalesce(_nfkc_each(F.when(dirty, F.col(output))), F.col(output))
+    return stripped.withColumn(
+        output, F.transform(folded, lambda t: collapse_whitespace(lower(t)))
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def evaluate(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that is computed exactly once per row.
+
+    The optimizer copies the definition of a plain column into every filter
+    that it pushes below it, and again into the columns derived from it. It
+    does neither across a generator.
+    """
+    others = [c for c in df.columns if c != name]
+    return df.select(*others, F.explode(F.array(value)).alias(name))
+
+
 def fill(template: str, *args: Column) -> Column:
     return F.format_string(template, *args)
 

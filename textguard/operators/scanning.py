@@ -15,12 +15,13 @@ from textguard import rules
 from textguard.functions import injection, pii
 from textguard.functions.normalize import with_normalized
 from textguard.functions.spans import byte_offset
+from textguard.functions.text import evaluate
 
 
 def with_pii(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
     """Add the merged sensitive spans. They are a column of their own so that
     redaction, findings and verdict do not repeat the regular expressions."""
-    return df.withColumn(spans, pii.pii_spans(F.col(text)))
+    return evaluate(df, spans, pii.pii_spans(F.col(text)))
 
 
 def with_injection(
@@ -33,7 +34,7 @@ def with_injection(
     """Add the injection findings of every row."""
     scan = with_normalized(df, text, "_normalized", compatibility)
     found = injection.injection_findings(F.col(text), F.col("_normalized"), phrases)
-    return scan.withColumn(findings, found).drop("_normalized")
+    return evaluate(scan, findings, found).drop("_normalized")
 
 
 def redact_table(df: DataFrame, text: str = "text") -> DataFrame:

@@ -8,9 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textguard import rules
-from textguard.functions import injection, normalize, pii, spans
-from textguard.operators import scanning
-from textguard.plans.inputs import prompts, table
+from textguard.functions import injection, normalize, pii, policy
+from textguard.functions.embed import embed_text
+from textguard.functions.errors import classify, envelope
+from textguard.functions.sse import json_string
+from textguard.operators import audit, chat, profile, retrieval, scanning, streams
+from textguard.operators import policy as policy_ops
+from textguard.operators.rate_limit import rate_limit
+from textguard.plans import chat as jobs
+from textguard.plans import inputs
+from textguard.plans.inputs import chunks, prompts, requests, responses, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -220,3 +227,385 @@ def simple_prompt_guard(spark, sf):
         "verdict.category",
         scanning.sanitized_text(F.col("text"), v).alias("sanitized"),
     )
+
+
+# --- streamed responses -------------------------------------------------------------
+@query
+def sse_deltas(spark, sf):
+    return streams.chunk_deltas(chunks(spark, sf))
+
+
+@query
+def stream_windows(spark, sf):
+    return streams.delta_windows(chunks(spark, sf)).select("stream_id", "seq", "line", "scan")
+
+
+@query
+def stream_decisions(spark, sf):
+    return streams.stream_decisions(chunks(spark, sf))
+
+
+@query
+def stream_output(spark, sf):
+    return streams.stream_output(chunks(spark, sf))
+
+
+@query
+def stream_kills(spark, sf):
+    return streams.stream_ends(chunks(spark, sf))
+
+
+@query
+def stream_summary(spark, sf):
+    return streams.stream_summary(chunks(spark, sf))
+
+
+# --- requests and policy -----------------------------------------------------------------
+ALLOWED = [t.strip() for t in inputs.ALLOWED_TOOLS.split(",") if t.strip()]
+ALLOWLIST = [inputs.BASE_URL, rules.RAG_TARGET]
+
+
+def _parsed(spark: SparkSession, sf: str) -> DataFrame:
+    return policy_ops.parse_bodies(requests(spark, sf))
+
+
+@query
+def chat_requests(spark, sf):
+    p = F.col("payload")
+    return _parsed(spark, sf).select(
+        "request_id",
+        p.isNotNull().alias("readable"),
+        policy.is_object(p).alias("is_object"),
+        json_string(p, "$.model").alias("model"),
+        F.size(policy.members(p, "$.messages")).alias("n_messages"),
+        F.size(policy.members(p, "$.tools")).alias("n_tools"),
+    )
+
+
+@query
+def message_validation(spark, sf):
+    err = policy.messages_error(F.col("payload"))
+    readable = _parsed(spark, sf).where(F.col("payload").isNotNull())
+    return readable.select("request_id", err["code"].alias("code"), err["message"].alias("message"))
+
+
+@query
+def default_model(spark, sf):
+    readable = _parsed(spark, sf).where(F.col("payload").isNotNull())
+    return readable.select("request_id", policy.model_name(F.col("payload")).alias("model"))
+
+
+@query
+def tool_shape(spark, sf):
+    err = policy.tools_shape_error(F.col("payload"))
+    return _parsed(spark, sf).select("request_id", err["message"].alias("message"))
+
+
+@query
+def tool_allowlist(spark, sf):
+    names = F.explode(policy.split_list(F.lit(inputs.ALLOWED_TOOLS))).alias("name")
+    allowed = spark.range(1).select(names)
+    tools = policy_ops.requested_tools(_parsed(spark, sf), ["request_id"])
+    return policy_ops.denied_tools(tools, allowed)
+
+
+@query
+def governance_targets(spark, sf):
+    """Sites that are served over https anywhere are on the allowlist."""
+    pages = table(spark, sf, "pages")
+    site = F.regexp_extract("url", "^(https?)://([^/]+)", 2)
+    targets = pages.select("page_id", site.alias("target"))
+    secure = pages.where(F.startswith("url", F.lit("https://"))).select(site.alias("target"))
+    out = policy_ops.governed_targets(targets, secure, rules.CAT_MCP)
+    return out.select("page_id", "target", "error")
+
+
+@query
+def url_policy(spark, sf):
+    urls = table(spark, sf, "pages").select("page_id", F.expr(inputs.SEEDED_URL).alias("url"))
+    return urls.select(
+        "page_id",
+        policy.url_block_reason(F.col("url")).alias("reason"),
+        policy.url_block_reason(F.col("url"), allow_localhost=False).alias("strict_reason"),
+    )
+
+
+@query
+def rate_limit_by_user(spark, sf):
+    events = table(spark, sf, "events").select("event_id", "user_id", "ts")
+    limited = rate_limit(events, "user_id", "ts", "event_id", 3, 86400)
+    return limited.select("event_id", "user_id", "accepted")
+
+
+@query
+def rate_limit_global(spark, sf):
+    events = table(spark, sf, "events").select("event_id", F.lit(0).alias("key"), "ts")
+    return rate_limit(events, "key", "ts", "event_id", 20, 3600).select("event_id", "accepted")
+
+
+@query
+def error_envelopes(spark, sf):
+    kind = F.expr(inputs.ERROR_KIND)
+    message = F.concat(F.lit("event "), F.col("event_id"))
+    err = classify(kind, message, F.initcap("event_type"))
+    events = table(spark, sf, "events").select("event_id", err.alias("err"))
+    return events.where(F.col("err").isNotNull()).select(
+        "event_id", "err.code", "err.type", envelope(F.col("err")).alias("body")
+    )
+
+
+@query
+def empty_prompts(spark, sf):
+    err = policy.empty_prompt_error(F.expr(inputs.BLANK_PROMPT))
+    return prompts(spark, sf).select("prompt_id", err["message"].alias("message"))
+
+
+def _decided(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.decide_requests(
+        requests(spark, sf), inputs.BASE_URL, ALLOWLIST, True, ALLOWED, rag_enabled=True
+    )
+
+
+@query
+def request_decisions(spark, sf):
+    return _decided(spark, sf).select(
+        "request_id",
+        "error.kind",
+        "error.code",
+        "error.message",
+        "error.category",
+        "model",
+        "streaming",
+        "injection_detected",
+        F.col("blocked_index").cast("int").alias("blocked_index"),
+        "inbound_redactions",
+        "unscanned",
+    )
+
+
+@query
+def rag_gate(spark, sf):
+    """Retrieval is switched on but not on the allowlist."""
+    decided = jobs.decide_requests(
+        requests(spark, sf), inputs.BASE_URL, [inputs.BASE_URL], True, ALLOWED, rag_enabled=True
+    )
+    return decided.groupBy("error.category").agg(F.count("*").alias("requests"))
+
+
+@query
+def governance_default_deny(spark, sf):
+    """Nothing is on the allowlist: all that gets as far as governance is denied."""
+    decided = jobs.decide_requests(requests(spark, sf), inputs.BASE_URL, [], True, ALLOWED)
+    return decided.groupBy("error.message").agg(F.count("*").alias("requests"))
+
+
+@query
+def sanitized_requests(spark, sf):
+    out = jobs.sanitize_requests(_decided(spark, sf)).where(F.col("upstream_body").isNotNull())
+    messages = policy.members(F.try_parse_json("upstream_body"), "$.messages")
+    rows = out.select("request_id", F.posexplode(messages).alias("idx", "m"))
+    return rows.select(
+        "request_id",
+        "idx",
+        json_string(F.col("m"), "$.role").alias("role"),
+        json_string(F.col("m"), "$.content").alias("content"),
+    )
+
+
+@query
+def response_redaction(spark, sf):
+    out = chat.redact_responses(responses(spark, sf))
+    return out.select(
+        "request_id",
+        "status",
+        "redacted_choices",
+        "response_findings",
+        chat.response_text(F.col("out_body")).alias("content"),
+    )
+
+
+@query
+def simple_chat_requests(spark, sf):
+    asked = prompts(spark, sf).select(
+        "prompt_id",
+        F.expr(inputs.BLANK_PROMPT).alias("prompt"),
+        F.when(F.col("prompt_id") % 3 == 0, "m9").alias("model"),
+        F.expr(inputs.AUTH_OK).alias("auth_ok"),
+    )
+    out = jobs.simple_chat(asked, inputs.BASE_URL, ALLOWLIST)
+    return out.select(
+        "prompt_id", "error.code", "error.message", "error.category", "model", "final_prompt"
+    )
+
+
+# --- audit, metrics and latency -------------------------------------------------------------
+def _chat(spark: SparkSession, sf: str) -> DataFrame:
+    ends = streams.stream_ends(chunks(spark, sf)).select(
+        F.col("stream_id").alias("prompt_id"), "status"
+    )
+    ends = inputs.with_request_id(ends).select("request_id", "status")
+    decided = jobs.sanitize_requests(_decided(spark, sf))
+    return jobs.decide_chat(decided, responses(spark, sf), ends)
+
+
+@query
+def audit_records(spark, sf):
+    return audit.audit_records(_chat(spark, sf))
+
+
+@query
+def gateway_counters(spark, sf):
+    return audit.counters(_chat(spark, sf))
+
+
+@query
+def prometheus_text(spark, sf):
+    return audit.prometheus_lines(audit.counters(_chat(spark, sf)))
+
+
+@query
+def metrics_windows(spark, sf):
+    minute = F.date_format(F.window("ts", "1 minute")["start"], "yyyy-MM-dd HH:mm:ss")
+    return audit.counters(_chat(spark, sf).withColumn("window_start", minute), ["window_start"])
+
+
+@query
+def outcome_breakdown(spark, sf):
+    return audit.outcome_breakdown(audit.audit_records(_chat(spark, sf)))
+
+
+@query
+def latency_profile(spark, sf):
+    events = table(spark, sf, "events")
+    samples = events.select("event_type", F.round(F.col("value") * 100).cast("bigint").alias("latency_us"))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = (F.max(micros) - F.min(micros)) / 1e6
+    durations = events.groupBy("event_type").agg(span.alias("duration_s"))
+    out = profile.latency_percentiles(samples, ["event_type"])
+    out = profile.with_throughput(out, durations, ["event_type"])
+    return out.withColumn("throughput_rps", F.round("throughput_rps", 9)).drop("duration_s")
+
+
+# --- retrieval --------------------------------------------------------------------------------
+def _corpus(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf).select("doc_id", "text")
+    return docs.withColumn("embedding", embed_text(F.col("text"), inputs.EMBED_DIM))
+
+
+def _vectors(spark: SparkSession, sf: str, key: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias(key), "embedding")
+
+
+def _centroids(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean vector of every label: as many queries as there are labels."""
+    parts = table(spark, sf, "embeddings").select(
+        F.col("label").cast("bigint").alias("query_id"), F.posexplode("embedding").alias("i", "x")
+    )
+    means = parts.groupBy("query_id", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    ordered = F.array_sort(F.collect_list(F.struct("i", "x")))
+    return means.groupBy("query_id").agg(F.transform(ordered, lambda v: v["x"]).alias("embedding"))
+
+
+def _rounded(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("distance", F.round("distance", 6))
+
+
+@query
+def embed_documents(spark, sf):
+    values = F.posexplode("embedding").alias("idx", "x")
+    return (
+        _corpus(spark, sf)
+        .select("doc_id", values)
+        .select("doc_id", "idx", F.round("x", 6).alias("x"))
+    )
+
+
+@query
+def ingest_documents(spark, sf):
+    """Documents as files, ids after those of the pages that are there already."""
+    files = _documents(spark, sf).select(
+        F.concat(F.lit("docs/"), "doc_id", F.lit(".txt")).alias("path"), "text"
+    )
+    store = table(spark, sf, "pages").select(
+        F.col("page_id").alias("doc_id"), F.col("html").alias("text")
+    )
+    new = retrieval.ingest(files, store, inputs.EMBED_DIM)
+    return new.select(
+        "doc_id",
+        F.md5("text").alias("text_md5"),
+        F.size("embedding").alias("dim"),
+    )
+
+
+@query
+def vector_topk(spark, sf):
+    hits = retrieval.vector_topk(_centroids(spark, sf), _vectors(spark, sf, "doc_id"), 10)
+    return _rounded(hits)
+
+
+@query
+def vector_topk_all(spark, sf):
+    vectors = _vectors(spark, sf, "query_id")
+    return _rounded(retrieval.vector_topk_blocks(vectors, _vectors(spark, sf, "doc_id"), 5))
+
+
+@query
+def vector_topk_lsh(spark, sf):
+    vectors = _vectors(spark, sf, "query_id")
+    return _rounded(retrieval.vector_topk_lsh(vectors, _vectors(spark, sf, "doc_id"), 64, 5))
+
+
+@query
+def doc_lookup(spark, sf):
+    hits = retrieval.vector_topk(_centroids(spark, sf), _vectors(spark, sf, "doc_id"), 10)
+    found = retrieval.with_texts(hits, _documents(spark, sf))
+    return found.select("query_id", "rank", "doc_id", F.md5("text").alias("text_md5"))
+
+
+def _searched(spark: SparkSession, sf: str) -> DataFrame:
+    asked = prompts(spark, sf).select(F.col("prompt_id").alias("query_id"), "text")
+    return retrieval.search_text(asked, _corpus(spark, sf), rules.TOP_K, inputs.EMBED_DIM)
+
+
+@query
+def search_text(spark, sf):
+    return _rounded(_searched(spark, sf)).drop("text")
+
+
+@query
+def simple_context(spark, sf):
+    found = retrieval.contexts(_searched(spark, sf)).withColumnRenamed("query_id", "prompt_id")
+    final = retrieval.simple_context(F.col("context"), F.col("text"))
+    return (
+        prompts(spark, sf)
+        .join(found, "prompt_id", "left")
+        .select("prompt_id", F.md5(final).alias("prompt_md5"), F.length(final).alias("n_chars"))
+    )
+
+
+@query
+def last_user_message(spark, sf):
+    scanned = chat.inspect_messages(_parsed(spark, sf).where(F.col("payload").isNotNull()))
+    text = chat.last_user_text(F.col("payload"), F.col("sanitized"))
+    return scanned.select("request_id", text.alias("text"))
+
+
+@query
+def last_user_turn(spark, sf):
+    turns = table(spark, sf, "conversations").where("role = 'user'")
+    return turns.groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
+
+
+@query
+def chat_context(spark, sf):
+    out = jobs.enrich_requests(
+        _decided(spark, sf), _corpus(spark, sf), rules.TOP_K, inputs.EMBED_DIM
+    ).where(F.col("upstream_body").isNotNull())
+    body = F.try_parse_json("upstream_body")
+    return out.select(
+        "request_id",
+        "rag_retrieval_performed",
+        F.size(policy.members(body, "$.messages")).alias("n_messages"),
+        json_string(body, "$.messages[0].role").alias("first_role"),
+        F.md5(F.coalesce(json_string(body, "$.messages[0].content"), F.lit(""))).alias("first_md5"),
+    )

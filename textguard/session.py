@@ -12,6 +12,8 @@ SETTINGS: dict[str, str] = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # building plans is much quicker without a call site for every expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # stateful streaming operators need a store with column families
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
