@@ -335,5 +335,393 @@ def stream_sql() -> dict[str, str]:
     }
 
 
+# --- requests -----------------------------------------------------------------------------
+REQUEST_ID = f"coalesce({inputs.HEADER_ID}, 'req-' || lpad(CAST(prompt_id AS VARCHAR), 10, '0'))"
+_TOOLS_OK = [t.strip() for t in inputs.ALLOWED_TOOLS.split(",") if t.strip()]
+_ROLE_LIST = ", ".join(q(r) for r in rules.ROLES)
+
+REQUESTS = f"""{PROMPTS},
+bodies AS (
+  SELECT prompt_id AS id, {REQUEST_ID} AS request_id, {inputs.AUTH_OK} AS auth_ok,
+         ({inputs.BODY_HEAD}) || CASE WHEN {inputs.BODY_HAS_MESSAGE}
+           THEN CAST(json_object('role', 'user', 'content', text) AS VARCHAR) ELSE '' END
+         || ({inputs.BODY_TAIL}) AS body
+  FROM prompts),
+req AS (SELECT id, request_id, auth_ok, json_valid(body) AS readable,
+               CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS j FROM bodies),
+raw_msgs AS (
+  SELECT id, unnest(range(0, CAST(json_array_length(j, '$.messages') AS BIGINT))) AS idx, j
+  FROM req WHERE json_type(j, '$.messages') = 'ARRAY'),
+msgs AS (
+  SELECT id, CAST(idx AS INT) AS idx, json_extract(j, '$.messages[' || idx || ']') AS m FROM raw_msgs),
+msgf AS (
+  SELECT id, idx, CASE WHEN json_type(m, '$.role') = 'VARCHAR' THEN json_extract_string(m, '$.role') END AS role,
+         json_type(m, '$.content') AS ctype,
+         CASE WHEN json_type(m, '$.content') = 'VARCHAR' THEN json_extract_string(m, '$.content') END AS content
+  FROM msgs),
+raw_tools AS (
+  SELECT id, unnest(range(0, CAST(json_array_length(j, '$.tools') AS BIGINT))) AS idx, j
+  FROM req WHERE json_type(j, '$.tools') = 'ARRAY'),
+tools AS (
+  SELECT id, CAST(idx AS INT) AS idx,
+         json_extract_string(j, '$.tools[' || idx || '].type') AS type,
+         CASE WHEN json_type(j, '$.tools[' || idx || '].function.name') = 'VARCHAR'
+              THEN json_extract_string(j, '$.tools[' || idx || '].function.name') END AS name
+  FROM raw_tools),
+tool_err AS (
+  SELECT id, first(msg ORDER BY idx) AS msg, first(denied ORDER BY idx) AS denied FROM (
+    SELECT id, idx, CASE WHEN type IS DISTINCT FROM 'function' THEN {q(rules.MSG_TOOL_TYPE)}
+                    WHEN name IS NULL THEN {q(rules.MSG_TOOL_NAME)}
+                    WHEN name NOT IN ({', '.join(q(t) for t in _TOOLS_OK)})
+                      THEN 'Tool ''' || name || ''' is not in the allowed tools list' END AS msg,
+           type = 'function' AND name IS NOT NULL AS denied
+    FROM tools) WHERE msg IS NOT NULL GROUP BY id
+  UNION ALL
+  SELECT id, {q(rules.MSG_TOOLS_ARRAY)}, false FROM req
+  WHERE json_type(j, '$.tools') IS NOT NULL AND json_type(j, '$.tools') <> 'ARRAY'),
+msg_first AS (
+  SELECT id, first(msg ORDER BY idx) AS msg FROM (
+    SELECT id, idx, CASE WHEN role IS NULL OR role NOT IN ({_ROLE_LIST})
+                           THEN 'Message at index ' || idx || ' has an invalid or missing role'
+                         WHEN ctype IS NULL THEN 'Message at index ' || idx || ' is missing content' END AS msg
+    FROM msgf) WHERE msg IS NOT NULL GROUP BY id),
+msg_err AS (
+  SELECT r.id, CASE WHEN json_type(r.j) <> 'OBJECT' THEN {q(rules.MSG_OBJECT)}
+                    WHEN coalesce(json_type(r.j, '$.messages'), '') <> 'ARRAY'
+                      OR json_array_length(r.j, '$.messages') = 0 THEN {q(rules.MSG_MESSAGES)}
+                    ELSE f.msg END AS msg
+  FROM req r LEFT JOIN msg_first f ON f.id = r.id WHERE r.readable),
+model AS (
+  SELECT id, coalesce(nullif(CASE WHEN json_type(j, '$.model') = 'VARCHAR'
+                                  THEN json_extract_string(j, '$.model') END, ''), {q(rules.DEFAULT_MODEL)}) AS model,
+         coalesce(json_type(j, '$.stream') = 'BOOLEAN' AND json_extract_string(j, '$.stream') = 'true', false) AS streaming
+  FROM req WHERE readable)"""
+
+# allowlist: upstream, retrieval or both
+def _decided(upstream_ok: bool, rag_ok: bool) -> str:
+    governance = "NULL" if upstream_ok else q(rules.MSG_GOVERNANCE % (rules.CAT_NETWORK, inputs.BASE_URL))
+    rag = "NULL" if rag_ok else q(rules.MSG_GOVERNANCE % (rules.CAT_RAG, rules.RAG_TARGET))
+    return f"""{REQUESTS},
+ruled AS (
+  SELECT r.id, r.request_id, r.readable,
+         CASE WHEN NOT readable THEN 'bad_request' WHEN NOT auth_ok THEN 'security_blocked'
+              WHEN {governance} IS NOT NULL THEN 'security_blocked'
+              WHEN t.msg IS NOT NULL THEN CASE WHEN t.denied THEN 'security_blocked' ELSE 'bad_request' END
+              WHEN m.msg IS NOT NULL THEN 'bad_request' END AS kind,
+         CASE WHEN NOT readable THEN 'Request body must be valid JSON' WHEN NOT auth_ok THEN {q(rules.MSG_AUTH)}
+              WHEN {governance} IS NOT NULL THEN {governance}
+              ELSE coalesce(t.msg, m.msg) END AS message,
+         CASE WHEN NOT readable THEN NULL WHEN NOT auth_ok THEN 'Authentication'
+              WHEN {governance} IS NOT NULL THEN 'NetworkAccess'
+              WHEN t.denied THEN 'ToolExecution' END AS category
+  FROM req r LEFT JOIN tool_err t ON t.id = r.id LEFT JOIN msg_err m ON m.id = r.id),
+mtext AS (
+  SELECT f.id * 1000 + f.idx AS id, f.content AS text FROM msgf f JOIN ruled r ON r.id = f.id
+  WHERE r.kind IS NULL AND f.content IS NOT NULL),
+{injection_first_ctes('mtext')},
+{redacted_ctes('mtext')},
+attack AS (
+  SELECT id // 1000 AS id, CAST(min(id % 1000) AS INT) AS blocked_index,
+         first(reason ORDER BY id) AS reason, first(category ORDER BY id) AS category
+  FROM j_first GROUP BY 1),
+inbound AS (
+  SELECT d.id // 1000 AS id, count(*) AS n FROM d_red d LEFT JOIN attack a ON a.id = d.id // 1000
+  WHERE d.n > 0 AND (a.id IS NULL OR d.id % 1000 <= a.blocked_index) GROUP BY 1),
+unscanned AS (SELECT id, count(*) AS n FROM msgf WHERE content IS NULL GROUP BY id),
+decided AS (
+  SELECT r.id, r.request_id, r.readable, r.kind IS NULL AS ruled_ok,
+         coalesce(r.kind, CASE WHEN a.id IS NOT NULL OR {rag} IS NOT NULL THEN 'security_blocked' END) AS kind,
+         coalesce(r.message, a.reason, {rag}) AS message,
+         CASE WHEN r.kind IS NOT NULL THEN r.category
+              WHEN a.id IS NOT NULL THEN CASE a.category WHEN 'prompt_injection' THEN 'PromptInjection'
+                WHEN 'jailbreak' THEN 'Jailbreak' ELSE 'MaliciousPayload' END
+              WHEN {rag} IS NOT NULL THEN 'RagPipeline' END AS category,
+         a.id IS NOT NULL AS injection_detected, a.blocked_index,
+         CAST(coalesce(i.n, 0) AS INT) AS inbound_redactions,
+         CASE WHEN r.kind IS NULL THEN CAST(coalesce(u.n, 0) AS INT) ELSE 0 END AS unscanned,
+         CASE WHEN r.kind IS NULL THEN model END AS model,
+         CASE WHEN r.kind IS NULL THEN streaming END AS streaming
+  FROM ruled r LEFT JOIN attack a ON a.id = r.id LEFT JOIN inbound i ON i.id = r.id
+  LEFT JOIN unscanned u ON u.id = r.id LEFT JOIN model ON model.id = r.id)"""
+
+
+DECIDED = _decided(True, True)
+CODE = "CASE kind WHEN 'bad_request' THEN 400 WHEN 'security_blocked' THEN 403 END"
+
+
+def policy_sql() -> dict[str, str]:
+    host = "lower(regexp_extract(u, '^[A-Za-z]+://(\\[[^]]*\\]|[^/:]*)', 1))"
+    scheme = "lower(regexp_extract(u, '^([A-Za-z]+):', 1))"
+    base = (
+        f"CASE WHEN {scheme} NOT IN ('http', 'https') THEN 'Unsupported URL scheme: ''' || {scheme} || "
+        "'''. Only http and https are allowed.' "
+        f"WHEN {host} LIKE '169.254.%' OR {host} = 'metadata.google.internal' "
+        f"THEN 'Access to cloud metadata address ''' || {host} || ''' is strictly prohibited' "
+    )
+    limited = """
+        WITH RECURSIVE ev AS (
+          SELECT event_id, {key} AS k, ts, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS rn FROM events),
+        walk AS (
+          SELECT k, rn, event_id, [ts] AS log, true AS accepted FROM ev WHERE rn = 1
+          UNION ALL
+          SELECT e.k, e.rn, e.event_id,
+                 CASE WHEN len(list_filter(w.log, lambda t: t > e.ts - INTERVAL {window} SECOND)) < {limit}
+                      THEN list_append(list_filter(w.log, lambda t: t > e.ts - INTERVAL {window} SECOND), e.ts)
+                      ELSE list_filter(w.log, lambda t: t > e.ts - INTERVAL {window} SECOND) END,
+                 len(list_filter(w.log, lambda t: t > e.ts - INTERVAL {window} SECOND)) < {limit}
+          FROM walk w JOIN ev e ON e.k = w.k AND e.rn = w.rn + 1)
+        SELECT event_id, {out}accepted FROM walk"""
+    code = {k: c for k, (c, _t) in rules.ERRORS.items()}
+    type_ = {k: t for k, (_c, t) in rules.ERRORS.items()}
+    code_case = "CASE kind" + "".join(f" WHEN {q(k)} THEN {c}" for k, c in code.items()) + " END"
+    message = f"CASE kind WHEN 'rate_limited' THEN {q(rules.MSG_RATE_LIMIT)} ELSE 'event ' || event_id END"
+    return {
+        "chat_requests": f"""WITH {REQUESTS} SELECT request_id, readable,
+              json_type(j) IS NOT NULL AND json_type(j) = 'OBJECT' AS is_object,
+              CASE WHEN json_type(j, '$.model') = 'VARCHAR' THEN json_extract_string(j, '$.model') END AS model,
+              CASE WHEN json_type(j, '$.messages') = 'ARRAY' THEN CAST(json_array_length(j, '$.messages') AS INT) END AS n_messages,
+              CASE WHEN json_type(j, '$.tools') = 'ARRAY' THEN CAST(json_array_length(j, '$.tools') AS INT) END AS n_tools
+            FROM req""",
+        "message_validation": f"""WITH {REQUESTS} SELECT request_id, CASE WHEN msg IS NOT NULL THEN 400 END AS code,
+              msg AS message FROM msg_err JOIN req ON req.id = msg_err.id""",
+        "default_model": f"WITH {REQUESTS} SELECT request_id, model FROM model JOIN req ON req.id = model.id",
+        "tool_shape": f"""WITH {REQUESTS}, e AS (
+              SELECT id, CASE WHEN type IS DISTINCT FROM 'function' THEN {q(rules.MSG_TOOL_TYPE)}
+                     WHEN name IS NULL THEN {q(rules.MSG_TOOL_NAME)} END AS msg, idx FROM tools
+              UNION ALL SELECT id, {q(rules.MSG_TOOLS_ARRAY)}, 0 FROM req
+              WHERE json_type(j, '$.tools') IS NOT NULL AND json_type(j, '$.tools') <> 'ARRAY')
+            SELECT request_id, f.msg AS message FROM req LEFT JOIN (
+              SELECT id, first(msg ORDER BY idx) AS msg FROM e WHERE msg IS NOT NULL GROUP BY id) f ON f.id = req.id""",
+        "tool_allowlist": f"""WITH {REQUESTS}, allowed AS (
+              SELECT trim(t) AS name FROM (SELECT unnest(string_split({q(inputs.ALLOWED_TOOLS)}, ',')) AS t) WHERE trim(t) <> '')
+            SELECT request_id, idx, name, 'Tool ''' || name || ''' is not in the allowed tools list' AS reason
+            FROM tools JOIN req ON req.id = tools.id
+            WHERE name IS NOT NULL AND name NOT IN (SELECT name FROM allowed)""",
+        "governance_targets": f"""WITH t AS (SELECT page_id, url, regexp_extract(url, '^(https?)://([^/]+)', 2) AS target FROM pages)
+            SELECT page_id, target, CASE WHEN target NOT IN (SELECT target FROM t WHERE starts_with(url, 'https://'))
+              THEN 'Blocked McpServer request to ''' || target || ''' by default‑deny policy' END AS error FROM t""",
+        "url_policy": f"""WITH s AS (SELECT page_id, {inputs.SEEDED_URL} AS u FROM pages)
+            SELECT page_id, {base} END AS reason,
+              {base} WHEN {host} IN ('localhost', '[::1]') OR {host} LIKE '127.%'
+                THEN 'Access to localhost ''' || {host} || ''' is disabled in current configuration' END AS strict_reason
+            FROM s""",
+        "rate_limit_by_user": limited.format(key="user_id", window=86400, limit=3, out="k AS user_id, "),
+        "rate_limit_global": limited.format(key="0", window=3600, limit=20, out=""),
+        "error_envelopes": f"""WITH e AS (SELECT event_id, event_type, {inputs.ERROR_KIND} AS kind FROM events),
+            f AS (SELECT *, {code_case} AS code, {case_map('kind', type_)} AS type, {message} AS message FROM e WHERE kind IS NOT NULL)
+            SELECT event_id, code, type, '{{"error":{{"message":"' || message || '","type":"' || type || '","code":' || code
+              || CASE WHEN kind = 'security_blocked'
+                 THEN ',"category":"' || upper(substring(event_type, 1, 1)) || substring(event_type, 2) || '"' ELSE '' END
+              || '}}}}' AS body FROM f""",
+        "empty_prompts": f"""WITH {PROMPTS}, b AS (SELECT prompt_id, {inputs.BLANK_PROMPT} AS p FROM prompts)
+            SELECT prompt_id, CASE WHEN trim({collapse_sql('p')}) = '' THEN {q(rules.MSG_EMPTY_PROMPT)} END AS message FROM b""",
+        "request_decisions": f"""WITH {DECIDED} SELECT request_id, kind, {CODE} AS code, message, category, model,
+              streaming, injection_detected, blocked_index, inbound_redactions, unscanned FROM decided""",
+        "rag_gate": f"WITH {_decided(True, False)} SELECT category, count(*) AS requests FROM decided GROUP BY category",
+        "governance_default_deny": f"""WITH {_decided(False, True)}
+            SELECT message, count(*) AS requests FROM decided GROUP BY message""",
+        "sanitized_requests": f"""WITH {DECIDED} SELECT d.request_id, m.idx, m.role,
+              coalesce(r.redacted, m.content) AS content
+            FROM decided d JOIN msgf m ON m.id = d.id LEFT JOIN d_red r ON r.id = m.id * 1000 + m.idx
+            WHERE d.kind IS NULL""",
+        "response_redaction": f"""WITH {SD}, {redacted_ctes('sd')}, p AS (SELECT id AS prompt_id, * FROM d_red)
+            SELECT {REQUEST_ID} AS request_id, {inputs.STATUS} AS status,
+              CASE WHEN {inputs.STATUS} = 200 AND n > 0 THEN 1 ELSE 0 END AS redacted_choices,
+              CASE WHEN {inputs.STATUS} = 200 THEN CAST(n AS BIGINT) ELSE 0 END AS response_findings,
+              CASE WHEN {inputs.STATUS} = 200 THEN redacted ELSE t.text END AS content
+            FROM p JOIN sd t ON t.id = p.id WHERE {inputs.HAS_RESPONSE}""",
+        "simple_chat_requests": f"""WITH {PROMPTS}, sp AS (
+              SELECT prompt_id AS id, {inputs.BLANK_PROMPT} AS text, {inputs.AUTH_OK} AS auth_ok FROM prompts),
+            {injection_first_ctes('sp')}, {redacted_ctes('sp')}, x AS (
+              SELECT s.id, s.text, CASE WHEN {collapse_sql('s.text')} = '' THEN 1 WHEN NOT auth_ok THEN 2
+                     WHEN f.id IS NOT NULL THEN 3 WHEN d.secret THEN 4 END AS step, f.reason, f.category, d.n, d.redacted
+              FROM sp s JOIN d_red d ON d.id = s.id LEFT JOIN j_first f ON f.id = s.id)
+            SELECT id AS prompt_id, CASE WHEN step = 1 THEN 400 WHEN step > 1 THEN 403 END AS code,
+              CASE step WHEN 1 THEN {q(rules.MSG_EMPTY_PROMPT)} WHEN 2 THEN {q(rules.MSG_AUTH)} WHEN 3 THEN reason
+                        WHEN 4 THEN {q(rules.REASON_SECRET)} END AS message,
+              CASE step WHEN 2 THEN 'Authentication' WHEN 3 THEN CASE category WHEN 'prompt_injection' THEN 'PromptInjection'
+                WHEN 'jailbreak' THEN 'Jailbreak' ELSE 'MaliciousPayload' END WHEN 4 THEN 'SecretLeak' END AS category,
+              CASE WHEN id % 3 = 0 THEN 'm9' ELSE {q(rules.DEFAULT_MODEL)} END AS model,
+              CASE WHEN step IS NULL THEN CASE WHEN n > 0 THEN redacted ELSE text END END AS final_prompt
+            FROM x""",
+    }
+
+
+# --- audit, metrics and latency ------------------------------------------------------------
+# the stream CTEs reuse names of the request CTEs: rename their scan prefixes
+_STREAM_CTES = STREAM_ENDS.replace(SEEDED + ",", "", 1)
+for _cte in ("d", "j"):
+    _STREAM_CTES = _STREAM_CTES.replace(f"{_cte}_", f"s{_cte}_")
+for _n in range(1, 9):
+    _STREAM_CTES = _STREAM_CTES.replace(f"d{_n}", f"sd{_n}")
+CHAT = f"""{DECIDED}, {SEEDED}, {_STREAM_CTES},
+rsrc AS (SELECT prompt_id AS id, text FROM seeded),
+{redacted_ctes('rsrc', 'r')},
+chat AS (
+  SELECT d.*, kind IS NULL AS reached, d.id AS prompt_id,
+         d.id % 43 = 5 AND kind IS NULL AS no_answer,
+         CASE WHEN kind IS NULL AND d.id % 43 <> 5 THEN d.id * 7919 % 900 + 100 ELSE 0 END AS latency,
+         CASE WHEN kind IS NULL AND NOT streaming AND d.id % 43 <> 5 AND d.id % 31 <> 0 THEN r.n ELSE 0 END AS findings,
+         kind IS NULL AND streaming AND coalesce(e.status = 'killed', false) AS stream_killed
+  FROM decided d JOIN r_red r ON r.id = d.id LEFT JOIN ends e ON e.stream_id = d.id),
+audit AS (
+  SELECT strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(id * 7), '%Y-%m-%dT%H:%M:%SZ') AS timestamp,
+         request_id, '/v1/chat/completions' AS endpoint, coalesce(model, '') AS model,
+         coalesce(streaming, false) AS streaming, injection_detected, findings > 0 AS pii_redacted,
+         CAST(findings AS BIGINT) AS pii_findings_count, stream_killed, false AS rag_retrieval_performed,
+         CAST(latency AS BIGINT) AS upstream_latency_us, CAST(0 AS BIGINT) AS scan_latency_us,
+         CASE WHEN injection_detected THEN 'blocked_security' WHEN kind = 'security_blocked' THEN 'blocked_policy'
+              WHEN no_answer THEN 'upstream_error' WHEN stream_killed THEN 'stream_killed' ELSE 'allowed' END AS outcome,
+         CASE WHEN injection_detected THEN message
+              WHEN category = 'ToolExecution' THEN replace(message, ' in the allowed tools list', ' allowed')
+              WHEN kind IS NOT NULL THEN 'Security policy violation: ' || message
+              WHEN no_answer THEN 'no upstream response' END AS block_reason
+  FROM chat WHERE kind IS NULL OR kind <> 'bad_request')"""
+
+_COUNTERS = """count_if(readable) AS requests, count_if(injection_detected) AS injection_blocks,
+  count_if(coalesce(kind = 'security_blocked', false) AND NOT injection_detected) AS policy_blocks,
+  count_if(findings > 0) AS pii_redactions, CAST(sum(inbound_redactions) AS BIGINT) AS inbound_pii_redactions,
+  count_if(stream_killed) AS stream_kills, count_if(false) AS rag_retrievals,
+  CAST(coalesce(sum(latency) FILTER (reached AND NOT no_answer), 0) AS BIGINT) AS upstream_latency_us,
+  count_if(reached AND NOT no_answer) AS upstream_latency_samples,
+  CAST(coalesce(sum(latency) FILTER (reached AND NOT no_answer) // nullif(count_if(reached AND NOT no_answer), 0), 0) AS BIGINT)
+    AS upstream_latency_mean_us"""
+
+
+def audit_sql() -> dict[str, str]:
+    lines = []
+    for i, (column, name, kind, help_) in enumerate(rules.METRICS):
+        lines.append(f"SELECT {3 * i} AS pos, {q(f'# HELP {name} {help_}')} AS line FROM c")
+        lines.append(f"SELECT {3 * i + 1}, {q(f'# TYPE {name} {kind}')} FROM c")
+        lines.append(f"SELECT {3 * i + 2}, '{name} ' || {column} FROM c")
+    pick = ", ".join(
+        f"CAST(list_sort(list(v))[CAST(floor(count(*) * {p}) AS BIGINT) + 1] AS BIGINT) AS p{round(p * 100)}_us"
+        for p in (0.50, 0.90, 0.95, 0.99)
+    )
+    return {
+        "audit_records": f"WITH {CHAT} SELECT * FROM audit",
+        "gateway_counters": f"WITH {CHAT} SELECT {_COUNTERS} FROM chat",
+        "prometheus_text": f"WITH {CHAT}, c AS (SELECT {_COUNTERS} FROM chat) " + " UNION ALL ".join(lines),
+        "metrics_windows": f"""WITH {CHAT} SELECT
+              strftime(date_trunc('minute', TIMESTAMP '2024-01-01 00:00:00' + to_seconds(id * 7)), '%Y-%m-%d %H:%M:%S')
+                AS window_start, {_COUNTERS} FROM chat GROUP BY 1""",
+        "outcome_breakdown": f"""WITH {CHAT} SELECT outcome, endpoint, model, count(*) AS requests
+            FROM audit GROUP BY ROLLUP (outcome, endpoint, model)""",
+        "latency_profile": f"""WITH s AS (SELECT event_type, ts, CAST(round(value * 100) AS BIGINT) AS v FROM events),
+            p AS (SELECT event_type, count(*) AS total, {pick}, min(v) AS min_us, max(v) AS max_us,
+                         (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS secs FROM s GROUP BY event_type)
+            SELECT * EXCLUDE (secs), round(total / secs, 9) AS throughput_rps, p99_us < 1000 AS meets_sla FROM p""",
+    }
+
+
+# --- retrieval --------------------------------------------------------------------------------
+def embedding_ctes(src: str, prefix: str, dim: int) -> str:
+    """``{prefix}_vec(id, v)`` for src(id, text): bytes, slots, unit length."""
+    p = prefix
+    return f"""{p}_bytes AS (
+  SELECT id, unnest(range(0, len(h))) AS i, unnest(h) AS hx
+  FROM (SELECT id, regexp_extract_all(hex(encode(text)), '..') AS h FROM {src})),
+{p}_slots AS (
+  SELECT id, (31 * i + b) % {dim} AS slot, sum(b / 128.0::DOUBLE - 1) AS x
+  FROM (SELECT id, i, CAST('0x' || hx AS BIGINT) AS b FROM {p}_bytes) GROUP BY ALL),
+{p}_norm AS (SELECT id, sqrt(sum(x * x)) AS norm FROM {p}_slots GROUP BY id),
+{p}_all AS (
+  SELECT s.id, g.i, CASE WHEN n.norm > 1e-6 THEN coalesce(x.x, 0) / n.norm ELSE coalesce(x.x, 0) END AS x
+  FROM {src} s CROSS JOIN (SELECT unnest(range(0, {dim})) AS i) g
+  LEFT JOIN {p}_slots x ON x.id = s.id AND x.slot = g.i LEFT JOIN {p}_norm n ON n.id = s.id),
+{p}_vec AS (SELECT id, list(x ORDER BY i) AS v FROM {p}_all GROUP BY id)"""
+
+
+def topk_cte(queries: str, corpus: str, k: int, condition: str = "true") -> str:
+    """``hits(query_id, doc_id, distance, rank)`` from (id, v) on both sides."""
+    return f"""pairs AS (
+  SELECT a.id AS query_id, b.id AS doc_id,
+         round(greatest(1 - list_cosine_similarity(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])), 0), 12) AS distance
+  FROM {queries} a, {corpus} b WHERE {condition}),
+hits AS (
+  SELECT query_id, doc_id, distance,
+         CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS INT) AS rank
+  FROM pairs QUALIFY rank <= {k})"""
+
+
+def retrieval_sql() -> dict[str, str]:
+    from textguard.functions.embed import hash_planes
+
+    dim = inputs.EMBED_DIM
+    vectors = "vecs AS (SELECT vec_id AS id, embedding AS v FROM embeddings)"
+    centroids = """cent AS (
+      SELECT label AS id, list(x ORDER BY i) AS v FROM (
+        SELECT label, i, avg(CAST(x AS DOUBLE)) AS x FROM (
+          SELECT CAST(label AS BIGINT) AS label, unnest(range(0, len(embedding))) AS i, unnest(embedding) AS x FROM embeddings)
+        GROUP BY label, i) GROUP BY label)"""
+    shown = "query_id, doc_id, round(distance, 6) AS distance, rank"
+    planes = hash_planes(64, 8, 4)
+    codes = ", ".join(
+        " + ".join(
+            f"CASE WHEN list_dot_product(CAST(v AS DOUBLE[]), {[float(x) for x in plane]}) > 0 THEN {1 << b} ELSE 0 END"
+            for b, plane in enumerate(table)
+        )
+        for table in planes
+    )
+    ctx = f"""{PROMPTS}, qs AS (SELECT prompt_id AS id, text FROM prompts),
+      docs AS (SELECT doc_id AS id, text FROM documents),
+      {embedding_ctes('qs', 'a', dim)}, {embedding_ctes('docs', 'b', dim)}, {topk_cte('a_vec', 'b_vec', 3)},
+      ctx AS (SELECT query_id AS id, string_agg(text, {q('@')} ORDER BY rank) AS context
+              FROM hits JOIN docs ON docs.id = hits.doc_id GROUP BY query_id)""".replace(
+        q("@"), "chr(10) || '---' || chr(10)"
+    )
+    decided = DECIDED.replace(PROMPTS + ",", "", 1)
+    return {
+        "embed_documents": f"""WITH docs AS (SELECT doc_id AS id, text FROM documents), {embedding_ctes('docs', 'b', dim)}
+            SELECT id AS doc_id, CAST(i AS INT) AS idx, round(x, 6) AS x FROM b_all""",
+        "ingest_documents": f"""SELECT row_number() OVER (ORDER BY substring(md5(path), 1, 3), path) - 1
+              + (SELECT max(page_id) + 1 FROM pages) AS doc_id, md5(text) AS text_md5, {dim} AS dim
+            FROM (SELECT 'docs/' || doc_id || '.txt' AS path, text FROM documents)""",
+        "vector_topk": f"WITH {centroids}, {vectors}, {topk_cte('cent', 'vecs', 10)} SELECT {shown} FROM hits",
+        "vector_topk_all": f"WITH {vectors}, {topk_cte('vecs', 'vecs', 5)} SELECT {shown} FROM hits",
+        "vector_topk_lsh": f"""WITH {vectors}, coded AS (SELECT id, v, [{codes}] AS c FROM vecs),
+            {topk_cte('coded', 'coded', 5, 'len(list_filter(range(1, 9), lambda t: a.c[t] = b.c[t])) > 0')}
+            SELECT {shown} FROM hits""",
+        "doc_lookup": f"""WITH {centroids}, {vectors}, {topk_cte('cent', 'vecs', 10)}
+            SELECT query_id, rank, h.doc_id, md5(text) AS text_md5 FROM hits h JOIN documents d ON d.doc_id = h.doc_id""",
+        "search_text": f"WITH {ctx} SELECT {shown} FROM hits",
+        "simple_context": f"""WITH {ctx}, f AS (
+              SELECT qs.id, CASE WHEN context IS NULL THEN text ELSE 'Context:' || chr(10) || context || chr(10) || chr(10)
+                     || 'User Question: ' || text END AS final FROM qs LEFT JOIN ctx ON ctx.id = qs.id)
+            SELECT id AS prompt_id, md5(final) AS prompt_md5, CAST(length(final) AS INT) AS n_chars FROM f""",
+        "last_user_message": f"""WITH {REQUESTS}, mtext AS (SELECT id * 1000 + idx AS id, content AS text, role FROM msgf WHERE content IS NOT NULL),
+            {redacted_ctes('mtext')}
+            SELECT r.request_id, (SELECT last(d.redacted ORDER BY d.id) FROM d_red d JOIN mtext m ON m.id = d.id
+                                  WHERE m.role = 'user' AND d.id // 1000 = r.id) AS text
+            FROM req r WHERE r.readable""",
+        "last_user_turn": """SELECT conv_id, last(text ORDER BY turn) AS text FROM conversations
+            WHERE role = 'user' GROUP BY conv_id""",
+        "chat_context": f"""WITH {PROMPTS}, {decided},
+            qs AS (SELECT d.id, last(r.redacted ORDER BY r.id) AS text FROM decided d
+                   JOIN msgf m ON m.id = d.id AND m.role = 'user' JOIN d_red r ON r.id = m.id * 1000 + m.idx
+                   WHERE d.kind IS NULL GROUP BY d.id),
+            docs AS (SELECT doc_id AS id, text FROM documents),
+            {embedding_ctes('qs', 'a', dim)}, {embedding_ctes('docs', 'b', dim)}, {topk_cte('a_vec', 'b_vec', 3)},
+            ctx AS (SELECT query_id AS id, '[Retrieved Context]:' || chr(10)
+                      || string_agg(text, chr(10) || '---' || chr(10) ORDER BY rank) AS context
+                    FROM hits JOIN docs ON docs.id = hits.doc_id GROUP BY query_id),
+            n AS (SELECT id, count(*) AS n FROM msgf GROUP BY id),
+            f AS (SELECT m.id, coalesce(r.redacted, m.content, '') AS text, m.role
+                  FROM msgf m LEFT JOIN d_red r ON r.id = m.id * 1000 WHERE m.idx = 0)
+            SELECT d.request_id, c.id IS NOT NULL AS rag_retrieval_performed,
+              CAST(n.n + CASE WHEN c.id IS NULL THEN 0 ELSE 1 END AS INT) AS n_messages,
+              CASE WHEN c.id IS NULL THEN f.role ELSE 'system' END AS first_role,
+              md5(coalesce(c.context, f.text)) AS first_md5
+            FROM decided d JOIN n ON n.id = d.id JOIN f ON f.id = d.id LEFT JOIN ctx c ON c.id = d.id
+            WHERE d.kind IS NULL""",
+    }
+
+
 def all_oracles() -> dict[str, str]:
-    return {**scanning_sql(), **stream_sql()}
+    return {
+        **scanning_sql(),
+        **stream_sql(),
+        **policy_sql(),
+        **audit_sql(),
+        **retrieval_sql(),
+    }
