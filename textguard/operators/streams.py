@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from textguard import rules
 from textguard.functions import injection, pii, sse
-from textguard.functions.text import fill
-from textguard.operators.scanning import with_injection, with_pii
+from textguard.functions.normalize import with_normalized_each
+from textguard.functions.text import evaluate, fill, let
 from textguard.operators.skew import join_hot_left
 
 BLOCK = 4096
@@ -93,44 +93,74 @@ def chunk_deltas(chunks: DataFrame) -> DataFrame:
     )
 
 
-def delta_windows(chunks: DataFrame, window: int = rules.STREAM_WINDOW) -> DataFrame:
-    """(stream_id, seq, line, delta, scan): every delta with its scan text."""
+def chunk_tails(chunks: DataFrame, window: int = rules.STREAM_WINDOW) -> DataFrame:
+    """(stream_id, seq, deltas, tail) of the chunks that have deltas."""
     parsed = chunks.where(~F.col("transport_error")).select(
         "stream_id", "seq", sse.deltas(F.col("chunk")).alias("deltas")
     )
     parsed = parsed.where(F.size("deltas") > 0)
     text = F.array_join("deltas", "")
-    tailed = with_tail(parsed, ["stream_id"], "seq", text, "_tail", window)
-    rows = tailed.select(
-        "stream_id", "seq", "_tail", "deltas", F.posexplode("deltas").alias("line", "delta")
-    )
-    earlier = F.array_join(F.slice("deltas", F.lit(1), F.col("line")), "")
-    scan = F.concat(last_chars(F.concat("_tail", earlier), window), "delta")
-    return rows.select("stream_id", "seq", "line", "delta", scan.alias("scan"))
-
-
-def window_decisions(windows: DataFrame, compatibility: bool = True) -> DataFrame:
-    """Rows of ``windows`` whose scan text must end the stream, with reason and
-    category. Secrets come first; other personal data does not stop a stream."""
-    scanned = windows.where(F.col("delta") != "")
-    scanned = with_pii(scanned, "scan", "_spans")
-    scanned = with_injection(scanned, "scan", "_found", compatibility=compatibility)
-    secret = pii.has_secret(F.col("_spans"))
-    attack = injection.injection_verdict(F.col("_found"))
-    return (
-        scanned.where(secret | (F.size("_found") > 0))
-        .withColumn("reason", F.when(secret, rules.REASON_SECRET).otherwise(attack["reason"]))
-        .withColumn("category", F.when(secret, rules.SECRET_LEAK).otherwise(attack["category"]))
-        .drop("_spans", "_found")
+    return with_tail(parsed, ["stream_id"], "seq", text, "tail", window)
+
+
+def delta_windows(chunks: DataFrame, window: int = rules.STREAM_WINDOW) -> DataFrame:
+    """(stream_id, seq, line, scan): every delta with its scan text."""
+    scans = F.posexplode(scan_windows(F.col("tail"), F.col("deltas"), window)).alias("line", "scan")
+    return chunk_tails(chunks, window).select("stream_id", "seq", scans)
+
+
+def scan_windows(
+    tail: Column, deltas: Column, window: int = rules.STREAM_WINDOW
+) -> Column:
+    """Scan text of every delta of a chunk: the characters before it and itself."""
+    def scan(delta: Column, i: Column) -> Column:
+        earlier = F.array_join(F.slice(deltas, F.lit(1), i), "")
+        return F.concat(last_chars(F.concat(tail, earlier), window), delta)
+
+    return F.transform(deltas, scan)
+
+
+def with_kill(chunks: DataFrame, window: int = rules.STREAM_WINDOW) -> DataFrame:
+    """Add ``kill``, struct<line, reason, category>, to chunk rows with ``tail``
+    and ``deltas``: the first delta that must end the stream, else null.
+
+    Secrets come first; other personal data does not stop a stream. A chunk is
+    judged inside its row, so the batch and the streaming job share this.
+    """
+    df = evaluate(chunks, "_scans", scan_windows(F.col("tail"), F.col("deltas"), window))
+    df = with_normalized_each(df, "_scans", "_normalized")
+    parts = F.arrays_zip(
+        F.col("deltas").alias("d"), F.col("_scans").alias("t"), F.col("_normalized").alias("n")
     )
 
+    def judge(part: Column, line: Column) -> Column:
+        attack = injection.injection_verdict(injection.injection_findings(part["t"], part["n"]))
+        secret = pii.has_secret(pii.pii_spans(part["t"]))
+
+        def kill(reason: Column, category: Column) -> Column:
+            return F.struct(line.alias("line"), reason.alias("reason"), category.alias("category"))
+
+        found = let(
+            attack,
+            lambda a: F.when(a["action"] == "Block", kill(a["reason"], a["category"])),
+        )
+        leak = kill(F.lit(rules.REASON_SECRET), F.lit(rules.SECRET_LEAK))
+        return F.when(part["d"] != "", F.when(secret, leak).otherwise(found))
+
+    kills = F.filter(F.transform(parts, judge), lambda k: k.isNotNull())
+    df = evaluate(df, "kill", F.try_element_at(kills, F.lit(1)))
+    return df.drop("_scans", "_normalized")
+
 
 def stream_ends(chunks: DataFrame, window: int = rules.STREAM_WINDOW) -> DataFrame:
     """(stream_id, end_seq, end_line, status, reason, category): where a stream
     was cut, by a kill or by a transport error. Complete streams have no row."""
-    kills = window_decisions(delta_windows(chunks, window)).select(
+    judged = with_kill(chunk_tails(chunks, window), window).where(F.col("kill").isNotNull())
+    kills = judged.select(
         "stream_id",
-        F.struct("seq", "line", F.lit("killed").alias("status"), "reason", "category").alias("end"),
+        F.struct(
+            "seq", "kill.line", F.lit("killed").alias("status"), "kill.reason", "kill.category"
+        ).alias("end"),
     )
     null = F.lit(None).cast("string")
     errors = chunks.where("transport_error").select(

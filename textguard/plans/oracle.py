@@ -578,12 +578,12 @@ audit AS (
               WHEN no_answer THEN 'no upstream response' END AS block_reason
   FROM chat WHERE kind IS NULL OR kind <> 'bad_request')"""
 
-_COUNTERS = """count_if(readable) AS requests, count_if(injection_detected) AS injection_blocks,
-  count_if(coalesce(kind = 'security_blocked', false) AND NOT injection_detected) AS policy_blocks,
-  count_if(findings > 0) AS pii_redactions, CAST(sum(inbound_redactions) AS BIGINT) AS inbound_pii_redactions,
-  count_if(stream_killed) AS stream_kills, count_if(false) AS rag_retrievals,
+_COUNTERS = """CAST(count_if(readable) AS BIGINT) AS requests, CAST(count_if(injection_detected) AS BIGINT) AS injection_blocks,
+  CAST(count_if(coalesce(kind = 'security_blocked', false) AND NOT injection_detected) AS BIGINT) AS policy_blocks,
+  CAST(count_if(findings > 0) AS BIGINT) AS pii_redactions, CAST(sum(inbound_redactions) AS BIGINT) AS inbound_pii_redactions,
+  CAST(count_if(stream_killed) AS BIGINT) AS stream_kills, CAST(0 AS BIGINT) AS rag_retrievals,
   CAST(coalesce(sum(latency) FILTER (reached AND NOT no_answer), 0) AS BIGINT) AS upstream_latency_us,
-  count_if(reached AND NOT no_answer) AS upstream_latency_samples,
+  CAST(count_if(reached AND NOT no_answer) AS BIGINT) AS upstream_latency_samples,
   CAST(coalesce(sum(latency) FILTER (reached AND NOT no_answer) // nullif(count_if(reached AND NOT no_answer), 0), 0) AS BIGINT)
     AS upstream_latency_mean_us"""
 

@@ -237,7 +237,7 @@ def sse_deltas(spark, sf):
 
 @query
 def stream_windows(spark, sf):
-    return streams.delta_windows(chunks(spark, sf)).select("stream_id", "seq", "line", "scan")
+    return streams.delta_windows(chunks(spark, sf))
 
 
 @query
