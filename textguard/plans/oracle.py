@@ -718,7 +718,15 @@ def retrieval_sql() -> dict[str, str]:
 
 
 def all_oracles() -> dict[str, str]:
+    streaming = {
+        "stream_output_stateful": stream_sql()["stream_output"],
+        "rate_limit_stateful": policy_sql()["rate_limit_by_user"],
+        "event_metrics_stream": """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type,
+            count(*) AS requests, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS latency_us
+            FROM events GROUP BY 1, 2""",
+    }
     return {
+        **streaming,
         **scanning_sql(),
         **stream_sql(),
         **policy_sql(),

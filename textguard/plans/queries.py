@@ -18,6 +18,9 @@ from textguard.operators.rate_limit import rate_limit
 from textguard.plans import chat as jobs
 from textguard.plans import inputs
 from textguard.plans.inputs import chunks, prompts, requests, responses, table
+from textguard.streaming.jobs import run_available, run_updates
+from textguard.streaming.rate_limit import rate_limit_stream
+from textguard.streaming.scan import scan_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -33,7 +36,7 @@ def all_queries() -> dict[str, Query]:
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return inputs.text_table(spark, sf, "documents", "doc_id")
 
 
 # --- normalization ---------------------------------------------------------------
@@ -178,7 +181,8 @@ def pii_redact_prompts(spark, sf):
 
 @query
 def pii_redact_pages(spark, sf):
-    pages = table(spark, sf, "pages").select("page_id", F.col("html").alias("text"))
+    pages = inputs.text_table(spark, sf, "pages", "page_id")
+    pages = pages.select("page_id", F.col("html").alias("text"))
     return scanning.redact_table(pages).select("page_id", "redacted", "redactions")
 
 
@@ -609,3 +613,37 @@ def chat_context(spark, sf):
         json_string(body, "$.messages[0].role").alias("first_role"),
         F.md5(F.coalesce(json_string(body, "$.messages[0].content"), F.lit(""))).alias("first_md5"),
     )
+
+
+# --- the stateful streaming jobs, run over everything that is there ----------------------------
+def _streamed(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    schema = table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+@query
+def stream_output_stateful(spark, sf):
+    live = inputs.chunks_of(inputs.plant(_streamed(spark, sf, "conversations")))
+    return run_available(scan_stream(live), "scan")
+
+
+@query
+def rate_limit_stateful(spark, sf):
+    events = _streamed(spark, sf, "events").select("event_id", "user_id", "ts")
+    limited = rate_limit_stream(events, "user_id", "ts", "event_id", 3, 86400)
+    return run_available(limited, "rate").select("event_id", "user_id", "accepted")
+
+
+@query
+def event_metrics_stream(spark, sf):
+    """Events as a request log, counted per hour and kind as they arrive."""
+    log = _streamed(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    hour = F.window("ts", "1 hour")
+    counted = (
+        log.withWatermark("ts", "10 minutes")
+        .groupBy(hour, "event_type")
+        .agg(F.count("*").alias("requests"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("latency_us"))
+    )
+    start = F.date_format(F.col("window.start"), "yyyy-MM-dd HH:mm:ss").alias("hour")
+    rows = counted.select(start, "event_type", "requests", "latency_us")
+    return run_updates(rows, ["hour", "event_type"], "metrics")
