@@ -27,9 +27,9 @@ class SlidingLog(StatefulProcessor):
         self.log = handle.getValueState("log", "accepted array<bigint>", idle_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(rows).sort_values(["_t", self.order], kind="stable")
+        frame = pd.concat(rows).sort_values(["event_us", self.order], kind="stable")
         log = deque(self.log.get()[0] if self.log.exists() else ())
-        accepted = accept_in_order(frame["_t"].to_numpy(), log, self.limit, self.window)
+        accepted = accept_in_order(frame["event_us"].to_numpy(), log, self.limit, self.window)
         self.log.update(([int(t) for t in log],))
         yield frame.assign(accepted=accepted)
 
@@ -47,10 +47,10 @@ def rate_limit_stream(
 ) -> DataFrame:
     """Streaming form of :func:`textguard.operators.rate_limit.rate_limit`.
     Events of a key arrive in order of time across micro-batches."""
-    rows = events.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
+    rows = events.withColumn("event_us", F.unix_micros(F.col(ts).cast("timestamp")))
     schema = T.StructType([*rows.schema.fields, T.StructField("accepted", T.BooleanType())])
     processor = SlidingLog(order, limit, window_seconds * 1_000_000)
     decided = rows.groupBy(key).transformWithStateInPandas(
         processor, schema, "append", "processingTime"
     )
-    return decided.drop("_t")
+    return decided.drop("event_us")
