@@ -30,7 +30,7 @@ def simple_prompts(reader, path: str, default_model: str = rules.DEFAULT_MODEL)
 
 def text_corpus(reader, folder: str) -> DataFrame:
     """Every ``*.txt`` directly in ``folder``, a whole file per row: (path, text)."""
-    files = reader.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder)
+    files = reader.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
