@@ -109,7 +109,7 @@ def test_corpus_store(spark, tmp_path):
 
 
 def test_contexts_and_lost_texts(spark):
-    found = spark.createDataFrame([(1, 7, 0.1, 1), (1, 8, 0.2, 2), (1, 9, 0.3, 3)], retrieval.PAIRS + ", rank int")
+    found = spark.createDataFrame([(1, 7, 0.1, 1), (1, 8, 0.2, 2), (1, 9, 0.3, 3)], "query_id bigint, doc_id bigint, distance double, rank int")
     docs = spark.createDataFrame([(7, "A"), (9, "C")], "doc_id bigint, text string")
     row = retrieval.contexts(retrieval.with_texts(found, docs)).select(
         retrieval.chat_context(F.col("context")).alias("chat"),

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textguard import rules
@@ -24,9 +24,8 @@ from textguard.functions.embed import (
 )
 from textguard.functions.text import fill
 
-PAIRS = "query_id bigint, doc_id bigint, distance double"
 STEP = 4096  # corpus rows per matrix product
-SMALL_QUERY_NUMBERS = 1 << 21  # vector elements (16 MB) that may go to every executor
+SMALL_QUERY_NUMBERS = 1 << 18  # vector elements (2 MB) that may go to every executor
 BLOCK_ROWS = 20_000
 
 
@@ -74,6 +73,12 @@ def ingest(
 
 
 # --- nearest neighbours ---------------------------------------------------------------
+def pairs_schema(queries: DataFrame) -> str:
+    """Query ids may be of any type, document ids are numbers."""
+    id_type = queries.schema["query_id"].dataType.simpleString()
+    return f"query_id {id_type}, doc_id bigint, distance double"
+
+
 def _check_dim(df: DataFrame, dim: int | None) -> DataFrame:
     if dim is None:
         return df
@@ -90,7 +95,9 @@ def _rank(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _scan_topk(corpus: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
+def _scan_topk(
+    corpus: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, schema: str
+) -> DataFrame:
     """Few queries: every task keeps its k nearest while it streams the corpus."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,7 +108,7 @@ def _scan_topk(corpus: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int)
                 best.add(part["doc_id"].to_numpy(), unit_rows(part["embedding"]))
         yield pd.DataFrame({"query_id": ids[best.rows], "doc_id": best.ids, "distance": best.dist})
 
-    return corpus.select("doc_id", "embedding").mapInPandas(scan, PAIRS)
+    return corpus.select("doc_id", "embedding").mapInPandas(scan, schema)
 
 
 def _grid_topk(queries: DataFrame, corpus: DataFrame, groups: list[str], k: int) -> DataFrame:
@@ -145,7 +152,9 @@ def _grid_topk(queries: DataFrame, corpus: DataFrame, groups: list[str], k: int)
             out.append(pd.DataFrame({"query_id": ids, "doc_id": best.ids, "distance": best.dist}))
         return pd.concat(out)
 
-    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(nearest, PAIRS)
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(
+        nearest, pairs_schema(queries)
+    )
 
 
 def vector_topk(
@@ -160,15 +169,16 @@ def vector_topk(
     """
     queries, corpus = _check_dim(queries, dim), _check_dim(corpus, dim)
     if k <= 0:
-        return _empty_topk(queries.sparkSession)
+        return _empty_topk(queries)
     width = queries.select(F.size("embedding")).head()
     if width is None:
-        return _empty_topk(queries.sparkSession)
-    bound = SMALL_QUERY_NUMBERS // max(width[0], 1)
+        return _empty_topk(queries)
+    bound = min(SMALL_QUERY_NUMBERS // max(width[0], 1), STEP)
     few = queries.select("query_id", "embedding").limit(bound + 1).toPandas()
     if len(few) <= bound:
         ids = few["query_id"].to_numpy()
-        pairs = _scan_topk(corpus, ids, unit_rows(few["embedding"]), k)
+        vectors = unit_rows(few["embedding"])
+        pairs = _scan_topk(corpus, ids, vectors, k, pairs_schema(queries))
     else:
         pairs = vector_pairs(queries, corpus, k)
     return _rank(pairs, k)
@@ -185,7 +195,7 @@ def vector_topk_blocks(queries: DataFrame, corpus: DataFrame, k: int = rules.TOP
     """The block-against-block form of :func:`vector_topk`, for query sets that
     are known to be large; nothing is read while the plan is built."""
     if k <= 0:
-        return _empty_topk(queries.sparkSession)
+        return _empty_topk(queries)
     return _rank(vector_pairs(queries, corpus, k), k)
 
 
@@ -201,7 +211,7 @@ def vector_topk_lsh(
     random hyperplanes in one of the tables are compared. Hot buckets are cut
     into blocks like everything else."""
     if k <= 0:
-        return _empty_topk(queries.sparkSession)
+        return _empty_topk(queries)
     planes = hash_planes(dim, tables, bits)
 
     def hashed(df: DataFrame, key: str) -> DataFrame:
@@ -213,8 +223,8 @@ def vector_topk_lsh(
     return _rank(pairs.groupBy("query_id", "doc_id").agg(F.min("distance").alias("distance")), k)
 
 
-def _empty_topk(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], PAIRS + ", rank int")
+def _empty_topk(queries: DataFrame) -> DataFrame:
+    return queries.sparkSession.createDataFrame([], pairs_schema(queries) + ", rank int")
 
 
 # --- texts and prompts ---------------------------------------------------------------------

@@ -101,16 +101,14 @@ def enrich_requests(
     queries = asked.where(F.col("_user").isNotNull()).select(
         F.col("request_id").alias("query_id"), F.col("_user").alias("text")
     )
-    # the search wants numeric ids
-    numbered = queries.select(F.xxhash64("query_id").alias("query_id"), "text").distinct()
-    found = retrieval.contexts(retrieval.search_text(numbered, corpus, k, dim))
-    joined = asked.withColumn("query_id", F.xxhash64("request_id")).join(found, "query_id", "left")
+    found = retrieval.contexts(retrieval.search_text(queries, corpus, k, dim))
+    joined = asked.join(found.withColumnRenamed("query_id", "request_id"), "request_id", "left")
     system = retrieval.chat_context(F.col("context"))
     body = chat.sanitized_body(F.col("payload"), F.col("sanitized"), system)
     return (
         evaluate(joined, "upstream_body", F.when(F.col("error").isNull(), body))
         .withColumn("rag_retrieval_performed", F.col("error").isNull() & F.col("context").isNotNull())
-        .drop("query_id", "_user", "context")
+        .drop("_user", "context")
     )
 
 
