@@ -45,6 +45,11 @@ HAS_INVISIBLE_WIDE = f"[{range_class(_INVISIBLE_WIDE)}]"
 NOT_LATIN1_STABLE = f"[^{listed_class(_LATIN1_STABLE)}]"
 NOT_STABLE = f"[^{range_class(NFKC_STABLE_RANGES)}]"
 ODD_SPACE_LATIN1 = r"[\t\x0B\f\r\x85\xA0]"
+# anything but plain Latin-1 text: printable, stable, spaces and line feeds only
+_PLAIN = [(0x0A, 0x0A), (0x20, 0x7E), *(r for r in _LATIN1_STABLE if r[0] > 0x7F)]
+_PLAIN = [(lo, hi) for lo, hi in _PLAIN if (lo, hi) != (0x00AB, 0x00AE)]
+_PLAIN += [(0x00AB, 0x00AC), (0x00AE, 0x00AE)]  # without the soft hyphen
+NOT_PLAIN = f"[^{listed_class(_PLAIN)}]"
 
 
 @F.pandas_udf(T.StringType())
@@ -102,26 +107,50 @@ def collapse_whitespace(text: Column) -> Column:
     return F.trim(let(F.replace(text, F.lit("\n"), F.lit(" ")), collapse))
 
 
+def is_plain(text: Column) -> Column:
+    """Text whose only normalization is case, line feeds and runs of spaces."""
+    return ~text.rlike(NOT_PLAIN)
+
+
+def _normalize_plain(text: Column) -> Column:
+    def squeeze(t: Column) -> Column:
+        doubled = F.contains(t, F.lit("  "))
+        return F.when(doubled, F.regexp_replace(t, " {2,}", " ")).otherwise(t)
+
+    return F.trim(let(F.replace(F.lower(text), F.lit("\n"), F.lit(" ")), squeeze))
+
+
 def with_normalized(
     df: DataFrame, text: str = "text", output: str = "normalized", compatibility: bool = True
 ) -> DataFrame:
     """Strip invisible characters, NFKC, lowercase, collapse whitespace.
 
+    One test tells plain text apart, which skips all but the last two steps.
     ``compatibility=False`` leaves NFKC out and keeps the plan free of Python;
     use it only for text that is known to be NFKC-stable.
     """
-    if not compatibility:
-        return df.withColumn(output, collapse_whitespace(lower(strip_invisible(F.col(text)))))
-    stripped = evaluate(df, output, strip_invisible(F.col(text)))
-    return stripped.withColumn(output, collapse_whitespace(lower(nfkc(F.col(output)))))
+    source = F.col(text)
+    special = F.when(~is_plain(source), strip_invisible(source))
+    df = evaluate(df, "_special", special)
+    folded = nfkc(F.col("_special")) if compatibility else F.col("_special")
+    done = F.when(F.col("_special").isNull(), _normalize_plain(source)).otherwise(
+        collapse_whitespace(lower(folded))
+    )
+    return df.withColumn(output, done).drop("_special")
 
 
 def with_normalized_each(df: DataFrame, texts: str, output: str) -> DataFrame:
     """:func:`with_normalized` for every element of an array of texts, in
     place: a row with all its messages is neither exploded nor regrouped."""
-    stripped = evaluate(df, output, F.transform(texts, strip_invisible))
-    dirty = F.exists(output, lambda t: F.coalesce(needs_nfkc(t), F.lit(False)))
-    folded = F.coalesce(_nfkc_each(F.when(dirty, F.col(output))), F.col(output))
-    return stripped.withColumn(
-        output, F.transform(folded, lambda t: collapse_whitespace(lower(t)))
-    )
+    special = lambda t: F.when(~is_plain(t), strip_invisible(t))
+    df = evaluate(df, "_special", F.transform(texts, special))
+    dirty = F.exists("_special", lambda t: F.coalesce(needs_nfkc(t), F.lit(False)))
+    folded = F.coalesce(_nfkc_each(F.when(dirty, F.col("_special"))), F.col("_special"))
+    pairs = F.arrays_zip(F.col(texts).alias("t"), folded.alias("s"))
+
+    def finish(pair: Column) -> Column:
+        return F.when(pair["s"].isNull(), _normalize_plain(pair["t"])).otherwise(
+            collapse_whitespace(lower(pair["s"]))
+        )
+
+    return df.withColumn(output, F.transform(pairs, finish)).drop("_special")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textguard import rules
 from textguard.functions.spans import MATCH_TYPE, mask_spans, match_spans, merge_spans
-from textguard.functions.text import let
+from textguard.functions.text import is_ascii, let
 
 VERDICT_TYPE = (
     "struct<action:string,reason:string,category:string,redacted_text:string,redactions_count:int>"
@@ -47,9 +47,21 @@ def detector_spans(text: Column, ord: int, kind: str, pattern: str) -> Column:
     return F.when(_may_match(text, ord), spans).otherwise(F.array().cast(MATCH_TYPE))
 
 
+DIGIT_DETECTORS = (2, 3, 4)
+
+
+def has_digit(text: Column) -> Column:
+    ascii_digit = text.rlike("[0123456789]")
+    return ascii_digit | (~is_ascii(text) & text.rlike(r"(?U)\d"))
+
+
 def pii_matches(text: Column) -> Column:
     """Spans of all detectors, before overlaps are merged."""
-    return F.concat(*[detector_spans(text, o, k, p) for o, k, p in rules.DETECTORS])
+    found = {o: detector_spans(text, o, k, p) for o, k, p in rules.DETECTORS}
+    numbers = F.concat(*[found.pop(o) for o in DIGIT_DETECTORS])
+    numbers = F.when(has_digit(text), numbers).otherwise(F.array().cast(MATCH_TYPE))
+    # the merge orders matches by start and detector, so their order here is free
+    return F.concat(numbers, *found.values())
 
 
 def pii_spans(text: Column) -> Column:
