@@ -28,9 +28,15 @@ AUDIT_COLUMNS = (
 )
 
 
+def utc_clock(ts: Column) -> Column:
+    """UTC date and time to the second, whatever the session time zone is."""
+    since = F.make_dt_interval(secs=F.unix_seconds(ts).cast("decimal(18,6)"))
+    return (F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'") + since).cast("string")
+
+
 def utc_text(ts: Column) -> Column:
-    """UTC time to the second; the session time zone has to be UTC."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """The same as ``YYYY-MM-DDThh:mm:ssZ``."""
+    return F.concat(F.replace(utc_clock(ts), F.lit(" "), F.lit("T")), F.lit("Z"))
 
 
 def request_id_or(request_id: Column, key: Column) -> Column:

@@ -469,7 +469,7 @@ def prometheus_text(spark, sf):
 
 @query
 def metrics_windows(spark, sf):
-    minute = F.date_format(F.window("ts", "1 minute")["start"], "yyyy-MM-dd HH:mm:ss")
+    minute = audit.utc_clock(F.window("ts", "1 minute")["start"])
     return audit.counters(_chat(spark, sf).withColumn("window_start", minute), ["window_start"])
 
 
