@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard import rules
@@ -151,7 +151,7 @@ def simple_chat(
     )
 
 
-def simple_request_body(model, final_prompt):
+def simple_request_body(model: Column, final_prompt: Column) -> Column:
     """Upstream body of the simple endpoint."""
     message = F.struct(F.lit("user").alias("role"), final_prompt.alias("content"))
     return F.to_json(
@@ -160,9 +160,30 @@ def simple_request_body(model, final_prompt):
 
 
 def simple_replies(responses: DataFrame) -> DataFrame:
-    """(response text, raw body) of the simple endpoint with sensitive data
-    masked in the first choice."""
-    payload = F.try_parse_json("body")
-    text = F.coalesce(json_string(payload, "$.choices[0].message.content"), F.lit(""))
-    scan = scanning.redact_table(responses.withColumn("_text", text), "_text")
-    return scan.withColumnRenamed("redacted", "response").drop("_text")
+    """Replies of the simple endpoint: adds ``error``, ``response`` (text of the
+    first choice, masked), ``raw`` (the body with that text) and ``redactions``."""
+    df = evaluate(responses, "_payload", F.try_parse_json("body"))
+    payload, path = F.col("_payload"), "$.choices[0].message.content"
+    failed = ~F.coalesce(F.col("status").between(200, 299), F.lit(False))
+    message = F.concat(F.lit("Upstream returned error: "), F.coalesce("body", F.lit("")))
+    err = F.when(failed, error("upstream_connection_failed", message)).when(
+        payload.isNull(), error("internal", "Failed to parse upstream response JSON")
+    )
+    text = F.when(err.isNull(), F.coalesce(json_string(payload, path), F.lit("")))
+    df = scanning.redact_table(df.withColumn("error", err).withColumn("_text", text), "_text")
+
+    def rewrite(choice: Column, i: Column) -> Column:
+        message = policy.member(choice, "$.message")
+        masked = chat.replace_member(message, "content", F.col("redacted").cast("variant"))
+        return F.when(i == 0, chat.replace_member(choice, "message", masked)).otherwise(choice)
+
+    choices = F.transform(policy.members(payload, "$.choices"), rewrite)
+    raw = chat.replace_member(payload, "choices", F.to_variant_object(choices))
+    has_content = policy.member(payload, path).isNotNull()
+    body = F.when(has_content, F.to_json(raw)).otherwise(F.to_json(payload))
+    return (
+        df.withColumn("raw", F.when(F.col("error").isNull(), body))
+        .withColumnRenamed("redacted", "response")
+        .withColumn("redactions", F.when(F.col("error").isNull(), F.col("redactions")).otherwise(0))
+        .drop("_text", "_payload")
+    )

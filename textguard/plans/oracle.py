@@ -530,6 +530,12 @@ def policy_sql() -> dict[str, str]:
               CASE WHEN {inputs.STATUS} = 200 THEN CAST(n AS BIGINT) ELSE 0 END AS response_findings,
               CASE WHEN {inputs.STATUS} = 200 THEN redacted ELSE t.text END AS content
             FROM p JOIN sd t ON t.id = p.id WHERE {inputs.HAS_RESPONSE}""",
+        "simple_chat_replies": f"""WITH {SD}, {redacted_ctes('sd')}, p AS (SELECT id AS prompt_id, * FROM d_red)
+            SELECT {REQUEST_ID} AS request_id, CASE WHEN {inputs.STATUS} <> 200 THEN 502 END AS code,
+              CASE WHEN {inputs.STATUS} = 200 THEN redacted END AS response,
+              CASE WHEN {inputs.STATUS} = 200 THEN redacted ELSE '' END AS raw_content,
+              CASE WHEN {inputs.STATUS} = 200 THEN n ELSE 0 END AS redactions
+            FROM p WHERE {inputs.HAS_RESPONSE}""",
         "simple_chat_requests": f"""WITH {PROMPTS}, sp AS (
               SELECT prompt_id AS id, {inputs.BLANK_PROMPT} AS text, {inputs.AUTH_OK} AS auth_ok FROM prompts),
             {injection_first_ctes('sp')}, {redacted_ctes('sp')}, x AS (

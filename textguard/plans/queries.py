@@ -442,6 +442,18 @@ def simple_chat_requests(spark, sf):
     )
 
 
+@query
+def simple_chat_replies(spark, sf):
+    out = jobs.simple_replies(responses(spark, sf))
+    return out.select(
+        "request_id",
+        "error.code",
+        "response",
+        chat.response_text(F.col("raw")).alias("raw_content"),
+        "redactions",
+    )
+
+
 # --- audit, metrics and latency -------------------------------------------------------------
 def _chat(spark: SparkSession, sf: str) -> DataFrame:
     ends = streams.stream_ends(chunks(spark, sf)).select(
