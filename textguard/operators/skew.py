@@ -18,7 +18,7 @@ def join_hot_left(
     salts: int = SALTS,
     how: str = "left",
 ) -> DataFrame:
-    """Join ``rows`` to ``ends`` (at most one row per key).
+    """Join ``rows`` to ``ends`` (at most one row per key); left or left_semi.
 
     Rows of a key are spread over ``salts`` partitions by ``spread`` and the
     other side is repeated once per salt. Without a hint AQE still broadcasts

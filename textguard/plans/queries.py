@@ -15,6 +15,7 @@ from textguard.functions.sse import json_string
 from textguard.operators import audit, chat, profile, retrieval, scanning, streams
 from textguard.operators import policy as policy_ops
 from textguard.operators.rate_limit import rate_limit
+from textguard.operators.skew import join_hot_left
 from textguard.plans import chat as jobs
 from textguard.plans import inputs
 from textguard.plans.inputs import chunks, prompts, requests, responses, table
@@ -456,9 +457,12 @@ def simple_chat_replies(spark, sf):
 
 # --- audit, metrics and latency -------------------------------------------------------------
 def _chat(spark: SparkSession, sf: str) -> DataFrame:
-    ends = streams.stream_ends(chunks(spark, sf)).select(
-        F.col("stream_id").alias("prompt_id"), "status"
-    )
+    # only replies that were asked for as a stream have chunks to look at
+    streaming = _parsed(spark, sf).where(policy.is_streaming(F.col("payload")))
+    asked = streaming.select(F.col("prompt_id").alias("stream_id"))
+    block = F.expr(f"seq div {streams.BLOCK}")
+    sent = join_hot_left(chunks(spark, sf), asked, ["stream_id"], block, how="left_semi")
+    ends = streams.stream_ends(sent).select(F.col("stream_id").alias("prompt_id"), "status")
     ends = inputs.with_request_id(ends).select("request_id", "status")
     decided = jobs.sanitize_requests(_decided(spark, sf))
     return jobs.decide_chat(decided, responses(spark, sf), ends)
