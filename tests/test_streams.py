@@ -169,6 +169,18 @@ def test_rate_limit_twenty_first(spark):
     assert [r.id for r in out.where("NOT accepted").collect()] == [20]
 
 
+def test_rate_limit_keeps_rows_and_values(spark):
+    """Rows without a key, and large numbers next to nulls, come out unchanged."""
+    big = 2**60 + 1
+    rows = [(i, None if i % 2 else 1, big if i % 3 else None, i // 4) for i in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, k bigint, x bigint, t bigint")
+    df = df.withColumn("ts", F.timestamp_seconds("t"))
+    out = rate_limit(df, "k", "ts", "id", 3, 5).collect()
+    assert {(r.id, r.k, r.x) for r in out} == {r[:3] for r in rows}
+    want = expected_limits([(i, k, t) for i, k, _x, t in rows], 3, 5)
+    assert {r.id: r.accepted for r in out} == want
+
+
 def test_rate_limit_stream(spark, tmp_path):
     rows, df = events(spark)
     for part in range(3):

@@ -14,7 +14,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,14 +51,18 @@ def rate_limit(
 ) -> DataFrame:
     """Add ``accepted``. ``order`` is unique and breaks ties of ``ts``."""
     window = window_seconds * 1_000_000
-    rows = events.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn(
-        "_cell", F.floor(F.col("_t") / F.lit(window)).cast("long")
+    # rows without a key share one: a text that is never null takes its place
+    named = F.concat(F.lit("k"), F.col(key).cast("string"))
+    rows = (
+        events.withColumn("_key", F.coalesce(named, F.lit("none")))
+        .withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
+        .withColumn("_cell", F.floor(F.col("_t") / F.lit(window)).cast("long"))
     )
 
     # per key at most one row for each window of the time covered
-    per_key = Window.partitionBy(key).orderBy("_cell")
+    per_key = Window.partitionBy("_key").orderBy("_cell")
     cells = (
-        rows.groupBy(key, "_cell")
+        rows.groupBy("_key", "_cell")
         .agg(F.count("*").alias("_n"))
         .withColumn("_joined", F.coalesce(F.col("_cell") - F.lag("_cell").over(per_key) == 1, F.lit(False)))
         .withColumn("_before", F.when(F.col("_joined"), F.lag("_n").over(per_key)).otherwise(0))
@@ -77,38 +81,42 @@ def rate_limit(
             ),
         )
         .select(
-            key,
+            "_key",
             "_cell",
             "_dense",
             # a sparse cell right before a run is walked along with it
             F.when(F.col("_dense"), F.col("_run")).when(F.col("_leads"), F.col("_run") + 1).alias("_run"),
         )
     )
-    labelled = rows.join(cells, [key, "_cell"])
+    labelled = rows.join(cells, ["_key", "_cell"])
     columns = list(events.columns)
     sparse = labelled.where(F.col("_run").isNull()).select(*columns, F.lit(True).alias("accepted"))
 
-    walked = labelled.where(F.col("_run").isNotNull()).select(*columns, "_run", "_t")
+    walked = labelled.where(F.col("_run").isNotNull()).select(*columns, "_key", "_run", "_t")
     schema = T.StructType([*walked.schema.fields, T.StructField("accepted", T.BooleanType())])
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, log = None, deque()
         for batch in batches:
-            accepted = np.zeros(len(batch), dtype=bool)
-            keys, runs, times = batch[key].to_numpy(), batch["_run"].to_numpy(), batch["_t"].to_numpy()
+            keys, runs, times = (
+                batch.column(c).to_numpy(zero_copy_only=False) for c in ("_key", "_run", "_t")
+            )
+            accepted = np.zeros(len(times), dtype=bool)
             new = np.flatnonzero((keys[1:] != keys[:-1]) | (runs[1:] != runs[:-1])) + 1
-            for lo, hi in zip([0, *new], [*new, len(batch)]):
+            for lo, hi in zip([0, *new], [*new, len(times)]):
                 if hi > lo:
                     if (keys[lo], runs[lo]) != current:
                         current, log = (keys[lo], runs[lo]), deque()
                     accepted[lo:hi] = accept_in_order(times[lo:hi], log, limit, window)
-            yield batch.assign(accepted=accepted)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(accepted)], names=[*batch.schema.names, "accepted"]
+            )
 
     # batches stream through: a task keeps ``limit`` times, never a whole run
     dense = (
-        walked.repartition(key, "_run")
-        .sortWithinPartitions(key, "_run", "_t", order)
-        .mapInPandas(walk, schema)
+        walked.repartition("_key", "_run")
+        .sortWithinPartitions("_key", "_run", "_t", order)
+        .mapInArrow(walk, schema)
         .select(*columns, "accepted")
     )
     return sparse.unionByName(dense)
