@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textguard.llm import decontaminate, packing, simhash, token_counts
+from textguard.llm import decontaminate, language, packing, quality, simhash, token_counts
 from textguard.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,3 +52,13 @@ def op2_benchmark_decontamination(spark, sf_dir):
 @query
 def op8_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_quality_classifier(spark, sf_dir):
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_language_id(spark, sf_dir):
+    return language.predict_language(table(spark, sf_dir, "documents"))
