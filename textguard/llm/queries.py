@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textguard.llm import decontaminate, language, packing, quality, simhash, token_counts
+from textguard.llm import decontaminate, language, packing, quality, simhash, token_counts, toxicity
 from textguard.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,3 +62,8 @@ def op9_quality_classifier(spark, sf_dir):
 @query
 def op10_language_id(spark, sf_dir):
     return language.predict_language(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
