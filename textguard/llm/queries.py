@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textguard.llm import decontaminate, language, packing, quality, simhash, token_counts, toxicity
+from textguard.llm import decontaminate, language, lm, packing, quality, simhash, token_counts, toxicity
 from textguard.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,3 +67,8 @@ def op10_language_id(spark, sf_dir):
 @query
 def op4_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_lm_scoring(spark, sf_dir):
+    return lm.log_likelihood(table(spark, sf_dir, "documents"))
