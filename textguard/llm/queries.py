@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textguard.llm import decontaminate, language, lm, packing, quality, simhash, token_counts, toxicity
+from textguard.llm import decontaminate, language, lm, neighbours, packing, quality, simhash, token_counts, toxicity
 from textguard.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,3 +72,8 @@ def op4_toxicity(spark, sf_dir):
 @query
 def op3_lm_scoring(spark, sf_dir):
     return lm.log_likelihood(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_nearest_neighbours(spark, sf_dir):
+    return neighbours.top_k(table(spark, sf_dir, "embeddings"))
