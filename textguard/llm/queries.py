@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textguard.llm import decontaminate, language, lm, neighbours, packing, quality, simhash, token_counts, toxicity
+from textguard.llm import (
+    decontaminate,
+    language,
+    lm,
+    neighbours,
+    packing,
+    quality,
+    simhash,
+    substring,
+    token_counts,
+    toxicity,
+)
 from textguard.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +88,8 @@ def op3_lm_scoring(spark, sf_dir):
 @query
 def op5_nearest_neighbours(spark, sf_dir):
     return neighbours.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_substring_dedup(spark, sf_dir):
+    return substring.repeated_passages(table(spark, sf_dir, "documents"))
