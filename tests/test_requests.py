@@ -313,3 +313,39 @@ def test_envelopes(spark):
     assert {k: v["code"] for k, v in got.items()} == {k: c for k, (c, _t) in rules.ERRORS.items()}
     assert [k for k, v in got.items() if "category" in v] == ["security_blocked"]
     assert got["rate_limited"]["message"] == rules.MSG_RATE_LIMIT
+
+
+def test_hosts_are_read_as_a_client_reads_them(spark):
+    cases = {
+        "http://2852039166/": "169.254.169.254",
+        "http://0xA9FEA9FE/": "169.254.169.254",
+        "http://0251.0376.0251.0376./": "169.254.169.254",
+        "http://169.16689662/": "169.254.169.254",
+        "http://127.1/": "127.0.0.1",
+        "http:\\\\127.0.0.1\\x": "127.0.0.1",
+        " http://u:p@[::1]:80/ ": "[::1]",
+        "http://%6Cocalhost/": "localhost",
+        "http://my_host.example.com/": "my_host.example.com",
+        "http://1.2.3.4.example.org/": "1.2.3.4.example.org",
+        "http://1.2.3.256/": None,
+        "http://1.2.3.4.5/": None,
+        "http://09.1.1.1/": None,
+        "http:///x": "",
+    }
+    df = spark.createDataFrame([(u,) for u in cases], "url string")
+    trimmed = F.btrim("url")
+    got = {r.url: r.host for r in df.select("url", policy.url_host(trimmed).alias("host")).collect()}
+    assert got == cases
+    reasons = {r.url: r.reason for r in df.select("url", policy.url_block_reason(F.col("url"), False).alias("reason")).collect()}
+    assert reasons["http://my_host.example.com/"] is None
+    assert all(reasons[u] for u, host in cases.items() if host not in ("my_host.example.com", "1.2.3.4.example.org"))
+
+
+def test_the_forwarded_body_names_a_model(spark):
+    bodies = [json.dumps({"messages": [user()], **m}) for m in ({}, {"model": ""}, {"model": "m1"}, {"model": 7})]
+    rows = spark.createDataFrame([(str(i), b) for i, b in enumerate(bodies)], "request_id string, body string")
+    rows = rows.select("request_id", F.parse_json("body").alias("payload"))
+    sent = rows.select("request_id", chat.sanitized_body(F.col("payload"), F.array(F.lit(None).cast("string"))).alias("b"))
+    got = {r.request_id: json.loads(r.b) for r in sent.collect()}
+    assert [got[str(i)]["model"] for i in range(4)] == [rules.DEFAULT_MODEL, rules.DEFAULT_MODEL, "m1", 7]
+    assert all(b["messages"] == [user()] for b in got.values())

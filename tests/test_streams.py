@@ -188,3 +188,61 @@ def test_rate_limit_stream(spark, tmp_path):
     live = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     out = run_available(rate_limit_stream(live, "k", "ts", "id", 5, 60), "test", f"{tmp_path}/run")
     assert {r.id: r.accepted for r in out.collect()} == expected_limits(rows, 5, 60)
+
+
+def test_chunks_without_flag_or_place_are_not_forwarded_unscanned(spark, tmp_path):
+    rows = [(1, 0, sse(KEY), None), (None, 0, sse(KEY), False), (2, None, sse(KEY), False), (2, 0, sse("fine"), None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {(1, 0, "killed"), (None, 0, "unscanned"), (2, None, "unscanned"), (2, 0, "pass")}
+    out = streams.stream_output(df).collect()
+    assert {(r.stream_id, r.seq, r.status) for r in out} == want
+    assert not any(KEY in (r.chunk or "") for r in out)
+    killed = {(r.stream_id, r.seq) for r in streams.stream_decisions(df).where("decision = 'Kill'").collect()}
+    assert killed == {(1, 0), (None, 0), (2, None)}
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    live = run_available(scan_stream(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")), "t", f"{tmp_path}/run").collect()
+    assert {(r.stream_id, r.seq, r.status) for r in live} == want
+    assert not any(KEY in (r.chunk or "") for r in live)
+
+
+def test_an_ended_stream_stays_ended(spark, tmp_path):
+    """The second run begins after the idle time of the other state."""
+    import time
+
+    def run(rows):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        live = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
+        out = run_available(scan_stream(live, idle_ms=500), "test", f"{tmp_path}/run")
+        return {(r.stream_id, r.seq, r.status) for r in out.collect()}
+
+    assert run([(1, 0, sse(KEY), False), (2, 0, sse("a"), False)]) == {(1, 0, "killed"), (2, 0, "pass")}
+    time.sleep(2)
+    later = run([(1, 1, sse("more"), False), (2, 1, sse("b"), False)])
+    assert later == {(1, 0, "killed"), (2, 0, "pass"), (2, 1, "pass")}
+
+
+def test_requests_without_a_time_are_kept_and_not_accepted(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1, 0), (2, 1, None), (3, 1, 1)], "id bigint, k bigint, t bigint")
+    df = df.select("id", "k", F.timestamp_seconds("t").alias("ts"))
+    want = {1: True, 2: False, 3: False}
+    assert {r.id: r.accepted for r in rate_limit(df, "k", "ts", "id", 1, 5).collect()} == want
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    live = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    out = run_available(rate_limit_stream(live, "k", "ts", "id", 1, 5), "test", f"{tmp_path}/run")
+    assert {r.id: r.accepted for r in out.collect()} == want
+
+
+def test_rate_limit_stream_after_a_pause(spark, tmp_path):
+    """Decisions go by the time of events, however late they are processed."""
+    import time
+
+    def run(rows):
+        df = spark.createDataFrame(rows, "id bigint, k bigint, t bigint").select("id", "k", F.timestamp_seconds("t").alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        live = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+        out = run_available(rate_limit_stream(live, "k", "ts", "id", 1, 1), "test", f"{tmp_path}/run")
+        return {r.id: r.accepted for r in out.collect()}
+
+    assert run([(1, 1, 1000)]) == {1: True}
+    time.sleep(3)
+    assert run([(2, 1, 1000)]) == {1: True, 2: False}

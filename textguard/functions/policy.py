@@ -125,18 +125,57 @@ def empty_prompt_error(prompt: Column) -> Column:
     return F.when(blank, error("bad_request", rules.MSG_EMPTY_PROMPT)).otherwise(no_error())
 
 
+def ipv4_of(host: Column) -> Column:
+    """Dotted form of a host that is an IPv4 address in one to four decimal, octal
+    or hexadecimal parts; the host itself if its last part is no number; null if
+    the numbers make no address."""
+    parts = F.split(F.regexp_replace(host, r"\.$", ""), r"\.")
+
+    def number(part: Column) -> Column:
+        return (
+            F.when(part.rlike("^0x[0-9a-f]*$"), F.coalesce(F.conv(F.nullif(F.substring(part, 3, 99), F.lit("")), 16, 10), F.lit("0")))
+            .when(part.rlike("^0[0-7]*$"), F.conv(part, 8, 10))
+            .when(part.rlike("^[1-9][0-9]*$"), part)
+            .try_cast("decimal(20,0)")
+        )
+
+    numbers, n = F.transform(parts, number), F.size(parts)
+    last = F.element_at(numbers, -1)
+    front = F.slice(numbers, F.lit(1), n - 1)
+    room = F.pow(F.lit(256.0), 5 - n).cast("decimal(20,0)")
+    fits = (n <= 4) & F.forall(numbers, lambda x: x.isNotNull()) & F.forall(front, lambda x: x <= 255) & (last < room)
+    head = F.aggregate(front, F.lit(0).cast("bigint"), lambda a, x: a * 256 + x.cast("bigint"))
+    value = head * room.cast("bigint") + last.cast("bigint")
+    dotted = F.concat_ws(".", *(F.shiftright(value, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)))
+    numeric = F.element_at(parts, -1).rlike("^([0-9]+|0x[0-9a-f]*)$")
+    return F.when(~numeric, host).when(F.coalesce(fits, F.lit(False)), dotted)
+
+
+def url_host(url: Column) -> Column:
+    """Host of a URL as a client reads it: without user and port, in lower case,
+    percent signs decoded, IPv4 addresses dotted; null if it can't be one."""
+    rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*:[/\\]{0,2}([^/?#\\]*)", 1)
+    rest = F.regexp_replace(rest, "^.*@", "")
+    plain = F.lower(F.try_url_decode(F.replace(F.regexp_replace(rest, ":[0-9]*$", ""), F.lit("+"), F.lit("%2B"))))
+    bracketed = F.lower(F.regexp_extract(rest, r"^(\[[^\]]*\])", 1))
+    return F.when(F.startswith(rest, F.lit("[")), bracketed).otherwise(ipv4_of(plain))
+
+
 def url_block_reason(
     url: Column, allow_localhost: bool = True, block_cloud_metadata: bool = True
 ) -> Column:
     """Why a URL must not be called, null if it may be."""
-    scheme = F.lower(F.try_parse_url(url, F.lit("PROTOCOL")))
-    host = F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
+    # blanks around a URL and line breaks inside it are not read
+    url = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\r\n]", "")
+    scheme = F.nullif(F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*):", 1)), F.lit(""))
+    host = url_host(url)
     bare = F.regexp_replace(host, r"^\[|\]$", "")
     local = (host == "localhost") | (bare == "::1") | F.startswith(host, F.lit("127."))
     metadata = F.startswith(host, F.lit(rules.METADATA_PREFIX)) | (host == rules.METADATA_HOST)
     return (
         F.when(scheme.isNull(), F.lit("Invalid upstream URL"))
         .when(~scheme.isin("http", "https"), fill(rules.MSG_URL_SCHEME, scheme))
+        .when(host.isNull(), F.lit("Invalid upstream URL"))
         .when(host == "", F.lit(rules.MSG_URL_HOST))
         .when(F.lit(block_cloud_metadata) & metadata, fill(rules.MSG_URL_METADATA, host))
         .when(~F.lit(allow_localhost) & local, fill(rules.MSG_URL_LOCALHOST, host))

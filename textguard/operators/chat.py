@@ -81,9 +81,23 @@ def attack_error(category: Column, rule_name: Column) -> Column:
     return F.when(category.isNotNull(), error("security_blocked", reason, camel))
 
 
-def sanitized_body(payload: Column, sanitized: Column, system: Column | None = None) -> Column:
-    """JSON body with the sanitized texts (null = leave the message alone), and
-    ``system``, if any, as a system message in front."""
+def with_model(body: Column, default_model: str) -> Column:
+    """The JSON object with the default model where none or an empty one is named."""
+    members = F.try_variant_get(body, "$", policy.OBJECT)
+    named = F.map_contains_key(members, "model") & (F.coalesce(json_string(body, "$.model"), F.lit("-")) != "")
+    others = F.map_filter(members, lambda k, _: k != "model")
+    model = F.create_map(F.lit("model"), F.lit(default_model).cast("variant"))
+    return F.when(named, body).otherwise(F.to_variant_object(F.map_concat(others, model)))
+
+
+def sanitized_body(
+    payload: Column,
+    sanitized: Column,
+    system: Column | None = None,
+    default_model: str = rules.DEFAULT_MODEL,
+) -> Column:
+    """JSON body with the sanitized texts (null = leave the message alone),
+    ``system``, if any, as a system message in front, and a model."""
     messages = policy.members(payload, "$.messages")
     pairs = F.arrays_zip(messages.alias("m"), sanitized.alias("t"))
 
@@ -97,7 +111,8 @@ def sanitized_body(payload: Column, sanitized: Column, system: Column | None = N
             F.struct(F.lit("system").alias("role"), system.alias("content"))
         )
         rewritten = F.when(system.isNotNull(), F.concat(F.array(front), rewritten)).otherwise(rewritten)
-    return F.to_json(replace_member(payload, "messages", F.to_variant_object(rewritten)))
+    body = replace_member(payload, "messages", F.to_variant_object(rewritten))
+    return F.to_json(with_model(body, default_model))
 
 
 def last_user_text(payload: Column, texts: Column) -> Column:

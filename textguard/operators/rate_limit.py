@@ -49,12 +49,16 @@ def rate_limit(
     limit: int = rules.RATE_LIMIT,
     window_seconds: int = rules.RATE_WINDOW_SECONDS,
 ) -> DataFrame:
-    """Add ``accepted``. ``order`` is unique and breaks ties of ``ts``."""
+    """Add ``accepted``. ``order`` is unique and breaks ties of ``ts``. A request
+    without a time has no place in any window and is not accepted."""
     window = window_seconds * 1_000_000
     # rows without a key share one: a text that is never null takes its place
     named = F.concat(F.lit("k"), F.col(key).cast("string"))
+    timed = F.col(ts).cast("timestamp").isNotNull()
+    timeless = events.where(~timed).select(*events.columns, F.lit(False).alias("accepted"))
     rows = (
-        events.withColumn("_key", F.coalesce(named, F.lit("none")))
+        events.where(timed)
+        .withColumn("_key", F.coalesce(named, F.lit("none")))
         .withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
         .withColumn("_cell", F.floor(F.col("_t") / F.lit(window)).cast("long"))
     )
@@ -119,4 +123,4 @@ def rate_limit(
         .mapInArrow(walk, schema)
         .select(*columns, "accepted")
     )
-    return sparse.unionByName(dense)
+    return sparse.unionByName(dense).unionByName(timeless)

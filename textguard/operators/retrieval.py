@@ -25,7 +25,6 @@ from textguard.functions.embed import (
 from textguard.functions.text import fill
 
 STEP = 4096  # corpus rows per matrix product
-SMALL_QUERY_NUMBERS = 1 << 18  # vector elements (2 MB) that may go to every executor
 BLOCK_ROWS = 20_000
 
 
@@ -89,6 +88,10 @@ def _check_dim(df: DataFrame, dim: int | None) -> DataFrame:
     )
 
 
+def _usable(df: DataFrame) -> DataFrame:
+    return df.where(F.coalesce(F.forall("embedding", lambda x: x.isNotNull()), F.lit(False)))
+
+
 def _rank(pairs: DataFrame, k: int) -> DataFrame:
     """Final k per query from the k of every block."""
     order = Window.partitionBy("query_id").orderBy("distance", "doc_id")
@@ -161,27 +164,30 @@ def vector_topk(
     queries: DataFrame, corpus: DataFrame, k: int = rules.TOP_K, dim: int | None = None
 ) -> DataFrame:
     """Exact (query_id, doc_id, distance, rank): the k nearest by cosine
-    distance, ties by doc_id. Fewer than k if the corpus is smaller.
+    distance, ties by doc_id. Fewer than k if the corpus is smaller. Queries meet
+    the corpus block by block; nothing is read while the plan is built. Rows
+    whose vector is null or holds a null take no part."""
+    queries, corpus = _usable(_check_dim(queries, dim)), _usable(_check_dim(corpus, dim))
+    if k <= 0:
+        return _empty_topk(queries)
+    return _rank(vector_pairs(queries, corpus, k), k)
+
 
-    A query set that fits ``SMALL_QUERY_NUMBERS`` goes to the tasks that scan
-    the corpus, which is then not shuffled; a larger one meets the corpus block
-    by block. The check reads at most one row more than the bound allows.
-    """
-    queries, corpus = _check_dim(queries, dim), _check_dim(corpus, dim)
+def vector_topk_few(
+    queries: DataFrame, corpus: DataFrame, k: int = rules.TOP_K, dim: int | None = None
+) -> DataFrame:
+    """The same for query sets known to be small: they go to the tasks that scan
+    the corpus, which is not shuffled. More than ``STEP`` queries are an error."""
+    queries, corpus = _usable(_check_dim(queries, dim)), _usable(_check_dim(corpus, dim))
     if k <= 0:
         return _empty_topk(queries)
-    width = queries.select(F.size("embedding")).head()
-    if width is None:
+    few = queries.select("query_id", "embedding").limit(STEP + 1).toPandas()
+    if len(few) > STEP:
+        raise ValueError(f"more than {STEP} queries: use vector_topk")
+    if not len(few):
         return _empty_topk(queries)
-    bound = min(SMALL_QUERY_NUMBERS // max(width[0], 1), STEP)
-    few = queries.select("query_id", "embedding").limit(bound + 1).toPandas()
-    if len(few) <= bound:
-        ids = few["query_id"].to_numpy()
-        vectors = unit_rows(few["embedding"])
-        pairs = _scan_topk(corpus, ids, vectors, k, pairs_schema(queries))
-    else:
-        pairs = vector_pairs(queries, corpus, k)
-    return _rank(pairs, k)
+    ids, vectors = few["query_id"].to_numpy(), unit_rows(few["embedding"])
+    return _rank(_scan_topk(corpus, ids, vectors, k, pairs_schema(queries)), k)
 
 
 def vector_pairs(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
@@ -191,14 +197,6 @@ def vector_pairs(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     )
 
 
-def vector_topk_blocks(queries: DataFrame, corpus: DataFrame, k: int = rules.TOP_K) -> DataFrame:
-    """The block-against-block form of :func:`vector_topk`, for query sets that
-    are known to be large; nothing is read while the plan is built."""
-    if k <= 0:
-        return _empty_topk(queries)
-    return _rank(vector_pairs(queries, corpus, k), k)
-
-
 def vector_topk_lsh(
     queries: DataFrame,
     corpus: DataFrame,
@@ -218,6 +216,7 @@ def vector_topk_lsh(
         coded = df.select(key, "embedding", bucket_codes(F.col("embedding"), planes).alias("_codes"))
         return coded.select(key, "embedding", F.posexplode("_codes").alias("_table", "_bucket"))
 
+    queries, corpus = _usable(queries), _usable(corpus)
     pairs = _grid_topk(hashed(queries, "query_id"), hashed(corpus, "doc_id"), ["_table", "_bucket"], k)
     # the same pair may come out of several tables
     return _rank(pairs.groupBy("query_id", "doc_id").agg(F.min("distance").alias("distance")), k)
@@ -239,7 +238,7 @@ def search_text(
 ) -> DataFrame:
     """queries(query_id, text) -> (query_id, rank, doc_id, distance, text)."""
     embedded = queries.select("query_id", embed_text(F.col("text"), dim).alias("embedding"))
-    hits = vector_topk_blocks(embedded, corpus.select("doc_id", "embedding"), k)
+    hits = vector_topk(embedded, corpus.select("doc_id", "embedding"), k)
     return with_texts(hits, corpus).select("query_id", "rank", "doc_id", "distance", "text")
 
 

@@ -86,16 +86,28 @@ def with_tail(
     )
 
 
+def flagged(chunks: DataFrame) -> DataFrame:
+    """The chunks with ``transport_error`` never null: an unknown flag is no error,
+    so such a chunk is scanned like any other."""
+    return chunks.withColumn("transport_error", F.coalesce("transport_error", F.lit(False)))
+
+
+def placeless() -> Column:
+    """Chunks without a stream or a number have no place in any window. They can't
+    be scanned and are never forwarded."""
+    return F.col("stream_id").isNull() | F.col("seq").isNull()
+
+
 def chunk_deltas(chunks: DataFrame) -> DataFrame:
     """(stream_id, seq, line, delta): the content deltas of every chunk."""
-    return chunks.where(~F.col("transport_error")).select(
+    return flagged(chunks).where(~F.col("transport_error")).select(
         "stream_id", "seq", F.posexplode(sse.deltas(F.col("chunk"))).alias("line", "delta")
     )
 
 
 def chunk_tails(chunks: DataFrame, window: int = rules.STREAM_WINDOW) -> DataFrame:
     """(stream_id, seq, deltas, tail) of the chunks that have deltas."""
-    parsed = chunks.where(~F.col("transport_error")).select(
+    parsed = flagged(chunks).where(~F.col("transport_error")).select(
         "stream_id", "seq", sse.deltas(F.col("chunk")).alias("deltas")
     )
     parsed = parsed.where(F.size("deltas") > 0)
@@ -190,13 +202,15 @@ def _with_end(rows: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def stream_decisions(chunks: DataFrame, window: int = rules.STREAM_WINDOW) -> DataFrame:
-    """Decision for every delta; deltas after a kill count as terminated."""
+    """Decision for every delta; deltas after a kill count as terminated, and so
+    do those of chunks without a stream or a number."""
     ends = stream_ends(chunks, window).where("status = 'killed'")
     rows = _with_end(chunk_deltas(chunks), ends)
     here = F.struct("seq", "line")
     end = F.struct(F.col("end_seq").alias("seq"), F.col("end_line").alias("line"))
     ended = F.col("end_seq").isNotNull()
-    at, after = ended & (here == end), ended & (here > end)
+    at = F.coalesce(ended & (here == end), F.lit(False))
+    after = placeless() | (ended & (here > end))
     return rows.select(
         "stream_id",
         "seq",
@@ -210,11 +224,15 @@ def stream_decisions(chunks: DataFrame, window: int = rules.STREAM_WINDOW) -> Da
 def stream_output(chunks: DataFrame, window: int = rules.STREAM_WINDOW) -> DataFrame:
     """(stream_id, seq, status, chunk) as forwarded to the client: untouched
     chunks up to the end, one error frame in place of the killing chunk, a null
-    chunk for a transport error, nothing after that."""
-    rows = _with_end(chunks, stream_ends(chunks, window))
+    chunk for a transport error, nothing after that. Chunks without a stream or a
+    number come out with status ``unscanned`` and a null chunk."""
+    lost = chunks.where(placeless()).select(
+        "stream_id", "seq", F.lit("unscanned").alias("status"), F.lit(None).cast("string").alias("chunk")
+    )
+    rows = _with_end(chunks.where(~placeless()), stream_ends(chunks, window))
     at = F.col("seq") == F.col("end_seq")
     frame = fill(rules.STREAM_ERROR_FRAME, F.col("reason"))
-    return rows.where(F.col("end_seq").isNull() | (F.col("seq") <= F.col("end_seq"))).select(
+    sent = rows.where(F.col("end_seq").isNull() | (F.col("seq") <= F.col("end_seq"))).select(
         "stream_id",
         "seq",
         F.when(at, F.col("status")).otherwise("pass").alias("status"),
@@ -222,6 +240,7 @@ def stream_output(chunks: DataFrame, window: int = rules.STREAM_WINDOW) -> DataF
         .when(F.col("status") == "killed", frame)
         .alias("chunk"),
     )
+    return sent.unionByName(lost)
 
 
 def stream_summary(chunks: DataFrame, window: int = rules.STREAM_WINDOW) -> DataFrame:

@@ -75,6 +75,7 @@ def decide_chat(
         joined = joined.withColumn("_killed", F.lit(False))
     reached, whole = F.col("reached_upstream"), ~F.coalesce("streaming", F.lit(False))
     no_answer = reached & F.col("upstream_status").isNull()
+    answered = F.coalesce(F.col("upstream_status").between(200, 299), F.lit(False))
     return (
         joined.withColumn("upstream_error", F.when(no_answer, F.lit("no upstream response")))
         .withColumn("upstream_latency_us", F.when(reached, F.coalesce("_latency", F.lit(0))).otherwise(0))
@@ -85,7 +86,8 @@ def decide_chat(
         .withColumn(
             "response_findings", F.when(reached & whole, F.coalesce("response_findings", F.lit(0))).otherwise(0)
         )
-        .withColumn("stream_killed", reached & ~whole & F.coalesce("_killed", F.lit(False)))
+        # only a successful answer is streamed
+        .withColumn("stream_killed", reached & ~whole & answered & F.coalesce("_killed", F.lit(False)))
         .withColumn("rag_retrieval_performed", F.coalesce("rag_retrieval_performed", F.lit(False)))
         .drop("_latency", "_killed")
     )

@@ -458,6 +458,20 @@ def policy_sql() -> dict[str, str]:
         f"WHEN {host} LIKE '169.254.%' OR {host} = 'metadata.google.internal' "
         f"THEN 'Access to cloud metadata address ''' || {host} || ''' is strictly prohibited' "
     )
+
+    def planted(strict: bool) -> str:
+        """Expected reasons, written down with the planted URLs."""
+        cases = ""
+        for n, (_, blocked, local) in enumerate(inputs.URL_CASES):
+            if blocked and not local:
+                reason = f"Access to cloud metadata address '{blocked}' is strictly prohibited"
+            elif blocked and strict:
+                reason = f"Access to localhost '{blocked}' is disabled in current configuration"
+            else:
+                continue
+            cases += f" WHEN {n} THEN {q(reason)}"
+        return f"CASE page_id % {len(inputs.URL_CASES)}{cases} END"
+
     limited = """
         WITH RECURSIVE ev AS (
           SELECT event_id, {key} AS k, ts, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS rn FROM events),
@@ -500,11 +514,12 @@ def policy_sql() -> dict[str, str]:
         "governance_targets": f"""WITH t AS (SELECT page_id, url, regexp_extract(url, '^(https?)://([^/]+)', 2) AS target FROM pages)
             SELECT page_id, target, CASE WHEN target NOT IN (SELECT target FROM t WHERE starts_with(url, 'https://'))
               THEN 'Blocked McpServer request to ''' || target || ''' by default‑deny policy' END AS error FROM t""",
-        "url_policy": f"""WITH s AS (SELECT page_id, {inputs.SEEDED_URL} AS u FROM pages)
-            SELECT page_id, {base} END AS reason,
+        "url_policy": f"""WITH s AS (SELECT page_id, url AS u FROM pages)
+            SELECT page_id, false AS planted, {base} END AS reason,
               {base} WHEN {host} IN ('localhost', '[::1]') OR {host} LIKE '127.%'
                 THEN 'Access to localhost ''' || {host} || ''' is disabled in current configuration' END AS strict_reason
-            FROM s""",
+            FROM s UNION ALL
+            SELECT page_id, true, {planted(False)}, {planted(True)} FROM pages""",
         "rate_limit_by_user": limited.format(key="user_id", window=86400, limit=3, out="k AS user_id, "),
         "rate_limit_global": limited.format(key="0", window=3600, limit=20, out=""),
         "error_envelopes": f"""WITH e AS (SELECT event_id, event_type, {inputs.ERROR_KIND} AS kind FROM events),
@@ -524,6 +539,11 @@ def policy_sql() -> dict[str, str]:
               coalesce(r.redacted, m.content) AS content
             FROM decided d JOIN msgf m ON m.id = d.id LEFT JOIN d_red r ON r.id = m.id * 1000 + m.idx
             WHERE d.kind IS NULL""",
+        "upstream_bodies": f"""WITH {DECIDED} SELECT d.request_id,
+              CASE WHEN json_type(r.j, '$.model') IS NULL OR json_extract_string(r.j, '$.model') = ''
+                THEN {q(rules.DEFAULT_MODEL)} ELSE json_extract_string(r.j, '$.model') END AS model,
+              CAST(json_array_length(r.j, '$.messages') AS INT) AS n_messages
+            FROM decided d JOIN req r ON r.id = d.id WHERE d.kind IS NULL""",
         "response_redaction": f"""WITH {SD}, {redacted_ctes('sd')}, p AS (SELECT id AS prompt_id, * FROM d_red)
             SELECT {REQUEST_ID} AS request_id, {inputs.STATUS} AS status,
               CASE WHEN {inputs.STATUS} = 200 AND n > 0 THEN 1 ELSE 0 END AS redacted_choices,
@@ -568,7 +588,8 @@ chat AS (
          d.id % 43 = 5 AND kind IS NULL AS no_answer,
          CASE WHEN kind IS NULL AND d.id % 43 <> 5 THEN d.id * 7919 % 900 + 100 ELSE 0 END AS latency,
          CASE WHEN kind IS NULL AND NOT streaming AND d.id % 43 <> 5 AND d.id % 31 <> 0 THEN r.n ELSE 0 END AS findings,
-         kind IS NULL AND streaming AND coalesce(e.status = 'killed', false) AS stream_killed
+         kind IS NULL AND streaming AND d.id % 43 <> 5 AND d.id % 31 <> 0
+           AND coalesce(e.status = 'killed', false) AS stream_killed
   FROM decided d JOIN r_red r ON r.id = d.id LEFT JOIN ends e ON e.stream_id = d.id),
 audit AS (
   SELECT strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(id * 7), '%Y-%m-%dT%H:%M:%SZ') AS timestamp,

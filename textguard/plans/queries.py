@@ -37,7 +37,7 @@ def all_queries() -> dict[str, Query]:
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return inputs.text_table(spark, sf, "documents", "doc_id")
+    return table(spark, sf, "documents")
 
 
 # --- normalization ---------------------------------------------------------------
@@ -182,7 +182,7 @@ def pii_redact_prompts(spark, sf):
 
 @query
 def pii_redact_pages(spark, sf):
-    pages = inputs.text_table(spark, sf, "pages", "page_id")
+    pages = table(spark, sf, "pages")
     pages = pages.select("page_id", F.col("html").alias("text"))
     return scanning.redact_table(pages).select("page_id", "redacted", "redactions")
 
@@ -327,9 +327,10 @@ def governance_targets(spark, sf):
 
 @query
 def url_policy(spark, sf):
-    urls = table(spark, sf, "pages").select("page_id", F.expr(inputs.SEEDED_URL).alias("url"))
+    urls = inputs.urls(spark, sf)
     return urls.select(
         "page_id",
+        "planted",
         policy.url_block_reason(F.col("url")).alias("reason"),
         policy.url_block_reason(F.col("url"), allow_localhost=False).alias("strict_reason"),
     )
@@ -417,6 +418,18 @@ def sanitized_requests(spark, sf):
     )
 
 
+@query
+def upstream_bodies(spark, sf):
+    """The model that the forwarded body names, whether or not the request did."""
+    out = jobs.sanitize_requests(_decided(spark, sf)).where(F.col("upstream_body").isNotNull())
+    body = F.try_parse_json("upstream_body")
+    return out.select(
+        "request_id",
+        F.try_variant_get(body, "$.model", "string").alias("model"),
+        F.size(policy.members(body, "$.messages")).alias("n_messages"),
+    )
+
+
 @query
 def response_redaction(spark, sf):
     out = chat.redact_responses(responses(spark, sf))
@@ -559,14 +572,14 @@ def ingest_documents(spark, sf):
 
 @query
 def vector_topk(spark, sf):
-    hits = retrieval.vector_topk(_centroids(spark, sf), _vectors(spark, sf, "doc_id"), 10)
+    hits = retrieval.vector_topk_few(_centroids(spark, sf), _vectors(spark, sf, "doc_id"), 10)
     return _rounded(hits)
 
 
 @query
 def vector_topk_all(spark, sf):
     vectors = _vectors(spark, sf, "query_id")
-    return _rounded(retrieval.vector_topk_blocks(vectors, _vectors(spark, sf, "doc_id"), 5))
+    return _rounded(retrieval.vector_topk(vectors, _vectors(spark, sf, "doc_id"), 5))
 
 
 @query
@@ -577,7 +590,7 @@ def vector_topk_lsh(spark, sf):
 
 @query
 def doc_lookup(spark, sf):
-    hits = retrieval.vector_topk(_centroids(spark, sf), _vectors(spark, sf, "doc_id"), 10)
+    hits = retrieval.vector_topk_few(_centroids(spark, sf), _vectors(spark, sf, "doc_id"), 10)
     found = retrieval.with_texts(hits, _documents(spark, sf))
     return found.select("query_id", "rank", "doc_id", F.md5("text").alias("text_md5"))
 

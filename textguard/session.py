@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # Settings that the operators rely on or profit from at any size. Shuffle
@@ -30,13 +32,17 @@ def build_session(name: str = "textguard", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """The shared checkpoint folder of the cluster; ``fallback`` only where the
-    session names none (tests on one machine)."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder of the cluster. A session on one machine that
+    names none gets a folder of its own; a cluster without one is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
-    folder = configured or fallback
+    folder = configured
+    master = spark.sparkContext.master
+    if not folder and master.startswith("local") and not master.startswith("local-cluster"):
+        folder = tempfile.mkdtemp(prefix="textguard-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return folder

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -34,8 +33,8 @@ def _settings(spark: SparkSession) -> Iterator[None]:
 
 def job_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for the state and output of one run, inside the shared
-    checkpoint folder of the cluster (a temporary one only where none is set)."""
-    return f"{checkpoint_dir(spark, tempfile.gettempdir())}/textguard-{name}-{uuid.uuid4().hex}"
+    checkpoint folder of the cluster."""
+    return f"{checkpoint_dir(spark)}/textguard-{name}-{uuid.uuid4().hex}"
 
 
 def run_available(stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:

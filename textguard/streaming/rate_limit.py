@@ -22,9 +22,9 @@ class SlidingLog(StatefulProcessor):
         self.order, self.limit, self.window = order, limit, window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # nothing older than one window matters: idle keys expire on their own
-        idle_ms = max(self.window // 1000, 1) * 2
-        self.log = handle.getValueState("log", "accepted array<bigint>", idle_ms)
+        # decisions go by the time of events, which a clock on the wall can't
+        # expire: at most ``limit`` times of every key stay
+        self.log = handle.getValueState("log", "accepted array<bigint>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(rows).sort_values(["event_us", self.order], kind="stable")
@@ -46,11 +46,14 @@ def rate_limit_stream(
     window_seconds: int = rules.RATE_WINDOW_SECONDS,
 ) -> DataFrame:
     """Streaming form of :func:`textguard.operators.rate_limit.rate_limit`.
-    Events of a key arrive in order of time across micro-batches."""
-    rows = events.withColumn("event_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    Events of a key arrive in order of time across micro-batches; sources have to
+    bound what a micro-batch holds. Events without a time are not accepted."""
+    timed = F.col(ts).cast("timestamp").isNotNull()
+    timeless = events.where(~timed).select(*events.columns, F.lit(False).alias("accepted"))
+    rows = events.where(timed).withColumn("event_us", F.unix_micros(F.col(ts).cast("timestamp")))
     schema = T.StructType([*rows.schema.fields, T.StructField("accepted", T.BooleanType())])
     processor = SlidingLog(order, limit, window_seconds * 1_000_000)
     decided = rows.groupBy(key).transformWithStateInPandas(
         processor, schema, "append", "processingTime"
     )
-    return decided.drop("event_us")
+    return decided.drop("event_us").unionByName(timeless)

@@ -19,9 +19,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from textguard import rules
 from textguard.functions import sse
 from textguard.functions.text import fill
-from textguard.operators.streams import with_kill
+from textguard.operators.streams import flagged, placeless, with_kill
 
-IDLE_MS = 60 * 60 * 1000  # state of a stream that is silent for an hour is dropped
+IDLE_MS = 60 * 60 * 1000  # the last characters of a stream that is silent for an hour are dropped
 
 
 class CarryTail(StatefulProcessor):
@@ -50,13 +50,12 @@ class CarryTail(StatefulProcessor):
 
 
 class CutAfterKill(StatefulProcessor):
-    """Lets chunks through up to the first that ends the stream."""
-
-    def __init__(self, idle_ms: int):
-        self.idle_ms = idle_ms
+    """Lets chunks through up to the first that ends the stream. An end is kept
+    for good, one flag for each stream that was ended: whatever comes later, after
+    any pause, is not forwarded."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ended = handle.getValueState("ended", "ended boolean", self.idle_ms)
+        self.ended = handle.getValueState("ended", "ended boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(rows).sort_values("seq", kind="stable")
@@ -78,8 +77,14 @@ def scan_stream(
 ) -> DataFrame:
     """Streaming (stream_id, seq, chunk, transport_error) to forwarded chunks
     (stream_id, seq, status, chunk). Chunks of a stream have to arrive in order
-    of ``seq`` across micro-batches; inside one they are sorted."""
-    parsed = chunks.select(
+    of ``seq`` across micro-batches; inside one they are sorted. Sources have to
+    bound what a micro-batch holds (``maxFilesPerTrigger``, ``maxBytesPerTrigger``):
+    the chunks of one stream in one of them meet in memory. Chunks without a stream
+    or a number are not forwarded, as in the batch job."""
+    lost = chunks.where(placeless()).select(
+        "stream_id", "seq", F.lit("unscanned").alias("status"), F.lit(None).cast("string").alias("chunk")
+    )
+    parsed = flagged(chunks).where(~placeless()).select(
         "stream_id", "seq", "chunk", "transport_error", sse.deltas(F.col("chunk")).alias("deltas")
     )
     carried = T.StructType(
@@ -102,6 +107,7 @@ def scan_stream(
         .otherwise(F.col("chunk"))
         .alias("chunk"),
     )
-    return frames.groupBy("stream_id").transformWithStateInPandas(
-        CutAfterKill(idle_ms), frames.schema, "append", "processingTime"
+    sent = frames.groupBy("stream_id").transformWithStateInPandas(
+        CutAfterKill(), frames.schema, "append", "processingTime"
     )
+    return sent.unionByName(lost)
