@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 SAMPLE = 8192
 #: Neighbours in the graph, hidden units of the classifier.
 DEGREE, HIDDEN = 10, 64
-#: Rows that a part should hold, and the most parts.
-PART_ROWS, MOST_PARTS = 1024, 64
+#: Parts grow with the square root of the rows, by this divisor, up to the most:
+#: each part that a query is searched in returns its best rows.
+ROOT_DIVISOR, MOST_PARTS = 10, 64
 #: Share of true neighbours that the calibrated number of parts has to reach on the sample.
 RECALL = 0.95
 #: Rows of a block of candidates, and of queries.
@@ -187,7 +188,7 @@ def top_k(
     x = np.array([r["v"] for r in sampled]).reshape(-1, d)
     x = np.unique(x, axis=0)  # copies of one vector would fill parts of their own
     x = x[np.random.default_rng(4).permutation(len(x))]
-    parts = int(min(MOST_PARTS, max(1, n // PART_ROWS), max(1, len(x) // 32)))
+    parts = int(min(MOST_PARTS, max(1, n**0.5 // ROOT_DIVISOR), max(1, len(x) // 32)))
     router, probes = learn(x, parts, k)
     shared = spark.sparkContext.broadcast((router, probes))
     schema = "part int, asks boolean, id bigint, v array<double>"
