@@ -13,9 +13,11 @@ it goes; a piece's number among its length comes from counts per task.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ _STATE: dict[str, tuple] = {}
 
 
 def _ids(encoding) -> bytes:
-    return np.array(encoding.ids, dtype="<u4").tobytes()
+    return struct.pack(f"<{len(encoding)}I", *encoding.ids)
 
 
 def encode_batch(path: str, texts: list[bytes]) -> list[bytes]:
@@ -54,8 +56,9 @@ def encode_batch(path: str, texts: list[bytes]) -> list[bytes]:
 
         _STATE[path] = (Tokenizer.from_file(path), {})
     model, known = _STATE[path]
-    if len(known) > CACHE_WORDS:
-        known.clear()
+    if len(known) > CACHE_WORDS:  # the frequent words are among the first met
+        for w in list(islice(known, CACHE_WORDS // 2, None)):
+            del known[w]
     cut = [(t.lower() if t.isascii() and b"<|" not in t else t).split() for t in texts]
     fresh = set().union(*cut).difference(known) if cut else set()
     if fresh:
