@@ -45,6 +45,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """The same, dealt out by ``key``, so that joins on it don't move the rows again."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table_name = f"textguard_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{table_name}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 def ascii_lower_words(text: bytes) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z."""
     return text.lower().split()
@@ -104,6 +114,9 @@ def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def chosen_rows(df: DataFrame, key: str, n: int) -> DataFrame:
-    """At most ``n`` rows, the first in the order of a hash of ``key``."""
-    return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(n)
+def drawn(key: Column, salt: str, n: int, total: int) -> Column:
+    """Whether a row is in a sample of about ``n`` of ``total`` rows, by a hash of
+    its key: no order over all rows, so no task or driver gathers candidates."""
+    steps = 1 << 30
+    share = min(steps, int(steps * n / max(1, total)) + 1)
+    return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(steps)) < share
