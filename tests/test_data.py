@@ -190,3 +190,10 @@ def test_rows_without_a_vector_take_no_part(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id bigint, embedding array<double>")
     assert [r.doc_id for r in retrieval.vector_topk(q, holes, 5).collect()] == [6]
     assert [r.doc_id for r in retrieval.vector_topk_few(q, holes, 5).collect()] == [6]
+
+
+def test_null_samples_do_not_shift_percentiles(spark):
+    rows = [("a", v) for v in range(1, 11)] + [("a", None)] * 50
+    df = spark.createDataFrame(rows, "run string, latency_us bigint")
+    whole = profile.latency_percentiles(df.where("latency_us is not null"), ["run"]).collect()
+    assert profile.latency_percentiles(df, ["run"]).collect() == whole

@@ -34,35 +34,20 @@ def first_error(errors: Column) -> Column:
     return F.try_element_at(F.filter(errors, lambda e: e.isNotNull()), F.lit(1))
 
 
-def tools_error(payload: Column, allowed_tools: Sequence[str]) -> Column:
-    """First offending tool: shape first, then the allowlist (empty denies all)."""
+def tools_error(payload: Column, allowed_tools: Sequence[str] | None) -> Column:
+    """First offending tool: shape first, then the allowlist (empty denies all,
+    None asks for the shape alone)."""
 
     def check(tool: Column) -> Column:
         name = json_string(tool, "$.function.name")
-        allowed = name.isin(list(allowed_tools)) if allowed_tools else F.lit(False)
-        shaped = F.coalesce(json_string(tool, "$.type") == "function", F.lit(False))
-        return (
-            F.when(~shaped, error("bad_request", rules.MSG_TOOL_TYPE))
-            .when(name.isNull(), error("bad_request", rules.MSG_TOOL_NAME))
-            .when(~allowed, error("security_blocked", fill(rules.MSG_TOOL_DENIED, name), rules.CAT_TOOL))
-        )
-
-    tools = members(payload, "$.tools")
-    return (
-        F.when(member(payload, "$.tools").isNull(), no_error())
-        .when(tools.isNull(), error("bad_request", rules.MSG_TOOLS_ARRAY))
-        .otherwise(first_error(F.transform(tools, check)))
-    )
-
-
-def tools_shape_error(payload: Column) -> Column:
-    """Shape rules of the tools alone."""
-
-    def check(tool: Column) -> Column:
         shaped = F.coalesce(json_string(tool, "$.type") == "function", F.lit(False))
-        return F.when(~shaped, error("bad_request", rules.MSG_TOOL_TYPE)).when(
-            json_string(tool, "$.function.name").isNull(), error("bad_request", rules.MSG_TOOL_NAME)
+        wrong = F.when(~shaped, error("bad_request", rules.MSG_TOOL_TYPE)).when(
+            name.isNull(), error("bad_request", rules.MSG_TOOL_NAME)
         )
+        if allowed_tools is None:
+            return wrong
+        allowed = name.isin(list(allowed_tools)) if allowed_tools else F.lit(False)
+        return wrong.when(~allowed, error("security_blocked", fill(rules.MSG_TOOL_DENIED, name), rules.CAT_TOOL))
 
     tools = members(payload, "$.tools")
     return (

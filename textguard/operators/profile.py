@@ -19,13 +19,14 @@ def latency_percentiles(
     percentiles: Sequence[float] = PERCENTILES,
 ) -> DataFrame:
     """Exact ``sorted[floor(n * p)]`` (0-based) of integer samples per group,
-    with min, max and count.
+    with min, max and count. Null samples are not counted.
 
     Groups are never sorted as such. Equal values are counted first (map-side
     combined), values are then binned by ``BIN``: running counts over the bins
     find the bin that holds each rank, and only those bins are searched.
     """
     dims = list(dims)
+    samples = samples.where(F.col(value).isNotNull())
     per_value = samples.groupBy(*dims, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
     per_value = per_value.withColumn("_bin", F.expr(f"_v div {BIN}"))
     bins = per_value.groupBy(*dims, "_bin").agg(

@@ -89,15 +89,6 @@ def pii_summary(df: DataFrame, dims: Sequence[str], text: str = "text") -> DataF
     return kinds.cube(*dims, "kind").agg(F.count("*").alias("findings"))
 
 
-def outcome_column(injection_findings: Column, spans: Column) -> Column:
-    """blocked when an attack was found, else redacted when sensitive data was."""
-    return (
-        F.when(F.size(injection_findings) > 0, "blocked")
-        .when(F.size(spans) > 0, "redacted")
-        .otherwise("clean")
-    )
-
-
 def verdict_mix(df: DataFrame, text: str = "text", dims: Sequence[str] = ()) -> DataFrame:
     """How many texts are clean, blocked and redacted."""
     # one narrow row per text: the sensitive-data scan only runs on texts that
@@ -140,8 +131,3 @@ def is_blocked(verdict: Column) -> Column:
 def is_allowed(verdict: Column) -> Column:
     """Redacted text counts as allowed."""
     return verdict["action"] != "Block"
-
-
-def detector_table() -> list[tuple[int, str, str, str, str]]:
-    """(ord, kind, pattern, mask, category) of every detector."""
-    return [(o, k, p, rules.MASKS[k], rules.KIND_CATEGORY[k]) for o, k, p in rules.DETECTORS]

@@ -302,7 +302,7 @@ def default_model(spark, sf):
 
 @query
 def tool_shape(spark, sf):
-    err = policy.tools_shape_error(F.col("payload"))
+    err = policy.tools_error(F.col("payload"), None)
     return _parsed(spark, sf).select("request_id", err["message"].alias("message"))
 
 

@@ -22,8 +22,3 @@ def exposition(counts: DataFrame, path: str) -> None:
     """Text exposition of one row of counters, in its fixed order: 30 lines."""
     lines = prometheus_lines(counts).coalesce(1).sortWithinPartitions("pos")
     lines.select(F.col("line").alias("value")).write.mode("overwrite").text(path)
-
-
-def bodies(rows: DataFrame, column: str, path: str) -> None:
-    """Sanitized request or response bodies, one JSON document per line."""
-    rows.select(F.col(column).alias("value")).write.mode("append").text(path)
