@@ -421,6 +421,22 @@ def test_a_link_between_others_survives_the_smallest_text(spark):
     assert {r["doc_id"] for r in got if r["component_id"] == 100} == {100, 101, 102}
 
 
+def test_near_passages_survive_smaller_texts_with_a_line(spark):
+    """Ten texts have a line of 40 words; two have it in near passages of 50, with a changed word inside."""
+    rng = np.random.default_rng(8)
+    words = lambda n: [f"u{i}" for i in rng.integers(0, 10**6, n)]
+    docs = []
+    for group in range(16):
+        line = words(40)
+        p = words(5) + line + words(5)
+        docs += [(1000 * group + 100 + i, " ".join(words(60) + line + words(60))) for i in range(10)]
+        docs += [(1000 * group + i, " ".join(words(30) + x + words(30))) for i, x in enumerate((p, [*p[:25], "x", *p[26:]]))]
+    rows = substring.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = {r["doc_id"]: r["component_id"] for r in rows}
+    assert sum(got[1000 * g] == got[1000 * g + 1] for g in range(16)) >= 14
+    assert all(v == k for k, v in got.items() if k % 1000 >= 100)
+
+
 def test_passages_of_odd_tables(spark, odd, empty):
     got = {(r["doc_id"], r["class_id"], r["n_words"]) for r in substring.repeated_passages(odd).collect()}
     assert (9, 1, 5) in got and (4, 4, 60_000) in got and (3, 2, 0) in got
