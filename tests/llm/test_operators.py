@@ -378,6 +378,18 @@ def test_compact_windows_are_the_wide_nodes():
         assert set(zip(*(x.tolist() for x in substring.compact_windows(h, width)))) == want
 
 
+def test_hashes_meet_passages_at_the_lower_bound():
+    """50-word passages with one word changed in the middle: 41 of 51 shingles in common."""
+    rng = np.random.default_rng(4)
+    width, met = substring.PASSAGE - substring.SHINGLE + 1, 0
+    for _ in range(1000):
+        a = rng.integers(0, 2**63, width, dtype=np.uint64)
+        b = np.concatenate([a[:20], rng.integers(0, 2**63, 5, dtype=np.uint64), a[25:]])
+        least = [(substring.seeded(a, i).min(), substring.seeded(b, i).min()) for i in range(substring.HASHES)]
+        met += any(x == y for x, y in least)
+    assert met >= 985
+
+
 def planted():
     rng = np.random.default_rng(5)
     words = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
