@@ -390,6 +390,22 @@ def test_hashes_meet_passages_at_the_lower_bound():
     assert met >= 985
 
 
+@pytest.mark.parametrize("count", range(4, 11))
+def test_passages_with_words_put_in_or_left_out(count):
+    """80 words, of which the other text has some more, or some fewer, in the middle."""
+    rng = np.random.default_rng(count)
+    words = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    p, more = words(80), words(count)
+    one, two = (" ".join(words(30) + x + words(30)).encode() for x in (p, p[:40] + more + p[40:]))
+    (a, _, _), (b, _, _) = substring.shingles([one]), substring.shingles([two])
+    width = substring.PASSAGE - substring.SHINGLE + 1
+    assert substring.chained(a, b, 50, 50, width, 0.8) == [(30, 106)]
+    assert substring.chained(b, a, 50, 50, width, 0.8) == [(30, 106 + count)]
+    assert substring.chained(b, a, 80 + count, 80, width, 0.8) == [(30, 106 + count)]
+    most = substring.chained(a, np.concatenate([b[:70], rng.integers(0, 2**63, 12, dtype=np.uint64), b[70:]]), 50, 50, width, 0.8)
+    assert most == []
+
+
 def planted():
     rng = np.random.default_rng(5)
     words = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
