@@ -163,6 +163,18 @@ def test_removal_leaves_no_window_and_clean_texts_alone(spark, odd, empty, bench
     assert decontaminate.removed(empty, benchmark).columns == odd.columns
 
 
+def test_removal_does_not_depend_on_blocks_of_the_benchmark(spark, monkeypatch):
+    """Windows that overlap, in blocks of their own or not."""
+    docs = [(i, " ".join(f"{c}{i}" for c in "abcdefg")) for i in range(8)]
+    docs = spark.createDataFrame([*docs, (8, None), (9, "")], "doc_id long, text string")
+    windows = [" ".join(f"{c}{i}" for c in w) for i in range(8) for w in ("bcd", "def")]
+    items = spark.createDataFrame([*enumerate(windows), (99, windows[0])], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 50)
+    out = {r["doc_id"]: r["text"] for r in decontaminate.removed(docs, items).collect()}
+    assert {k: plain_words(t) for k, t in out.items()} == {**{i: [f"a{i}", f"g{i}"] for i in range(8)}, 8: [], 9: []}
+    assert out[8] is None and out[9] == ""
+
+
 # --- 3 language model -------------------------------------------------------------------------------
 def test_lm_counts_and_scores(spark, odd):
     for docs in (odd, table(spark, SF, "documents")):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textguard.llm.common import byte_texts, offsets_of, sliced
+from textguard.llm.common import byte_texts, offsets_of, sliced, written
 
 WINDOW = 10
 #: Bytes of benchmark text that go to the tasks at once, and of documents in a shard.
@@ -223,12 +223,15 @@ def search_shard(phrases: Phrases, texts: list[bytes]) -> list[tuple[int, list[t
     return [(n, merged(spans), items) for n, spans, items in out]
 
 
+def block_count(items: DataFrame, text: str) -> int:
+    return 1 + (items.agg(F.sum(F.octet_length(text))).head()[0] or 0) // BLOCK_BYTES
+
+
 def phrase_blocks(benchmark: DataFrame, key: str, text: str, size: int) -> Iterator:
     """Broadcast phrases of bounded parts of the benchmark."""
     sent = benchmark.sparkSession.sparkContext.broadcast
     items = benchmark.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    n = 1 + total // BLOCK_BYTES
+    n = block_count(items, "text")
     part = F.pmod(F.xxhash64("key", "text"), F.lit(n))
     for i in range(n):
         block = items if n == 1 else items.where(part == i)
@@ -325,10 +328,13 @@ def removed(
 ) -> DataFrame:
     """The documents, all columns kept, without the words of benchmark windows.
 
-    A text is searched again after a removal, until no window of the block
-    occurs. Documents of which no word is left are dropped if they lost words;
+    Windows of all blocks of the benchmark are cut together, and a text is searched
+    again after a removal, until no window of any block occurs. Documents of which no word is left are dropped if they lost words;
     texts without occurrences, null or empty ones too, pass as they are.
     """
+    items = benchmark.select(text).distinct().withColumn(item, F.lit(""))
+    if block_count(items, text) > 1:
+        return _removed_by_blocks(docs, items, size, text, item)
 
     def step(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,6 +358,53 @@ def removed(
         return run
 
     out = docs
-    for shared in phrase_blocks(benchmark, item, text, size):
+    for shared in phrase_blocks(items, item, text, size):
         out = out.mapInArrow(step(shared), docs.schema)
     return out
+
+
+def _removed_by_blocks(docs: DataFrame, items: DataFrame, size: int, text: str, item: str) -> DataFrame:
+    """The same for a benchmark of many blocks: one block is with the tasks at a time,
+    and only the hits of each are written."""
+    at, new, lost = "_row_of_removed", "_text_of_removed", "_lost_of_removed"
+    numbered = written(docs.withColumn(at, F.monotonically_increasing_id()), "numbered")
+
+    def mark(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in sliced(batches, "text", SHARD_BYTES):
+                found = search_shard(shared.value, byte_texts(part.column(1)))
+                hits = [(k, n, list(chain.from_iterable(spans))) for k, (n, spans, _) in zip(part.column(0).to_pylist(), found) if spans]
+                if hits:
+                    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*hits), kinds)], ["at", "n", "edges"])
+
+        return run
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, "text"):
+            texts, gone = [], []
+            for t, n, lists in zip(byte_texts(part.column(1)), part.column(2).to_pylist(), part.column(3).to_pylist()):
+                spans = merged([x for edges in lists for x in zip(edges[::2], edges[1::2])])
+                texts.append(without(t, spans).decode())
+                gone.append(n == sum(b - a for a, b in spans))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(gone)], ["at", "text", "lost"])
+
+    todo, done = numbered.select(F.col(at).alias("at"), F.col(text).alias("text")), None
+    while True:
+        hits = None
+        for shared in phrase_blocks(items, item, text, size):
+            now = written(todo.mapInArrow(mark(shared), "at bigint, n bigint, edges array<bigint>"), "hits")
+            hits = now if hits is None else hits.unionAll(now)
+            shared.destroy()
+        hits = hits.groupBy("at").agg(F.first("n").alias("n"), F.collect_list("edges").alias("edges"))
+        now = todo.join(hits, "at").select("at", "text", "n", "edges").mapInArrow(cut, "at bigint, text string, lost boolean")
+        now = written(now, "cut")
+        if now.isEmpty():
+            break
+        done = now if done is None else done.join(now, "at", "left_anti").unionAll(now)
+        todo = now.where("not lost").select("at", "text")
+    if done is None:
+        return numbered.drop(at)
+    out = numbered.join(done.select(F.col("at").alias(at), F.col("text").alias(new), F.col("lost").alias(lost)), at, "left")
+    out = out.where(F.col(lost).isNull() | ~F.col(lost)).withColumn(text, F.coalesce(new, text))
+    return out.select(*docs.columns)
