@@ -205,6 +205,26 @@ def test_chunks_without_flag_or_place_are_not_forwarded_unscanned(spark, tmp_pat
     assert not any(KEY in (r.chunk or "") for r in live)
 
 
+def test_a_broken_chunk_without_place_does_not_hide_a_kill(spark, tmp_path):
+    """Nulls sort before all numbers: such a chunk must not count as the first end."""
+    rows = [(1, 0, sse(KEY), False), (1, 1, sse("after"), False), (1, None, "", True), (None, None, "", True)]
+    rows += [(2, 0, sse("a"), False), (2, None, "", True), (2, 1, sse("b"), None), (3, 4, "", True), (3, None, sse(KEY), False)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {(1, 0, "killed"), (1, None, "unscanned"), (None, None, "unscanned"), (2, 0, "pass"), (2, 1, "pass"), (2, None, "unscanned")}
+    want |= {(3, 4, "upstream_error"), (3, None, "unscanned")}
+    sent = streams.stream_output(df).collect()
+    assert {(r.stream_id, r.seq, r.status) for r in sent} == want
+    assert not any(KEY in (r.chunk or "") or "after" in (r.chunk or "") for r in sent)
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    live = run_available(scan_stream(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")), "t", f"{tmp_path}/run").collect()
+    assert sorted(map(repr, live)) == sorted(map(repr, sent))
+    assert {(r.stream_id, r.end_seq, r.status) for r in streams.stream_ends(df).collect()} == {(1, 0, "killed"), (3, 4, "upstream_error")}
+    killed = {(r.stream_id, r.seq) for r in streams.stream_decisions(df).where("decision = 'Kill'").collect()}
+    assert {(1, 0), (1, 1)} <= killed
+    kills = streams.stream_summary(df).where("status = 'killed'").collect()
+    assert [r.streams for r in kills] == [1]
+
+
 def test_an_ended_stream_stays_ended(spark, tmp_path):
     """The second run begins after the idle time of the other state."""
     import time

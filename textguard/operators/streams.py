@@ -166,7 +166,9 @@ def with_kill(chunks: DataFrame, window: int = rules.STREAM_WINDOW) -> DataFrame
 
 def stream_ends(chunks: DataFrame, window: int = rules.STREAM_WINDOW) -> DataFrame:
     """(stream_id, end_seq, end_line, status, reason, category): where a stream
-    was cut, by a kill or by a transport error. Complete streams have no row."""
+    was cut, by a kill or by a transport error. Complete streams have no row.
+    Chunks without a place can't end a stream, nor hide where another one ended it."""
+    chunks = flagged(chunks).where(~placeless())
     judged = with_kill(chunk_tails(chunks, window), window).where(F.col("kill").isNotNull())
     kills = judged.select(
         "stream_id",
