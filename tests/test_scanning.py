@@ -213,3 +213,36 @@ def test_detectors_run_once_per_row(spark):
 def test_scan_reads_only_its_columns(spark):
     plan = all_queries()["pii_summary"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "n_chars" not in plan
+
+
+def test_emails_of_long_runs_equal_the_pattern(spark):
+    """Looking around each sign gives what the pattern gives, on every mix of its characters."""
+    from textguard.functions.spans import match_spans
+
+    rng = random.Random(3)
+    parts = ["a", "b1", ".", "-", "_", "%", "+", "@", "@", "é", "日", " ", "co.uk", ".com", "x@y.net", "\n", "a.b", ".c", "1", "xx", ".xx"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(5000)] + ["a@b.co-" * 200, "@" * 300, ""]
+    ord_, kind, pattern = rules.DETECTORS[0]
+    t = F.col("t")
+    both = spark.createDataFrame([(x,) for x in texts], "t string").select(
+        t, match_spans(t, "(?U)" + pattern, ord_, kind).alias("a"), pii.email_spans_by_sign(t, ord_, kind).alias("b")
+    )
+    rows = both.collect()
+    assert all(r.a == r.b for r in rows if "@" in r.t) and sum(len(r.a) for r in rows) > 1000
+
+
+def test_texts_of_very_many_matches(spark):
+    """Work grows with the matches, not with their square; more blocks than one of each level."""
+    from textguard.operators import scanning
+
+    mails = [f"u{i}@mail.example.com" + (" 212-555-0187" if i % 9 == 0 else "") for i in range(9000)]
+    texts = [" ".join(mails), " é ".join(mails), "a." * 30_000 + "@", "a." * 30_000 + "@x.com", "4929 " * 500, "a@b.co-" * 3000 + "a" * 300]
+    texts += [" ".join(mails[:n]) for n in (63, 64, 65, 129)] + ["6212-555-0187 219-09-4321 " * 200 + "日"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r.id: (r.redacted, r.redactions) for r in scanning.redact_table(df, "t").collect()}
+    for i, text in enumerate(texts):
+        if text.startswith("a."):
+            want = (text, 0) if text.endswith("@") else ("[REDACTED_EMAIL]", 1)
+        else:
+            want = (brute.redact(text), len(brute.spans(text)))
+        assert got[i] == want, i

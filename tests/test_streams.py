@@ -1,3 +1,4 @@
+import datetime
 import json
 import random
 
@@ -8,7 +9,7 @@ from textguard.operators import streams
 from textguard.operators.rate_limit import rate_limit
 from textguard.streaming.jobs import run_available
 from textguard.streaming.rate_limit import rate_limit_stream
-from textguard.streaming.scan import scan_stream
+from textguard.streaming.scan import late_counts, scan_states, scan_stream
 
 import brute
 
@@ -225,20 +226,89 @@ def test_a_broken_chunk_without_place_does_not_hide_a_kill(spark, tmp_path):
     assert [r.streams for r in kills] == [1]
 
 
-def test_an_ended_stream_stays_ended(spark, tmp_path):
-    """The second run begins after the idle time of the other state."""
+TIMED = SCHEMA.replace("chunk", "ts timestamp, chunk", 1)
+
+
+def in_batches(spark, path, batches, schema):
+    """Each list of rows becomes one file, read by a micro-batch of its own."""
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def at(seconds):
+    return datetime.datetime.fromtimestamp(1_700_000_000 + seconds)
+
+
+def test_late_chunks_are_counted_and_an_end_is_kept(spark, tmp_path):
+    """Micro-batches; the event time of the last ones is far beyond the idle time."""
+    batches = [
+        [(1, 0, at(0), sse(KEY), False), (2, 1, at(0), sse("a"), False), (3, 0, at(1), sse("sk-"), False)],
+        [(1, 1, at(2), sse("more"), False), (2, 0, at(2), sse("late"), False), (2, 2, at(2), sse("b"), False)],
+        [(9, 0, at(90_000), sse("clock"), False)],
+        [(9, 1, at(90_000), sse("timers are due"), False)],
+        [(1, 2, at(90_001), sse("x"), False), (2, 2, at(90_001), sse("y"), False), (3, 1, at(90_002), sse(KEY[3:]), False)],
+        [(4, 0, at(5), sse("beyond the watermark"), False)],
+    ]
+    live = in_batches(spark, f"{tmp_path}/in", batches, TIMED)
+    states = run_available(scan_states(live, idle_ms=60_000, lateness="5 seconds"), "late", f"{tmp_path}/run")
+    got = {(r.stream_id, r.seq, r.status) for r in states.collect()}
+    # stream 1 was ended before its state was given up; 2 and 3 begin anew after the pause
+    assert got == {
+        (1, 0, "killed"), (1, 1, "after_end"), (1, 2, "after_end"), (2, 1, "pass"), (2, 0, "out_of_order"), (2, 2, "pass"),
+        (9, 0, "pass"), (9, 1, "pass"), (3, 0, "pass"), (3, 1, "pass"),
+    }
+    counts = {(r.status, r.streams, r.chunks) for r in late_counts(states).collect()}
+    assert counts == {("after_end", 1, 2), ("out_of_order", 1, 1)}
+    assert not any(r.chunk for r in states.where(F.col("status").isin("after_end", "out_of_order")).collect())
+
+
+def test_lines_cut_between_chunks(spark, tmp_path):
+    """Keys in a line, and characters, that are cut over two chunks or more, within and across blocks and batches."""
+    key, note = sse(KEY).encode(), sse("plain é日 text ").encode()
+    cases = {
+        1: [key[:40], key[40:]],  # a key cut in two
+        2: [key[:-2], b"\n", b"\n" + note],  # readable before its line feed
+        3: [note[:45], note[45:46], note[46:], b": x\n"],  # nothing to find
+        4: [b"data: ", *[key[6 + i : 7 + i] for i in range(len(key) - 6)]],  # byte by byte
+        5: [sse("sk-").encode() + key[:9], key[9:30], key[30:], note],
+        6: [note, None, key],
+        7: [note[:-1], b"\nda", b"ta: " + key[6:], note],
+        8: [key[:40], note],  # never put together
+    }
+    schema = SCHEMA.replace("chunk string", "chunk binary")
+    rows = [(sid, i, c, c is None) for sid, parts in cases.items() for i, c in enumerate(parts)]
+    df = spark.createDataFrame(rows, schema)
+    ends = {(r.stream_id, r.end_seq, r.status) for r in streams.stream_ends(df, whole_lines=True).collect()}
+    last = 1 + next(i for i in range(len(key)) if key[: i + 1].strip().endswith(b"}]}")) - 6
+    want = {(1, 1, "killed"), (2, 0, "killed"), (4, last, "killed"), (5, 2, "killed"), (6, 1, "upstream_error"), (7, 2, "killed")}
+    assert ends == want
+    texts = {(r.stream_id, r.seq, r.delta) for r in streams.chunk_deltas(df.where("stream_id = 3"), whole_lines=True).collect()}
+    assert texts == {(3, 2, "plain é日 text ")}
+    sent = {(r.stream_id, r.seq, r.status) for r in streams.stream_output(df, whole_lines=True).collect()}
+    for by in (lambda r: 0, lambda r: min(r[1], 2) if r[0] != 4 else r[1] // 30):
+        path = f"{tmp_path}/{by(rows[1])}"
+        parts = [[r for r in rows if by(r) == n] for n in range(6)]
+        live = in_batches(spark, f"{path}/in", [p for p in parts if p], schema)
+        got = run_available(scan_stream(live, whole_lines=True), "lines", f"{path}/run").collect()
+        if by(rows[1]) == 0:
+            assert {(r.stream_id, r.seq, r.status) for r in got} == sent
+        assert {(r.stream_id, r.seq, r.status) for r in got if r.status != "pass"} == want
+
+
+def test_state_follows_event_time_not_the_clock(spark, tmp_path):
+    """Runs apart in processing time, together in event time."""
     import time
 
     def run(rows):
-        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        live = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
-        out = run_available(scan_stream(live, idle_ms=500), "test", f"{tmp_path}/run")
+        spark.createDataFrame(rows, TIMED).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        live = spark.readStream.schema(TIMED).parquet(f"{tmp_path}/in")
+        out = run_available(scan_stream(live, idle_ms=1000), "test", f"{tmp_path}/run")
         return {(r.stream_id, r.seq, r.status) for r in out.collect()}
 
-    assert run([(1, 0, sse(KEY), False), (2, 0, sse("a"), False)]) == {(1, 0, "killed"), (2, 0, "pass")}
+    assert run([(1, 0, at(0), sse("sk-"), False)]) == {(1, 0, "pass")}
     time.sleep(2)
-    later = run([(1, 1, sse("more"), False), (2, 1, sse("b"), False)])
-    assert later == {(1, 0, "killed"), (2, 0, "pass"), (2, 1, "pass")}
+    assert run([(1, 1, at(0), sse(KEY[3:]), False)]) == {(1, 0, "pass"), (1, 1, "killed")}
 
 
 def test_requests_without_a_time_are_kept_and_not_accepted(spark, tmp_path):

@@ -98,19 +98,88 @@ def placeless() -> Column:
     return F.col("stream_id").isNull() | F.col("seq").isNull()
 
 
-def chunk_deltas(chunks: DataFrame) -> DataFrame:
-    """(stream_id, seq, line, delta): the content deltas of every chunk."""
-    return flagged(chunks).where(~F.col("transport_error")).select(
-        "stream_id", "seq", F.posexplode(sse.deltas(F.col("chunk"))).alias("line", "delta")
+def with_lines_before(df: DataFrame, keys: Sequence[str], seq: str, count: Column, out: str, block: int = BLOCK) -> DataFrame:
+    """Add the sum of ``count`` over all earlier rows of ``keys``: inside blocks,
+    and over the block sums, which are one short row each."""
+    blocked = df.withColumn("_block", F.expr(f"{seq} div {block}")).withColumn("_count", count)
+    earlier = Window.partitionBy(*keys, "_block").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    local = blocked.withColumn("_inside", F.coalesce(F.sum("_count").over(earlier), F.lit(0)))
+    blocks = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = blocked.groupBy(*keys, "_block").agg(F.sum("_count").alias("_sum"))
+    sums = sums.withColumn("_earlier", F.coalesce(F.sum("_sum").over(blocks), F.lit(0))).drop("_sum")
+    return (
+        local.join(sums, [*keys, "_block"])
+        .withColumn(out, F.col("_inside") + F.col("_earlier"))
+        .drop("_block", "_count", "_inside", "_earlier")
+    )
+
+
+def whole_line_deltas(chunks: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(stream_id, seq, deltas) where lines are cut between chunks anywhere, also
+    inside a character. A line belongs to the last chunk that adds to it: there it
+    can be read for the first time.
+
+    Lines inside a chunk stay in their row. Only the two pieces at the borders of
+    a chunk are shuffled, by the number of their line within the stream.
+    """
+    # one character for every byte, so that bytes can be cut and put together as text
+    wire = F.decode(F.col("chunk").cast("binary"), "ISO-8859-1")
+    rows = flagged(chunks).where(~placeless() & ~F.col("transport_error") & F.col("chunk").isNotNull())
+    rows = evaluate(rows.select("stream_id", "seq", wire.alias("wire")), "parts", F.split("wire", "\n", -1)).drop("wire")
+    feeds = (F.size("parts") - 1).cast("bigint")
+    rows = with_lines_before(rows, ["stream_id"], "seq", feeds, "before", block)
+    inner = rows.select(
+        "stream_id", "seq", F.posexplode(F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 2, F.lit(0)))).alias("at", "text")
+    )
+
+    def piece(line: Column, text: Column, at: Column) -> Column:
+        return F.struct(line.cast("bigint").alias("line"), text.alias("text"), at.cast("int").alias("at"))
+
+    first = F.array(piece(F.col("before"), F.get("parts", F.lit(0)), F.lit(-1)))
+    end = F.array(piece(F.col("before") + feeds, F.element_at("parts", -1), feeds))
+    pieces = F.when(feeds > 0, F.concat(first, end)).otherwise(first)
+    borders = rows.select("stream_id", "seq", F.explode(pieces).alias("p")).where(
+        F.regexp_replace("p.text", r"\s", "") != ""
+    )
+    joined = borders.groupBy("stream_id", "p.line").agg(
+        F.array_sort(F.collect_list(F.struct("seq", "p.at", "p.text"))).alias("pieces")
     )
+    last = F.element_at("pieces", -1)
+    cut = joined.select(
+        "stream_id",
+        last["seq"].alias("seq"),
+        last["at"].alias("at"),
+        F.array_join(F.transform("pieces", lambda x: x["text"]), "").alias("text"),
+    )
+    lines = inner.select("stream_id", "seq", "at", "text").unionByName(cut).where(F.contains("text", F.lit("data:")))
+    text = F.make_valid_utf8(F.encode("text", "ISO-8859-1").cast("string"))
+    read = evaluate(lines, "delta", sse.delta_of_line(text)).where(F.col("delta").isNotNull())
+    ordered = F.array_sort(F.collect_list(F.struct("at", "delta")))
+    return read.groupBy("stream_id", "seq").agg(F.transform(ordered, lambda x: x["delta"]).alias("deltas"))
 
 
-def chunk_tails(chunks: DataFrame, window: int = rules.STREAM_WINDOW) -> DataFrame:
-    """(stream_id, seq, deltas, tail) of the chunks that have deltas."""
-    parsed = flagged(chunks).where(~F.col("transport_error")).select(
+def parsed_chunks(chunks: DataFrame, whole_lines: bool = False) -> DataFrame:
+    """(stream_id, seq, deltas) of the chunks that can be read."""
+    if whole_lines:
+        return whole_line_deltas(chunks)
+    return flagged(chunks).where(~F.col("transport_error")).select(
         "stream_id", "seq", sse.deltas(F.col("chunk")).alias("deltas")
     )
-    parsed = parsed.where(F.size("deltas") > 0)
+
+
+def chunk_deltas(chunks: DataFrame, whole_lines: bool = False) -> DataFrame:
+    """(stream_id, seq, line, delta): the content deltas of every chunk."""
+    return parsed_chunks(chunks, whole_lines).select(
+        "stream_id", "seq", F.posexplode("deltas").alias("line", "delta")
+    )
+
+
+def chunk_tails(
+    chunks: DataFrame, window: int = rules.STREAM_WINDOW, whole_lines: bool = False
+) -> DataFrame:
+    """(stream_id, seq, deltas, tail) of the chunks that have deltas. A chunk is
+    judged by itself; with ``whole_lines``, together with the line it goes on."""
+    parsed = parsed_chunks(chunks, whole_lines).where(F.size("deltas") > 0)
     text = F.array_join("deltas", "")
     return with_tail(parsed, ["stream_id"], "seq", text, "tail", window)
 
@@ -164,12 +233,14 @@ def with_kill(chunks: DataFrame, window: int = rules.STREAM_WINDOW) -> DataFrame
     return df.drop("_scans", "_normalized")
 
 
-def stream_ends(chunks: DataFrame, window: int = rules.STREAM_WINDOW) -> DataFrame:
+def stream_ends(
+    chunks: DataFrame, window: int = rules.STREAM_WINDOW, whole_lines: bool = False
+) -> DataFrame:
     """(stream_id, end_seq, end_line, status, reason, category): where a stream
     was cut, by a kill or by a transport error. Complete streams have no row.
     Chunks without a place can't end a stream, nor hide where another one ended it."""
     chunks = flagged(chunks).where(~placeless())
-    judged = with_kill(chunk_tails(chunks, window), window).where(F.col("kill").isNotNull())
+    judged = with_kill(chunk_tails(chunks, window, whole_lines), window).where(F.col("kill").isNotNull())
     kills = judged.select(
         "stream_id",
         F.struct(
@@ -223,15 +294,19 @@ def stream_decisions(chunks: DataFrame, window: int = rules.STREAM_WINDOW) -> Da
     )
 
 
-def stream_output(chunks: DataFrame, window: int = rules.STREAM_WINDOW) -> DataFrame:
+def stream_output(
+    chunks: DataFrame, window: int = rules.STREAM_WINDOW, whole_lines: bool = False
+) -> DataFrame:
     """(stream_id, seq, status, chunk) as forwarded to the client: untouched
     chunks up to the end, one error frame in place of the killing chunk, a null
     chunk for a transport error, nothing after that. Chunks without a stream or a
-    number come out with status ``unscanned`` and a null chunk."""
+    number come out with status ``unscanned`` and a null chunk. With ``whole_lines``
+    ``chunk`` may be bytes, and lines cut between chunks are read whole."""
+    kind = chunks.schema["chunk"].dataType
     lost = chunks.where(placeless()).select(
-        "stream_id", "seq", F.lit("unscanned").alias("status"), F.lit(None).cast("string").alias("chunk")
+        "stream_id", "seq", F.lit("unscanned").alias("status"), F.lit(None).cast(kind).alias("chunk")
     )
-    rows = _with_end(chunks.where(~placeless()), stream_ends(chunks, window))
+    rows = _with_end(chunks.where(~placeless()), stream_ends(chunks, window, whole_lines))
     at = F.col("seq") == F.col("end_seq")
     frame = fill(rules.STREAM_ERROR_FRAME, F.col("reason"))
     sent = rows.where(F.col("end_seq").isNull() | (F.col("seq") <= F.col("end_seq"))).select(
@@ -239,7 +314,7 @@ def stream_output(chunks: DataFrame, window: int = rules.STREAM_WINDOW) -> DataF
         "seq",
         F.when(at, F.col("status")).otherwise("pass").alias("status"),
         F.when(~F.coalesce(at, F.lit(False)), F.col("chunk"))
-        .when(F.col("status") == "killed", frame)
+        .when(F.col("status") == "killed", frame.cast(kind))
         .alias("chunk"),
     )
     return sent.unionByName(lost)

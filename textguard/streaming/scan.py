@@ -1,13 +1,19 @@
 """Incremental inspection of streamed responses.
 
-Two small keyed states around the column expressions of the batch job: the
-first carries the last characters of every stream from batch to batch, the
-second remembers which streams were ended. What decides about a chunk runs in
-between, as Spark expressions, the same as in the batch job.
+Small keyed states around the column expressions of the batch job: the first
+carries the last characters of every stream from batch to batch, the second
+remembers which streams were ended; a third, where lines are cut between
+chunks, carries the open line. What decides about a chunk runs in between, as
+Spark expressions, the same as in the batch job.
+
+Time is event time. A state is given up by a timer that is due when the
+watermark has passed the last chunk of its stream by ``idle``; a job that is
+restarted after a long pause drops nothing that its events do not ask for.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,93 +27,229 @@ from textguard.functions import sse
 from textguard.functions.text import fill
 from textguard.operators.streams import flagged, placeless, with_kill
 
-IDLE_MS = 60 * 60 * 1000  # the last characters of a stream that is silent for an hour are dropped
+#: A stream without chunks for so long gives up its last characters.
+IDLE_MS = 60 * 60 * 1000
+#: How far chunks may arrive after later ones of other streams.
+LATENESS = "10 minutes"
+#: Statuses of chunks that came too late to be forwarded.
+AFTER_END, OUT_OF_ORDER = "after_end", "out_of_order"
+LATE = (AFTER_END, OUT_OF_ORDER)
 
 
-class CarryTail(StatefulProcessor):
-    """Adds the last characters of the stream before each chunk."""
+class _Idle(StatefulProcessor):
+    """One value per stream, given up ``idle_ms`` of event time after its last chunk."""
 
-    def __init__(self, window: int, idle_ms: int):
-        self.window, self.idle_ms = window, idle_ms
+    value: str
+
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms  # None: kept for good
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tail = handle.getValueState("tail", "tail string", self.idle_ms)
+        self.handle = handle
+        self.state = handle.getValueState("last", f"{self.value}, seq bigint, due bigint")
+
+    def load(self) -> tuple:
+        return tuple(self.state.get()) if self.state.exists() else ()
+
+    def save(self, values: tuple, last: int, due: int | None, frame: pd.DataFrame, now: int) -> None:
+        """Keeps ``values`` and sets the timer by the latest chunk, not before the watermark."""
+        if self.idle_ms is not None and frame["ts"].notna().any():
+            latest = int(frame["ts"].max().timestamp() * 1000)
+            wanted = max(latest, now) + self.idle_ms
+            if due is None or wanted > due:
+                if due is not None:
+                    self.handle.deleteTimer(due)
+                self.handle.registerTimer(wanted)
+                due = wanted
+        self.state.update((*values, last, due))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
+
+    def ordered(self, rows) -> pd.DataFrame:
+        # the rows of one stream in one micro-batch; the source bounds its size
+        return pd.concat(rows).sort_values("seq", kind="stable")
+
+    def watermark(self, timer_values) -> int:
+        return max(0, timer_values.getCurrentWatermarkInMs()) if self.idle_ms is not None else 0
+
+    def close(self) -> None:
+        pass
+
+
+class CarryTail(_Idle):
+    """Adds the last characters of the stream before each chunk, and whether the
+    chunk comes after one with a greater number or the same."""
+
+    value = "tail string"
+
+    def __init__(self, window: int, idle_ms: int | None):
+        super().__init__(idle_ms)
+        self.window = window
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # the rows of one stream in one micro-batch; the source bounds its size
-        frame = pd.concat(rows).sort_values("seq", kind="stable")
-        before = self.tail.get()[0] if self.tail.exists() else ""
-        tails = []
-        for deltas, broken in zip(frame["deltas"], frame["transport_error"]):
+        frame = self.ordered(rows)
+        before, last, due = self.load() or ("", None, None)
+        tails, late = [], []
+        for seq, deltas, broken in zip(frame["seq"], frame["deltas"], frame["transport_error"]):
             tails.append(before)
+            late.append(last is not None and seq <= last)
+            if late[-1]:
+                continue
+            last = int(seq)
             if deltas is not None and not broken:
                 before = (before + "".join(deltas))[-self.window :]
-        self.tail.update((before,))
-        yield frame.assign(tail=tails)
+        self.save((before,), last, due, frame, self.watermark(timerValues))
+        yield frame.assign(tail=tails, late=late)
+
+
+def _readable(line: bytes) -> bool:
+    """Whether what has arrived of a line is a ``data:`` line that can be read."""
+    line = line.strip()
+    if not line.startswith(b"data:") or not line.endswith(b"}"):
+        return False
+    try:
+        json.loads(line[5:])
+    except ValueError:
+        return False
+    return True
 
-    def close(self) -> None:
-        pass
+
+class CarryLine(_Idle):
+    """Adds ``lines``: the text of each chunk behind the open line that the chunks
+    before it left. A line that could be read already isn't given again."""
+
+    value = "open binary, done boolean"
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = self.ordered(rows)
+        begun, done, last, due = self.load() or (b"", False, None, None)
+        begun, out = bytes(begun), []
+        for seq, chunk, broken in zip(frame["seq"], frame["chunk"], frame["transport_error"]):
+            if (last is not None and seq <= last) or broken or chunk is None:
+                out.append("")
+                continue
+            last = int(seq)
+            raw = chunk.encode() if isinstance(chunk, str) else bytes(chunk)
+            if done:  # the rest of a line that was read
+                _, feed, raw = raw.partition(b"\n")
+                done = not feed
+            text = begun + raw
+            out.append(text.decode("utf-8", "replace"))
+            begun = b"" if done else text.rpartition(b"\n")[2]
+            if _readable(begun):
+                begun, done = b"", True
+        self.save((begun, done), last, due, frame, self.watermark(timerValues))
+        yield frame.assign(lines=out)
 
 
 class CutAfterKill(StatefulProcessor):
-    """Lets chunks through up to the first that ends the stream. An end is kept
-    for good, one flag for each stream that was ended: whatever comes later, after
-    any pause, is not forwarded."""
+    """Passes chunks up to the first that ends the stream and marks all later ones.
+    An end is kept for good, one flag for each stream that was ended: whatever
+    comes later, after any pause, is not forwarded."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.ended = handle.getValueState("ended", "ended boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(rows).sort_values("seq", kind="stable")
-        if self.ended.exists():
-            frame = frame.iloc[:0]
-        else:
-            ends = (frame["status"] != "pass").to_numpy().nonzero()[0]
+        frame = pd.concat(rows).sort_values("seq", kind="stable").reset_index(drop=True)
+        first = 0
+        if not self.ended.exists():
+            ends = frame["status"].isin(("killed", "upstream_error")).to_numpy().nonzero()[0]
+            first = len(frame)
             if len(ends):
-                frame = frame.iloc[: ends[0] + 1]
+                first = ends[0] + 1
                 self.ended.update((True,))
+        after = frame.index >= first
+        frame.loc[after, "status"] = AFTER_END
+        frame.loc[after, "chunk"] = None
         yield frame
 
     def close(self) -> None:
         pass
 
 
-def scan_stream(
-    chunks: DataFrame, window: int = rules.STREAM_WINDOW, idle_ms: int = IDLE_MS
+def _fields(df: DataFrame, *more: T.StructField) -> T.StructType:
+    return T.StructType([*df.schema.fields, *more])
+
+
+def scan_states(
+    chunks: DataFrame,
+    window: int = rules.STREAM_WINDOW,
+    idle_ms: int = IDLE_MS,
+    lateness: str = LATENESS,
+    whole_lines: bool = False,
 ) -> DataFrame:
-    """Streaming (stream_id, seq, chunk, transport_error) to forwarded chunks
-    (stream_id, seq, status, chunk). Chunks of a stream have to arrive in order
-    of ``seq`` across micro-batches; inside one they are sorted. Sources have to
-    bound what a micro-batch holds (``maxFilesPerTrigger``, ``maxBytesPerTrigger``):
-    the chunks of one stream in one of them meet in memory. Chunks without a stream
-    or a number are not forwarded, as in the batch job."""
+    """Streaming (stream_id, seq, chunk, transport_error[, ts]) to all chunks with
+    what became of them (stream_id, seq, status, chunk).
+
+    ``pass``, ``killed`` and ``upstream_error`` are forwarded; ``unscanned`` (no
+    stream or number), ``after_end`` and ``out_of_order`` (a chunk with a greater
+    or the same number was there before) have a null chunk. ``ts`` is the time of
+    the event: with it the last characters of a stream leave the state ``idle_ms``
+    after its last chunk, and chunks more than ``lateness`` behind are left out by
+    Spark, which counts them. Without ``ts`` they are kept for good.
+
+    Chunks of a stream have to arrive in order of ``seq`` across micro-batches;
+    inside one they are sorted. Sources have to bound what a micro-batch holds
+    (``maxFilesPerTrigger``, ``maxBytesPerTrigger``): the chunks of one stream in
+    one of them meet in memory. With ``whole_lines``, ``chunk`` may be bytes, and
+    lines and characters that are cut between chunks are put together.
+    """
+    kind = chunks.schema["chunk"].dataType
     lost = chunks.where(placeless()).select(
-        "stream_id", "seq", F.lit("unscanned").alias("status"), F.lit(None).cast("string").alias("chunk")
-    )
-    parsed = flagged(chunks).where(~placeless()).select(
-        "stream_id", "seq", "chunk", "transport_error", sse.deltas(F.col("chunk")).alias("deltas")
+        "stream_id", "seq", F.lit("unscanned").alias("status"), F.lit(None).cast(kind).alias("chunk")
     )
-    carried = T.StructType(
-        [*parsed.schema.fields, T.StructField("tail", T.StringType())]
+    timed = "ts" in chunks.columns
+    idle = idle_ms if timed else None
+    mode, clock = ("eventTime", "ts") if timed else ("none", "")
+    columns = ["stream_id", "seq", "chunk", "transport_error", *(["ts"] if timed else [])]
+    rows = flagged(chunks).where(~placeless()).select(*columns)
+    if timed:
+        rows = rows.withWatermark("ts", lateness)
+
+    def carry(df: DataFrame, processor: StatefulProcessor, *more: T.StructField) -> DataFrame:
+        return df.groupBy("stream_id").transformWithStateInPandas(
+            processor, _fields(df, *more), "append", mode, eventTimeColumnName=clock
+        )
+
+    if whole_lines:
+        rows = carry(rows, CarryLine(idle), T.StructField("lines", T.StringType()))
+        text = F.col("lines")
+    else:
+        text = F.col("chunk").cast("string")
+    parsed = rows.select(*columns, sse.deltas(text).alias("deltas"))
+    tailed = carry(
+        parsed,
+        CarryTail(window, idle),
+        T.StructField("tail", T.StringType()),
+        T.StructField("late", T.BooleanType()),
     )
-    tailed = parsed.groupBy("stream_id").transformWithStateInPandas(
-        CarryTail(window, idle_ms), carried, "append", "processingTime"
-    )
-    scannable = tailed.withColumn(
-        "deltas", F.when(~F.col("transport_error"), F.col("deltas"))
-    )
-    judged = with_kill(scannable, window)
-    killed, broken = F.col("kill").isNotNull(), F.col("transport_error")
+    unread = F.col("transport_error") | F.col("late")
+    judged = with_kill(tailed.withColumn("deltas", F.when(~unread, F.col("deltas"))), window)
+    killed, broken, late = F.col("kill").isNotNull(), F.col("transport_error"), F.col("late")
     frames = judged.select(
         "stream_id",
         "seq",
-        F.when(broken, "upstream_error").when(killed, "killed").otherwise("pass").alias("status"),
-        F.when(broken, F.lit(None).cast("string"))
-        .when(killed, fill(rules.STREAM_ERROR_FRAME, F.col("kill.reason")))
+        F.when(late, OUT_OF_ORDER).when(broken, "upstream_error").when(killed, "killed").otherwise("pass").alias("status"),
+        F.when(late | broken, F.lit(None).cast(kind))
+        .when(killed, fill(rules.STREAM_ERROR_FRAME, F.col("kill.reason")).cast(kind))
         .otherwise(F.col("chunk"))
         .alias("chunk"),
     )
-    sent = frames.groupBy("stream_id").transformWithStateInPandas(
-        CutAfterKill(), frames.schema, "append", "processingTime"
-    )
+    sent = frames.groupBy("stream_id").transformWithStateInPandas(CutAfterKill(), frames.schema, "append", "none")
     return sent.unionByName(lost)
+
+
+def scan_stream(chunks: DataFrame, *args, **options) -> DataFrame:
+    """What :func:`scan_states` forwards, and the chunks that have no place."""
+    return scan_states(chunks, *args, **options).where(~F.col("status").isin(*LATE))
+
+
+def late_counts(states: DataFrame) -> DataFrame:
+    """(status, streams, chunks): chunks that came after the end of their stream or
+    after a later chunk, from the written rows of :func:`scan_states`."""
+    late = states.where(F.col("status").isin(*LATE))
+    per_stream = late.groupBy("status", "stream_id").agg(F.count("*").alias("n"))
+    return per_stream.groupBy("status").agg(F.count("*").alias("streams"), F.sum("n").alias("chunks"))
