@@ -266,6 +266,10 @@ def scanning_sql() -> dict[str, str]:
 
 
 # --- streamed responses -----------------------------------------------------------------
+def _line(piece: str) -> str:
+    return f"""'data: ' || CAST(json_object('choices', json_array(json_object('delta', json_object('content', {piece})))) AS VARCHAR)"""
+
+
 CHUNKS = f"""{SEEDED},
 pieces AS (
   SELECT prompt_id AS stream_id, CAST(i AS BIGINT) AS seq,
@@ -273,33 +277,40 @@ pieces AS (
   FROM (SELECT prompt_id, text,
                unnest(range(0, CAST(ceil(length(text) / {inputs.CHUNK_CHARS}.0) AS INT))) AS i
         FROM seeded WHERE length(text) > 0)),
+parted AS (
+  SELECT *, {inputs.TWO_LINES} AND length(piece) > 7 AS two FROM pieces),
 chunks AS (
   SELECT stream_id, seq, stream_id % 37 = 3 AND seq = 4 AS transport_error,
-         CASE WHEN seq = 0 THEN ': ping' || chr(10) ELSE '' END || 'data: '
-         || CAST(json_object('choices', json_array(json_object('delta', json_object('content', piece)))) AS VARCHAR)
+         CASE WHEN seq = 0 THEN ': ping' || chr(10) ELSE '' END
+         || CASE WHEN two THEN {_line('substring(piece, 1, 7)')} || chr(10) || {_line('substring(piece, 8)')}
+            ELSE {_line('piece')} END
          || chr(10) || chr(10) || CASE WHEN seq % 5 = 4 THEN 'data: [DONE]' || chr(10) || chr(10) ELSE '' END AS chunk
-  FROM pieces),
+  FROM parted),
+lost AS (
+  SELECT prompt_id AS stream_id, CAST(NULL AS BIGINT) AS seq, 'unscanned' AS status, CAST(NULL AS VARCHAR) AS chunk
+  FROM (SELECT prompt_id, text, prompt_id AS stream_id FROM seeded) WHERE {inputs.LOST_ERROR} AND length(text) > 0),
 lines AS (
-  SELECT stream_id, seq, unnest(string_split(chunk, chr(10))) AS line
+  SELECT stream_id, seq, unnest(string_split(chunk, chr(10))) AS line, unnest(range(0, len(string_split(chunk, chr(10))))) AS place
   FROM chunks WHERE NOT transport_error),
 deltas AS (
-  SELECT stream_id, seq, 0 AS line, json_extract_string(substring(line, 6), '$.choices[0].delta.content') AS delta
+  SELECT stream_id, seq, CAST(row_number() OVER (PARTITION BY stream_id, seq ORDER BY place) - 1 AS INT) AS line,
+         json_extract_string(substring(line, 6), '$.choices[0].delta.content') AS delta
   FROM lines WHERE starts_with(line, 'data:') AND trim(substring(line, 6)) NOT IN ('', '[DONE]')),
 cum AS (
   SELECT stream_id, seq, line, delta,
-         sum(length(delta)) OVER (PARTITION BY stream_id ORDER BY seq) AS upto,
-         string_agg(delta, '' ORDER BY seq) OVER (PARTITION BY stream_id) AS full_text
+         sum(length(delta)) OVER (PARTITION BY stream_id ORDER BY seq, line) AS upto,
+         string_agg(delta, '' ORDER BY seq, line) OVER (PARTITION BY stream_id) AS full_text
   FROM deltas),
 win AS (
   SELECT stream_id, seq, line, delta,
          substring(full_text, CAST(greatest(upto - length(delta) - 200, 0) + 1 AS BIGINT),
                    CAST(least(upto - length(delta), 200) + length(delta) AS BIGINT)) AS scan
   FROM cum),
-wn AS (SELECT stream_id * 1000000 + seq AS id, scan AS text FROM win)"""
+wn AS (SELECT (stream_id * 1000000 + seq) * 10 + line AS id, scan AS text FROM win)"""
 
 STREAM_ENDS = f"""{CHUNKS}, {injection_first_ctes('wn')}, {redacted_ctes('wn')},
 hits AS (
-  SELECT d.id // 1000000 AS stream_id, d.id % 1000000 AS seq, 0 AS line, 'killed' AS status,
+  SELECT d.id // 10000000 AS stream_id, d.id // 10 % 1000000 AS seq, CAST(d.id % 10 AS INT) AS line, 'killed' AS status,
          CASE WHEN d.secret THEN {q(rules.REASON_SECRET)} ELSE f.reason END AS reason,
          CASE WHEN d.secret THEN 'secret_leak' ELSE f.category END AS category
   FROM d_red d LEFT JOIN j_first f ON f.id = d.id WHERE d.secret OR f.id IS NOT NULL
@@ -311,27 +322,40 @@ ends AS (
 
 
 def stream_sql() -> dict[str, str]:
+    delayed, last_early = inputs.DELAYED, (inputs.LOG_PARTS - 1) * inputs.PART_CHUNKS - 1
     head, tail = (q(x).replace("\n", "' || chr(10) || '") for x in rules.STREAM_ERROR_FRAME.split("%s"))
     return {
         "sse_deltas": f"WITH {CHUNKS} SELECT stream_id, seq, line, delta FROM deltas",
         "stream_windows": f"WITH {CHUNKS} SELECT stream_id, seq, line, scan FROM win",
         "stream_decisions": f"""WITH {STREAM_ENDS}
             SELECT d.stream_id, d.seq, d.line,
-                   CASE WHEN d.seq >= e.end_seq THEN 'Kill' ELSE 'Pass' END AS decision,
-                   CASE WHEN d.seq = e.end_seq THEN reason WHEN d.seq > e.end_seq THEN {q(rules.REASON_TERMINATED)} END AS reason,
-                   CASE WHEN d.seq = e.end_seq THEN category WHEN d.seq > e.end_seq THEN 'secret_leak' END AS category
+                   CASE WHEN (d.seq, d.line) >= (e.end_seq, e.end_line) THEN 'Kill' ELSE 'Pass' END AS decision,
+                   CASE WHEN (d.seq, d.line) = (e.end_seq, e.end_line) THEN reason
+                        WHEN (d.seq, d.line) > (e.end_seq, e.end_line) THEN {q(rules.REASON_TERMINATED)} END AS reason,
+                   CASE WHEN (d.seq, d.line) = (e.end_seq, e.end_line) THEN category
+                        WHEN (d.seq, d.line) > (e.end_seq, e.end_line) THEN 'secret_leak' END AS category
             FROM deltas d LEFT JOIN (SELECT * FROM ends WHERE status = 'killed') e ON e.stream_id = d.stream_id""",
         "stream_output": f"""WITH {STREAM_ENDS}
             SELECT c.stream_id, c.seq, CASE WHEN c.seq = e.end_seq THEN e.status ELSE 'pass' END AS status,
                    CASE WHEN e.end_seq IS NULL OR c.seq < e.end_seq THEN c.chunk
                         WHEN e.status = 'killed' THEN {head} || e.reason || {tail} END AS chunk
             FROM chunks c LEFT JOIN ends e ON e.stream_id = c.stream_id
-            WHERE e.end_seq IS NULL OR c.seq <= e.end_seq""",
+            WHERE e.end_seq IS NULL OR c.seq <= e.end_seq
+            UNION ALL SELECT * FROM lost""",
         "stream_kills": f"WITH {STREAM_ENDS} SELECT * FROM ends",
         "stream_summary": f"""WITH {STREAM_ENDS}
             SELECT coalesce(e.status, 'completed') AS status, e.category, count(*) AS streams
             FROM (SELECT DISTINCT stream_id FROM chunks) c LEFT JOIN ends e ON e.stream_id = c.stream_id
             GROUP BY 1, 2""",
+        "stream_late_counts": f"""WITH {STREAM_ENDS.replace("FROM parted)", f"FROM parted WHERE NOT ({delayed}))")},
+            late AS (
+              SELECT 'after_end' AS status, c.stream_id FROM chunks c JOIN ends e ON e.stream_id = c.stream_id AND c.seq > e.end_seq
+              UNION ALL
+              SELECT CASE WHEN e.end_seq IS NULL THEN 'out_of_order' ELSE 'after_end' END, p.stream_id
+              FROM parted p JOIN (SELECT stream_id, count(*) AS n, max(seq) AS top FROM parted GROUP BY 1) t USING (stream_id)
+              LEFT JOIN ends e ON e.stream_id = p.stream_id AND e.end_seq <= least(t.top, {last_early})
+              WHERE {delayed} AND t.top > 1)
+            SELECT status, count(DISTINCT stream_id) AS streams, CAST(count(*) AS BIGINT) AS chunks FROM late GROUP BY 1""",
     }
 
 

@@ -21,7 +21,7 @@ from textguard.plans import inputs
 from textguard.plans.inputs import chunks, prompts, requests, responses, table
 from textguard.streaming.jobs import run_available, run_updates
 from textguard.streaming.rate_limit import rate_limit_stream
-from textguard.streaming.scan import scan_stream
+from textguard.streaming.scan import late_counts, scan_states, scan_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -650,10 +650,20 @@ def _streamed(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
+def _texts(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("chunk", F.col("chunk").cast("string"))
+
+
 @query
 def stream_output_stateful(spark, sf):
-    live = inputs.chunks_of(inputs.plant(_streamed(spark, sf, "conversations")))
-    return run_available(scan_stream(live), "scan")
+    return _texts(run_available(scan_stream(inputs.chunk_log(spark, sf)), "scan"))
+
+
+@query
+def stream_late_counts(spark, sf):
+    """Some chunks come in the last micro-batch, after later ones of their stream."""
+    states = run_available(scan_states(inputs.chunk_log(spark, sf, whole=False)), "late")
+    return late_counts(states)
 
 
 @query
