@@ -21,14 +21,19 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textguard.llm.common import byte_texts, sliced, written
+from textguard.llm.common import byte_texts, offsets_of, sliced, split_words, written
 
 #: Words a worker remembers, and the longest that it does (bytes).
 CACHE_WORDS, CACHE_LONGEST = 1_200_000, 64
+#: Bytes of text whose words become one dictionary.
+BATCH_TEXT = 8 << 20
+#: Words that go to the tokenizer in one text, and what marks the last token of a word.
+GROUP, WORD_END = 64, "</w>"
 END_ID = 1
 BINS = 256
 
@@ -40,67 +45,121 @@ def _ids(encoding) -> bytes:
     return struct.pack(f"<{len(encoding)}I", *encoding.ids)
 
 
-def encode_batch(path: str, texts: list[bytes]) -> list[bytes]:
-    """Token ids of each text as little-endian 32-bit numbers.
-
-    The tokenizer splits at white space before it merges, so a text's ids are
-    those of its blank-separated words in turn; a word is encoded when a worker
-    meets it first. ASCII texts are lower-cased beforehand, as the tokenizer
-    would, unless they might hold a special token.
-    """
+def _encoded(model, last: np.ndarray, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    """(word, ids) of each. Words of letters alone go in groups, in a text of their
+    own each: there a word is one unit, and its last token is marked as such."""
+    texts = [w.decode() for w in words]
+    alone = [i for i, t in enumerate(texts) if not t.isalpha()]
+    letters = [i for i, t in enumerate(texts) if t.isalpha()]
+    groups = [letters[a : a + GROUP] for a in range(0, len(letters), GROUP)]
+    joined = model.encode_batch_fast([" ".join(texts[i] for i in g) for g in groups], add_special_tokens=False)
+    for group, encoding in zip(groups, joined):
+        ids = np.array(encoding.ids, dtype="<u4")
+        ends = (4 * (np.flatnonzero(last[ids]) + 1)).tolist()
+        if len(ends) != len(group):  # a letter that the tokenizer takes apart
+            alone += group
+            continue
+        raw = ids.tobytes()
+        for i, a, b in zip(group, [0, *ends], ends):
+            yield words[i], raw[a:b]
+    encodings = model.encode_batch_fast([texts[i] for i in alone], add_special_tokens=False)
+    yield from zip((words[i] for i in alone), map(_ids, encodings))
+
+
+def _looked_up(path: str, words: list[bytes]) -> list[bytes]:
+    """Token ids of different words as little-endian 32-bit numbers; a word goes to the
+    tokenizer when a worker meets it first."""
     if path not in _STATE:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _STATE[path] = (Tokenizer.from_file(path), {})
-    model, known = _STATE[path]
+        model = Tokenizer.from_file(path)
+        last = np.zeros(model.get_vocab_size(), dtype=bool)
+        last[[i for token, i in model.get_vocab().items() if token.endswith(WORD_END)]] = True
+        _STATE[path] = (model, last, {})
+    model, last, known = _STATE[path]
     if len(known) > CACHE_WORDS:  # the frequent words are among the first met
         for w in list(islice(known, CACHE_WORDS // 2, None)):
             del known[w]
-    cut = [(t.lower() if t.isascii() and b"<|" not in t else t).split() for t in texts]
-    fresh = set().union(*cut).difference(known) if cut else set()
+    fresh = set(words).difference(known)
     if fresh:
         # a word with closing marks is two tokens' worth of the same pattern
         closed = {w: m.groups() for w in fresh if (m := _CLOSED.fullmatch(w))}
         whole = {x for pair in closed.values() for x in pair}.union(fresh.difference(closed)).difference(known)
-        words = list(whole)
-        known.update(
-            zip(words, map(_ids, model.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)))
-        )
+        known.update(_encoded(model, last, list(whole)))
         known.update((w, known[a] + known[b]) for w, (a, b) in closed.items())
-    out = [b"".join(map(known.__getitem__, words)) for words in cut]
+    out = list(map(known.__getitem__, words))
     for w in fresh:
         if len(w) > CACHE_LONGEST:
             known.pop(w, None)
     return out
 
 
+def token_ids(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all texts one after the other, and where each text's begin.
+
+    The tokenizer splits at white space before it merges, so a text's ids are
+    those of its blank-separated words in turn. The words of all texts become one
+    dictionary: each different word is looked up once, and its ids are taken for
+    every place. ASCII texts are lower-cased beforehand, as the tokenizer would,
+    unless they might hold a special token.
+    """
+    texts = pc.fill_null(texts, "")
+    plain = pc.and_(pc.string_is_ascii(texts), pc.invert(pc.match_substring(texts, "<|")))
+    words, at = split_words(pc.if_else(plain, pc.ascii_lower(texts), texts))
+    coded = words.dictionary_encode()
+    ids = _looked_up(path, byte_texts(coded.dictionary))
+    sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+    lists = pa.ListArray.from_arrays(
+        pa.array(offsets_of(sizes), pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype="<u4"))
+    )
+    every = offsets_of(sizes.take(coded.indices.to_numpy()))
+    return np.asarray(lists.take(coded.indices).flatten()), every[at]
+
+
+def encode_batch(path: str, texts: list[bytes]) -> list[bytes]:
+    """Token ids of each text as little-endian 32-bit numbers."""
+    ids, at = token_ids(path, pa.array(texts, pa.binary()).cast(pa.string()))
+    return [ids[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:])]
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, key: str, text: str) -> DataFrame:
     """Pieces of all documents with their number among pieces of the same length of a task."""
     kind = docs.schema[key].dataType.simpleString()
-    columns = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    names = ("piece", "start", "length", "ids_crc32", "nth")
-    end = np.array([END_ID], dtype="<u4").tobytes()
+    columns = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
-        for batch in sliced(batches, "text"):
-            rows: list[tuple] = []
-            at: list[int] = []
-            for i, ids in enumerate(encode_batch(tokenizer, byte_texts(batch.column(1)))):
-                ids += end
-                for n, lo in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[lo : lo + 4 * capacity]
-                    length = len(part) // 4
-                    rows.append((n, lo // 4, length, zlib.crc32(part), int(seen[length])))
-                    seen[length] += 1
-                    at.append(i)
-            made = {"key": batch.column(0).take(pa.array(at, pa.int64()))}
-            made |= {c: pa.array(v, pa.int32() if c == "piece" else pa.int64()) for c, v in zip(names, zip(*rows))}
-            made["task"] = pa.array(np.full(len(rows), task, dtype=np.int64))
+        for batch in sliced(batches, "text", BATCH_TEXT):
+            ids, at = token_ids(tokenizer, batch.column(1))
+            # every text gets one id more at its end
+            size = np.diff(at) + 1
+            first = offsets_of(size)
+            whole = np.full(first[-1], END_ID, dtype="<u4")
+            inner = np.ones(first[-1], dtype=bool)
+            inner[first[1:] - 1] = False
+            whole[inner] = ids
+            parts = -(-size // capacity)
+            row = np.repeat(np.arange(len(size)), parts)
+            piece = np.arange(len(row)) - np.repeat(offsets_of(parts)[:-1], parts)
+            start = piece * capacity
+            length = np.minimum(size[row] - start, capacity)
+            lo = (first[row] + start) * 4
+            buffer = memoryview(whole).cast("B")
+            sums = [zlib.crc32(buffer[a:b]) for a, b in zip(lo.tolist(), (lo + 4 * length).tolist())]
+            # the number of a piece among those of its length, in this task so far
+            order = np.argsort(length, kind="stable")
+            same = length[order]
+            nth = np.empty(len(row), dtype=np.int64)
+            nth[order] = np.arange(len(row)) - np.searchsorted(same, same, side="left")
+            nth += seen[length]
+            seen += np.bincount(length, minlength=capacity + 1)
+            made = {"key": batch.column(0).take(pa.array(row))}
+            made |= {"piece": pa.array(piece, pa.int32()), "start": start, "length": length}
+            made |= {"ids_crc32": pa.array(sums, pa.int64()), "nth": nth, "task": np.full(len(row), task)}
             yield pa.RecordBatch.from_pydict(made)
 
     return columns.mapInArrow(

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions.text import let
-from textguard.llm.common import offsets_of, segment_sums, sliced
+from textguard.llm.common import offsets_of, segment_sums, sliced, split_words
 
 #: A run has at least so many words, and at least so many times its period.
 LEAST_WORDS, LEAST_PERIODS = 6, 4
@@ -106,16 +106,6 @@ def find_runs(words: np.ndarray, owner: np.ndarray, least: int = LEAST_WORDS, pe
     return rows[np.lexsort((rows[:, 2], rows[:, 0]))]
 
 
-def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of all texts, and where each text's begin."""
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-    words = lists.flatten()
-    bounds = offsets_of(np.asarray(pc.list_value_length(lists)))
-    real = np.asarray(pc.binary_length(words)) > 0  # blanks at an end leave an empty word
-    counts = segment_sums(real.astype(np.int64), bounds).astype(np.int64)
-    return words.filter(pa.array(real)), offsets_of(counts)
-
-
 def find_batch(texts: pa.Array, least: int, periods: int) -> dict[str, pa.Array]:
     words, offsets = split_words(texts)
     n, size = len(words), np.diff(offsets)
