@@ -323,16 +323,22 @@ def test_requests_without_a_time_are_kept_and_not_accepted(spark, tmp_path):
 
 
 def test_rate_limit_stream_after_a_pause(spark, tmp_path):
-    """Decisions go by the time of events, however late they are processed."""
+    """Decisions go by the time of events, however late they are processed; keys that
+    are silent leave the state once the watermark has passed their window."""
     import time
 
     def run(rows):
         df = spark.createDataFrame(rows, "id bigint, k bigint, t bigint").select("id", "k", F.timestamp_seconds("t").alias("ts"))
         df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         live = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
-        out = run_available(rate_limit_stream(live, "k", "ts", "id", 1, 1), "test", f"{tmp_path}/run")
-        return {r.id: r.accepted for r in out.collect()}
+        out = run_available(rate_limit_stream(live, "k", "ts", "id", 1, 1, lateness="10 seconds"), "test", f"{tmp_path}/run")
+        state = spark.read.format("statestore").option("stateVarName", "log").option("flattenCollectionTypes", "true").load(f"{tmp_path}/run/state")
+        return {r.id: r.accepted for r in out.collect()}, {r.key[0] for r in state.select("key").collect()}
 
-    assert run([(1, 1, 1000)]) == {1: True}
-    time.sleep(3)
-    assert run([(2, 1, 1000)]) == {1: True, 2: False}
+    assert run([(1, 1, 1000), (2, 2, 1000)]) == ({1: True, 2: True}, {1, 2})
+    time.sleep(2)
+    assert run([(3, 1, 1000)]) == ({1: True, 2: True, 3: False}, {1, 2})
+    first = {1: True, 2: True, 3: False, 4: True}
+    assert run([(4, 3, 9000)])[0] == first
+    # timers are due in the batch after the watermark moved; the latest key stays
+    assert run([(5, 3, 9005)]) == ({**first, 5: True}, {3})

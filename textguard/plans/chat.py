@@ -57,8 +57,15 @@ def decide_chat(
     decided: DataFrame, responses: DataFrame, stream_ends: DataFrame | None = None
 ) -> DataFrame:
     """Join decided requests to their upstream responses (one each) and inspect
-    the replies. ``stream_ends(request_id, status)`` names cut streams."""
+    the replies. ``stream_ends(request_id, status)`` names cut streams.
+
+    A request without a response failed upstream: ``failure`` of its response
+    row, where there is one without a status, says how (``timeout``, or the text
+    of a failed connection). ``upstream_failure`` is the error the client gets.
+    """
     asked = decided.withColumn("reached_upstream", F.col("error").isNull())
+    if "failure" not in responses.columns:
+        responses = responses.withColumn("failure", F.lit(None).cast("string"))
     inspected = chat.redact_responses(responses).select(
         "request_id",
         F.col("status").alias("upstream_status"),
@@ -66,6 +73,7 @@ def decide_chat(
         "redacted_choices",
         "response_findings",
         F.col("upstream_latency_us").alias("_latency"),
+        F.col("failure").alias("_failure"),
     )
     joined = asked.join(inspected, "request_id", "left")
     if stream_ends is not None:
@@ -76,8 +84,17 @@ def decide_chat(
     reached, whole = F.col("reached_upstream"), ~F.coalesce("streaming", F.lit(False))
     no_answer = reached & F.col("upstream_status").isNull()
     answered = F.coalesce(F.col("upstream_status").between(200, 299), F.lit(False))
+    failure = F.coalesce("_failure", F.lit(rules.MSG_NO_RESPONSE))
+    timed_out = F.col("upstream_error") == rules.TIMEOUT
     return (
-        joined.withColumn("upstream_error", F.when(no_answer, F.lit("no upstream response")))
+        joined.withColumn("upstream_error", F.when(no_answer, failure))
+        .withColumn(
+            "upstream_failure",
+            F.when(timed_out, error("upstream_timeout", rules.MSG_TIMEOUT)).when(
+                F.col("upstream_error").isNotNull(),
+                error("upstream_connection_failed", F.concat(F.lit(rules.MSG_CONNECTION), F.col("upstream_error"))),
+            ),
+        )
         .withColumn("upstream_latency_us", F.when(reached, F.coalesce("_latency", F.lit(0))).otherwise(0))
         .withColumn("out_body", F.when(reached & whole, F.col("out_body")))
         .withColumn(
@@ -89,7 +106,7 @@ def decide_chat(
         # only a successful answer is streamed
         .withColumn("stream_killed", reached & ~whole & answered & F.coalesce("_killed", F.lit(False)))
         .withColumn("rag_retrieval_performed", F.coalesce("rag_retrieval_performed", F.lit(False)))
-        .drop("_latency", "_killed")
+        .drop("_latency", "_killed", "_failure")
     )
 
 
@@ -129,10 +146,11 @@ def simple_chat(
     default_deny: bool = True,
     block_secrets: bool = True,
     default_model: str = rules.DEFAULT_MODEL,
+    rag_enabled: bool = False,
 ) -> DataFrame:
     """prompts(prompt, model, auth_ok, ...) of the simple endpoint: empty
-    prompt, auth, governance, attack, secrets, in this order. Adds ``error``,
-    ``final_prompt`` and ``model``."""
+    prompt, auth, governance, attack, secrets and, if retrieval is on, its place on
+    the allowlist, in this order. Adds ``error``, ``final_prompt`` and ``model``."""
     guarded = scanning.prompt_guard(prompts, "prompt", block_secrets)
     v = F.col("verdict")
     camel = F.regexp_replace(F.initcap(F.replace(v["category"], F.lit("_"), F.lit(" "))), " ", "")
@@ -142,6 +160,7 @@ def simple_chat(
         policy.auth_error(F.col("auth_ok")),
         policy.governance_error(rules.CAT_NETWORK, base_url, allowlist, default_deny),
         blocked,
+        chat.retrieval_error(rag_enabled, allowlist, default_deny),
     )
     return (
         guarded.withColumn("error", err)
@@ -153,6 +172,22 @@ def simple_chat(
     )
 
 
+def simple_upstream(
+    decided: DataFrame, key: str, corpus: DataFrame | None = None, k: int = rules.TOP_K, dim: int = rules.VECTOR_DIM
+) -> DataFrame:
+    """Add ``upstream_body`` to the rows of :func:`simple_chat` that go upstream;
+    with a corpus, the nearest texts to the sanitized prompt stand before it."""
+    prompt, context = F.col("final_prompt"), F.lit(None).cast("string")
+    out = decided
+    if corpus is not None:
+        out = decided = evaluate(decided, "final_prompt", prompt)
+        asked = decided.where(prompt.isNotNull()).select(F.col(key).alias("query_id"), prompt.alias("text"))
+        found = retrieval.contexts(retrieval.search_text(asked, corpus, k, dim)).withColumnRenamed("query_id", key)
+        out, context = decided.join(found.withColumnRenamed("context", "_context"), key, "left"), F.col("_context")
+    body = simple_request_body(F.col("model"), retrieval.simple_context(context, prompt))
+    return evaluate(out, "upstream_body", F.when(F.col("error").isNull(), body)).drop("_context")
+
+
 def simple_request_body(model: Column, final_prompt: Column) -> Column:
     """Upstream body of the simple endpoint."""
     message = F.struct(F.lit("user").alias("role"), final_prompt.alias("content"))

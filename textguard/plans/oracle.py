@@ -610,7 +610,11 @@ rsrc AS (SELECT prompt_id AS id, text FROM seeded),
 chat AS (
   SELECT d.*, kind IS NULL AS reached, d.id AS prompt_id,
          d.id % 43 = 5 AND kind IS NULL AS no_answer,
-         CASE WHEN kind IS NULL AND d.id % 43 <> 5 THEN d.id * 7919 % 900 + 100 ELSE 0 END AS latency,
+         CASE d.id % 3 WHEN 0 THEN 'timeout' WHEN 1 THEN 'connection refused' ELSE 'no upstream response' END AS failure,
+         CASE WHEN kind IS NULL AND (d.id % 43 <> 5 OR d.id % 3 < 2) THEN d.id * 7919 % 900 + 100 ELSE 0 END AS latency,
+         -- something is found for every request that has a user message
+         kind IS NULL AND EXISTS (SELECT 1 FROM msgf m WHERE m.id = d.id AND m.role = 'user' AND m.content IS NOT NULL)
+           AND EXISTS (SELECT 1 FROM documents WHERE text IS NOT NULL) AS found,
          CASE WHEN kind IS NULL AND NOT streaming AND d.id % 43 <> 5 AND d.id % 31 <> 0 THEN r.n ELSE 0 END AS findings,
          kind IS NULL AND streaming AND d.id % 43 <> 5 AND d.id % 31 <> 0
            AND coalesce(e.status = 'killed', false) AS stream_killed
@@ -619,20 +623,20 @@ audit AS (
   SELECT strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(id * 7), '%Y-%m-%dT%H:%M:%SZ') AS timestamp,
          request_id, '/v1/chat/completions' AS endpoint, coalesce(model, '') AS model,
          coalesce(streaming, false) AS streaming, injection_detected, findings > 0 AS pii_redacted,
-         CAST(findings AS BIGINT) AS pii_findings_count, stream_killed, false AS rag_retrieval_performed,
+         CAST(findings AS BIGINT) AS pii_findings_count, stream_killed, found AS rag_retrieval_performed,
          CAST(latency AS BIGINT) AS upstream_latency_us, CAST(0 AS BIGINT) AS scan_latency_us,
          CASE WHEN injection_detected THEN 'blocked_security' WHEN kind = 'security_blocked' THEN 'blocked_policy'
               WHEN no_answer THEN 'upstream_error' WHEN stream_killed THEN 'stream_killed' ELSE 'allowed' END AS outcome,
          CASE WHEN injection_detected THEN message
               WHEN category = 'ToolExecution' THEN replace(message, ' in the allowed tools list', ' allowed')
               WHEN kind IS NOT NULL THEN 'Security policy violation: ' || message
-              WHEN no_answer THEN 'no upstream response' END AS block_reason
+              WHEN no_answer THEN failure END AS block_reason
   FROM chat WHERE kind IS NULL OR kind <> 'bad_request')"""
 
 _COUNTERS = """CAST(count_if(readable) AS BIGINT) AS requests, CAST(count_if(injection_detected) AS BIGINT) AS injection_blocks,
   CAST(count_if(coalesce(kind = 'security_blocked', false) AND NOT injection_detected) AS BIGINT) AS policy_blocks,
   CAST(count_if(findings > 0) AS BIGINT) AS pii_redactions, CAST(sum(inbound_redactions) AS BIGINT) AS inbound_pii_redactions,
-  CAST(count_if(stream_killed) AS BIGINT) AS stream_kills, CAST(0 AS BIGINT) AS rag_retrievals,
+  CAST(count_if(stream_killed) AS BIGINT) AS stream_kills, CAST(count_if(found) AS BIGINT) AS rag_retrievals,
   CAST(coalesce(sum(latency) FILTER (reached AND NOT no_answer), 0) AS BIGINT) AS upstream_latency_us,
   CAST(count_if(reached AND NOT no_answer) AS BIGINT) AS upstream_latency_samples,
   CAST(coalesce(sum(latency) FILTER (reached AND NOT no_answer) // nullif(count_if(reached AND NOT no_answer), 0), 0) AS BIGINT)
@@ -651,6 +655,10 @@ def audit_sql() -> dict[str, str]:
     )
     return {
         "audit_records": f"WITH {CHAT} SELECT * FROM audit",
+        "upstream_failures": f"""WITH {CHAT} SELECT request_id, CASE failure WHEN 'timeout' THEN 504 ELSE 502 END AS code,
+              CASE failure WHEN 'timeout' THEN 'gateway_timeout' ELSE 'bad_gateway' END AS type,
+              CASE failure WHEN 'timeout' THEN {q(rules.MSG_TIMEOUT)} ELSE {q(rules.MSG_CONNECTION)} || failure END AS message
+            FROM chat WHERE no_answer""",
         "gateway_counters": f"WITH {CHAT} SELECT {_COUNTERS} FROM chat",
         "prometheus_text": f"WITH {CHAT}, c AS (SELECT {_COUNTERS} FROM chat) " + " UNION ALL ".join(lines),
         "metrics_windows": f"""WITH {CHAT} SELECT
@@ -722,6 +730,12 @@ def retrieval_sql() -> dict[str, str]:
         q("@"), "chr(10) || '---' || chr(10)"
     )
     decided = DECIDED.replace(PROMPTS + ",", "", 1)
+    guarded = f"""sp AS (SELECT prompt_id AS id, text, {inputs.AUTH_OK} AS auth_ok FROM prompts),
+      {injection_first_ctes('sp')}, {redacted_ctes('sp')}, sp_steps AS (
+        SELECT s.id, f.category, CASE WHEN d.n > 0 THEN d.redacted ELSE s.text END AS text,
+          CASE WHEN trim(s.text) = '' THEN 0 WHEN NOT auth_ok THEN 1 WHEN f.id IS NOT NULL THEN 2 WHEN d.secret THEN 3 ELSE 4 END AS step
+        FROM sp s JOIN d_red d ON d.id = s.id LEFT JOIN j_first f ON f.id = s.id),
+      qs AS (SELECT id, text FROM sp_steps WHERE step = 4)"""
     return {
         "embed_documents": f"""WITH docs AS (SELECT doc_id AS id, text FROM documents), {embedding_ctes('docs', 'b', dim)}
             SELECT id AS doc_id, CAST(i AS INT) AS idx, round(x, 6) AS x FROM b_all""",
@@ -740,6 +754,15 @@ def retrieval_sql() -> dict[str, str]:
               SELECT qs.id, CASE WHEN context IS NULL THEN text ELSE 'Context:' || chr(10) || context || chr(10) || chr(10)
                      || 'User Question: ' || text END AS final FROM qs LEFT JOIN ctx ON ctx.id = qs.id)
             SELECT id AS prompt_id, md5(final) AS prompt_md5, CAST(length(final) AS INT) AS n_chars FROM f""",
+        "simple_upstream_bodies": f"""WITH {ctx.replace("qs AS (SELECT prompt_id AS id, text FROM prompts)", guarded)},
+              f AS (SELECT qs.id, CASE WHEN context IS NULL THEN text ELSE 'Context:' || chr(10) || context || chr(10) || chr(10)
+                      || 'User Question: ' || text END AS final FROM qs LEFT JOIN ctx ON ctx.id = qs.id)
+            SELECT id AS prompt_id, CASE WHEN id % 3 = 0 THEN 'm9' ELSE {q(rules.DEFAULT_MODEL)} END AS model, false AS stream,
+              'user' AS role, md5(final) AS content_md5 FROM f""",
+        "simple_rag_gate": f"""WITH {PROMPTS}, {guarded} SELECT CASE WHEN g.step = 1 THEN 'Authentication' WHEN g.step = 2 THEN CASE category
+                WHEN 'prompt_injection' THEN 'PromptInjection' WHEN 'jailbreak' THEN 'Jailbreak' ELSE 'MaliciousPayload' END
+                WHEN g.step = 3 THEN 'SecretLeak' WHEN g.step = 4 THEN 'RagPipeline' END AS category, count(*) AS prompts
+            FROM sp_steps g GROUP BY 1""",
         "last_user_message": f"""WITH {REQUESTS}, mtext AS (SELECT id * 1000 + idx AS id, content AS text, role FROM msgf WHERE content IS NOT NULL),
             {redacted_ctes('mtext')}
             SELECT r.request_id, (SELECT last(d.redacted ORDER BY d.id) FROM d_red d JOIN mtext m ON m.id = d.id
@@ -772,6 +795,7 @@ def all_oracles() -> dict[str, str]:
     streaming = {
         "stream_output_stateful": stream_sql()["stream_output"],
         "rate_limit_stateful": policy_sql()["rate_limit_by_user"],
+        "chat_metrics_stream": audit_sql()["metrics_windows"],
         "event_metrics_stream": """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type,
             count(*) AS requests, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS latency_us
             FROM events GROUP BY 1, 2""",

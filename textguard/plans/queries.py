@@ -19,6 +19,7 @@ from textguard.operators.skew import join_hot_left
 from textguard.plans import chat as jobs
 from textguard.plans import inputs
 from textguard.plans.inputs import chunks, prompts, requests, responses, table
+from textguard.streaming.chat import counted
 from textguard.streaming.jobs import run_available, run_updates
 from textguard.streaming.rate_limit import rate_limit_stream
 from textguard.streaming.scan import late_counts, scan_states, scan_stream
@@ -430,9 +431,13 @@ def upstream_bodies(spark, sf):
     )
 
 
+def _answers(spark: SparkSession, sf: str) -> DataFrame:
+    return responses(spark, sf).where("failure IS NULL")
+
+
 @query
 def response_redaction(spark, sf):
-    out = chat.redact_responses(responses(spark, sf))
+    out = chat.redact_responses(_answers(spark, sf))
     return out.select(
         "request_id",
         "status",
@@ -456,9 +461,46 @@ def simple_chat_requests(spark, sf):
     )
 
 
+@query
+def simple_upstream_bodies(spark, sf):
+    """What goes upstream from the simple endpoint, with the texts that were found."""
+    asked = prompts(spark, sf).select(
+        "prompt_id",
+        F.col("text").alias("prompt"),
+        F.when(F.col("prompt_id") % 3 == 0, "m9").alias("model"),
+        F.expr(inputs.AUTH_OK).alias("auth_ok"),
+    )
+    decided = jobs.simple_chat(asked, inputs.BASE_URL, ALLOWLIST, rag_enabled=True)
+    out = jobs.simple_upstream(decided, "prompt_id", _corpus(spark, sf), rules.TOP_K, inputs.EMBED_DIM)
+    body = F.try_parse_json("upstream_body")
+    content = json_string(body, "$.messages[0].content")
+    return out.where(F.col("upstream_body").isNotNull()).select(
+        "prompt_id",
+        json_string(body, "$.model").alias("model"),
+        F.try_variant_get(body, "$.stream", "boolean").alias("stream"),
+        json_string(body, "$.messages[0].role").alias("role"),
+        F.md5(content).alias("content_md5"),
+    )
+
+
+@query
+def simple_rag_gate(spark, sf):
+    """Retrieval is on at the simple endpoint, but not on the allowlist."""
+    asked = prompts(spark, sf).select("prompt_id", F.col("text").alias("prompt"), F.lit(None).cast("string").alias("model"), F.expr(inputs.AUTH_OK).alias("auth_ok"))
+    out = jobs.simple_chat(asked, inputs.BASE_URL, [inputs.BASE_URL], rag_enabled=True)
+    return out.groupBy("error.category").agg(F.count("*").alias("prompts"))
+
+
+@query
+def upstream_failures(spark, sf):
+    """What clients hear where the upstream model gave no answer."""
+    failed = _chat(spark, sf).where(F.col("upstream_failure").isNotNull())
+    return failed.select("request_id", "upstream_failure.code", "upstream_failure.type", "upstream_failure.message")
+
+
 @query
 def simple_chat_replies(spark, sf):
-    out = jobs.simple_replies(responses(spark, sf))
+    out = jobs.simple_replies(_answers(spark, sf))
     return out.select(
         "request_id",
         "error.code",
@@ -477,8 +519,8 @@ def _chat(spark: SparkSession, sf: str) -> DataFrame:
     sent = join_hot_left(chunks(spark, sf), asked, ["stream_id"], block, how="left_semi")
     ends = streams.stream_ends(sent).select(F.col("stream_id").alias("prompt_id"), "status")
     ends = inputs.with_request_id(ends).select("request_id", "status")
-    decided = jobs.sanitize_requests(_decided(spark, sf))
-    return jobs.decide_chat(decided, responses(spark, sf), ends)
+    enriched = jobs.enrich_requests(_decided(spark, sf), _corpus(spark, sf), rules.TOP_K, inputs.EMBED_DIM)
+    return jobs.decide_chat(enriched, responses(spark, sf), ends)
 
 
 @query
@@ -666,6 +708,29 @@ def stream_late_counts(spark, sf):
     return late_counts(states)
 
 
+@query
+def chat_metrics_stream(spark, sf):
+    """Requests and replies as two logs that are read file by file, some rows twice,
+    joined and counted per minute as they arrive."""
+    enriched = jobs.enrich_requests(_decided(spark, sf), _corpus(spark, sf), rules.TOP_K, inputs.EMBED_DIM)
+    asked = enriched.select(
+        "request_id", "ts", F.struct("error.kind", "error.code").alias("e"), F.col("error").isNull().alias("fine"), "readable",
+        "injection_detected", "streaming", "inbound_redactions", "rag_retrieval_performed",
+    )
+    ends = streams.stream_ends(chunks(spark, sf)).where("status = 'killed'")
+    killed = inputs.with_request_id(ends.select(F.col("stream_id").alias("prompt_id"))).select("request_id", F.lit(True).alias("killed"))
+    replied = chat.redact_responses(responses(spark, sf)).select(
+        "request_id", F.col("status").alias("upstream_status"), "redacted_choices", "upstream_latency_us"
+    )
+    # a reply comes as long after its request as it took; failures are replies without a status
+    came = replied.join(killed, "request_id", "left").join(asked.select("request_id", "ts"), "request_id")
+    came = came.withColumn("ts", F.col("ts") + F.make_dt_interval(secs=F.col("upstream_latency_us") / 100))
+    live, late = inputs.log_of(spark, asked, "requests"), inputs.log_of(spark, came, "replies")
+    live = live.withColumn("error", F.when(~F.col("fine"), F.col("e"))).drop("e", "fine")
+    done = run_available(counted(live, late), "chat-metrics", empty_batches=True)
+    return done.select(audit.utc_clock(F.col("window.start")).alias("window_start"), *[c for c in done.columns if c != "window"])
+
+
 @query
 def rate_limit_stateful(spark, sf):
     events = _streamed(spark, sf, "events").select("event_id", "user_id", "ts")

@@ -170,6 +170,12 @@ CAT_RAG = "RagPipeline"
 RAG_TARGET = "rag://internal"
 
 # --- fixed values: error kind -> (HTTP code, type) ----------------------------------
+# what a client hears of a failed upstream
+TIMEOUT = "timeout"
+MSG_TIMEOUT = "The upstream model did not answer in time"
+MSG_CONNECTION = "The upstream model could not be reached: "
+MSG_NO_RESPONSE = "no upstream response"
+
 ERRORS: dict[str, tuple[int, str]] = {
     "bad_request": (400, "invalid_request_error"),
     "rate_limited": (429, "rate_limit_error"),

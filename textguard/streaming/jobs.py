@@ -16,11 +16,11 @@ _EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
 @contextmanager
-def _settings(spark: SparkSession) -> Iterator[None]:
+def _settings(spark: SparkSession, empty_batches: bool = False) -> Iterator[None]:
     """Settings a finite run needs; a query keeps those it was started with.
     State that expires asks for one more empty batch for ever, so a run over
     what is there only ends without them."""
-    wanted = {_PROVIDER: SETTINGS[_PROVIDER], _EMPTY_BATCHES: "false"}
+    wanted = {_PROVIDER: SETTINGS[_PROVIDER], _EMPTY_BATCHES: str(empty_batches).lower()}
     before = {k: spark.conf.get(k, None) for k in wanted}
     for key, value in wanted.items():
         spark.conf.set(key, value)
@@ -37,12 +37,15 @@ def job_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/textguard-{name}-{uuid.uuid4().hex}"
 
 
-def run_available(stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+def run_available(
+    stream: DataFrame, name: str, folder: str | None = None, empty_batches: bool = False
+) -> DataFrame:
     """Process everything that is there in append mode, exactly once, and read
-    the result back as a table."""
+    the result back as a table. ``empty_batches`` lets a last batch without rows
+    bring out what the watermark has made final (not for state with timers)."""
     spark = stream.sparkSession
     folder = folder or job_folder(spark, name)
-    with _settings(spark):
+    with _settings(spark, empty_batches):
         query = (
             stream.writeStream.format("parquet")
             .option("path", f"{folder}/out")
