@@ -141,7 +141,7 @@ def test_stateful_equals_batch(spark, tmp_path):
 
 def events(spark, seed=2, n=1500):
     rng = random.Random(seed)
-    rows, t = [], 0
+    rows, t = [], 1_000_000
     for i in range(n):
         t += rng.choice([0, 1, 1, 2, 5, 30]) if i % 200 > 20 else 0
         rows.append((i, rng.choice([1, 1, 1, 2, 3]), t))
@@ -312,7 +312,7 @@ def test_state_follows_event_time_not_the_clock(spark, tmp_path):
 
 
 def test_requests_without_a_time_are_kept_and_not_accepted(spark, tmp_path):
-    df = spark.createDataFrame([(1, 1, 0), (2, 1, None), (3, 1, 1)], "id bigint, k bigint, t bigint")
+    df = spark.createDataFrame([(1, 1, 100), (2, 1, None), (3, 1, 101)], "id bigint, k bigint, t bigint")
     df = df.select("id", "k", F.timestamp_seconds("t").alias("ts"))
     want = {1: True, 2: False, 3: False}
     assert {r.id: r.accepted for r in rate_limit(df, "k", "ts", "id", 1, 5).collect()} == want

@@ -75,7 +75,8 @@ def rate_limit_stream(
     bound what a micro-batch holds. Time is that of the events: a key keeps at most
     ``limit`` times, and none once the watermark, ``lateness`` behind the latest
     event, has passed its window. Events behind the watermark are left out by
-    Spark, which counts them. Events without a time are not accepted.
+    Spark, which counts them, as are those of 1970 and before. Events without a time
+    are not accepted.
     """
     timed = F.col(ts).cast("timestamp").isNotNull()
     timeless = events.where(~timed).select(*events.columns, F.lit(False).alias("accepted"))
