@@ -1,5 +1,7 @@
+import bisect
 import json
 import os
+import random
 
 import numpy as np
 import pytest
@@ -197,3 +199,21 @@ def test_null_samples_do_not_shift_percentiles(spark):
     df = spark.createDataFrame(rows, "run string, latency_us bigint")
     whole = profile.latency_percentiles(df.where("latency_us is not null"), ["run"]).collect()
     assert profile.latency_percentiles(df, ["run"]).collect() == whole
+
+
+def test_sketches_merge_to_about_the_exact_percentiles(spark):
+    from textguard.operators import profile
+
+    rng = random.Random(9)
+    rows = [(i % 3, i % 24, None if i % 50 == 0 else int(rng.lognormvariate(6, 1))) for i in range(30_000)]
+    samples = spark.createDataFrame(rows, "day int, hour int, latency_us bigint")
+    hours = profile.latency_sketches(samples, ["day", "hour"])
+    got = profile.sketched_percentiles(profile.merged_sketches(hours, ["day"])).collect()
+    exact = {r.day: r for r in profile.latency_percentiles(samples, ["day"]).collect()}
+    for r in got:
+        values = sorted(v for d, _, v in rows if d == r.day and v is not None)
+        assert r.total == exact[r.day].total == len(values)
+        for name, p in (("p50_us", 0.5), ("p90_us", 0.9), ("p95_us", 0.95), ("p99_us", 0.99)):
+            assert abs(bisect.bisect_left(values, r[name]) / len(values) - p) < 0.01
+    few = profile.latency_sketches(spark.createDataFrame([(0, 5), (0, None), (0, 7)], "day int, latency_us bigint"), ["day"])
+    assert [tuple(r) for r in profile.sketched_percentiles(few, (0.5, 1.0)).collect()] == [(0, 2, 5, 7)]

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 PERCENTILES = (0.50, 0.90, 0.95, 0.99)
 SLA_US = 1000
 BIN = 4096
+#: Size of a quantile sketch: ranks are off by less than one in a hundred.
+SKETCH_K = 800
 
 
 def latency_percentiles(
@@ -77,6 +79,33 @@ def latency_percentiles(
     )
 
 
+def latency_sketches(
+    samples: DataFrame, dims: Sequence[str], value: str = "latency_us", k: int = SKETCH_K
+) -> DataFrame:
+    """(dims, total, sketch): a mergeable quantile sketch of the integer samples of
+    each group. Null samples are not counted; a group of up to ``k`` values is kept whole."""
+    known = samples.where(F.col(value).isNotNull())
+    return known.groupBy(*dims).agg(
+        F.count("*").alias("total"), F.kll_sketch_agg_bigint(F.col(value).cast("bigint"), k).alias("sketch")
+    )
+
+
+def merged_sketches(sketches: DataFrame, dims: Sequence[str], k: int = SKETCH_K) -> DataFrame:
+    """Sketches of parts, as those of hours, put together for ``dims``, as days:
+    no sample is read again."""
+    return sketches.groupBy(*dims).agg(
+        F.sum("total").alias("total"), F.kll_merge_agg_bigint("sketch", k).alias("sketch")
+    )
+
+
+def sketched_percentiles(sketches: DataFrame, percentiles: Sequence[float] = PERCENTILES) -> DataFrame:
+    """Percentiles from sketches in place of the samples, off by about 1.5 / k of all ranks."""
+    values = [
+        F.kll_sketch_get_quantile_bigint("sketch", F.lit(float(p))).alias(f"p{round(p * 100):d}_us") for p in percentiles
+    ]
+    return sketches.select(*[c for c in sketches.columns if c != "sketch"], *values)
+
+
 def with_throughput(profile: DataFrame, durations: DataFrame, dims: Sequence[str]) -> DataFrame:
     """Add throughput (samples per second of ``duration_s``) and the SLA flag."""
     return (

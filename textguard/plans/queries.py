@@ -561,6 +561,28 @@ def latency_profile(spark, sf):
     return out.withColumn("throughput_rps", F.round("throughput_rps", 9)).drop("duration_s")
 
 
+@query
+def latency_sketches(spark, sf):
+    """Percentiles per day from sketches of hours, and whether each has about its rank."""
+    events = table(spark, sf, "events")
+    ts = F.col("ts").cast("timestamp")
+    day = F.substring(audit.utc_clock(ts), 1, 10).alias("day")
+    samples = events.select(day, F.date_trunc("hour", ts).alias("hour"), F.round(F.col("value") * 100).cast("bigint").alias("latency_us"))
+    hours = profile.latency_sketches(samples, ["day", "hour"])
+    days = profile.sketched_percentiles(profile.merged_sketches(hours, ["day"]))
+    names = [c for c in days.columns if c.startswith("p")]
+    # one pass over the samples, each against the four values of its day
+    below = [F.count_if(F.col("latency_us") < F.col(c)).alias(f"{c}_lo") for c in names]
+    upto = [F.count_if(F.col("latency_us") <= F.col(c)).alias(f"{c}_hi") for c in names]
+    ranks = samples.join(days, "day").groupBy("day").agg(F.first("total").alias("total"), *below, *upto)
+    slack = F.greatest(F.lit(1), 0.01 * F.col("total"))
+    near = [
+        ((F.col(f"{c}_lo") <= p * F.col("total") + slack) & (F.col(f"{c}_hi") >= p * F.col("total") - slack)).alias(f"{c}_near")
+        for c, p in zip(names, profile.PERCENTILES)
+    ]
+    return ranks.select("day", "total", *near)
+
+
 # --- retrieval --------------------------------------------------------------------------------
 def _corpus(spark: SparkSession, sf: str) -> DataFrame:
     docs = _documents(spark, sf).select("doc_id", "text")
