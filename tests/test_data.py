@@ -217,3 +217,30 @@ def test_sketches_merge_to_about_the_exact_percentiles(spark):
             assert abs(bisect.bisect_left(values, r[name]) / len(values) - p) < 0.01
     few = profile.latency_sketches(spark.createDataFrame([(0, 5), (0, None), (0, 7)], "day int, latency_us bigint"), ["day"])
     assert [tuple(r) for r in profile.sketched_percentiles(few, (0.5, 1.0)).collect()] == [(0, 2, 5, 7)]
+
+
+def test_ingest_survives_a_restart_with_equal_ids(spark, tmp_path):
+    """A batch that failed after its output was written is run again: same ids, nothing twice."""
+    from textguard.streaming.ingest import ingest_stream, stored
+
+    def add(names):
+        rows = [(n, None if n == "d/7" else f"text of {n}") for n in names]
+        spark.createDataFrame(rows, "path string, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def run():
+        live = spark.readStream.schema("path string, text string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        return {r.doc_id: r.text for r in ingest_stream(live, f"{tmp_path}/run", 8, 100).collect()}
+
+    add([f"d/{i}" for i in range(5)])
+    add([f"d/{i}" for i in range(5, 8)])
+    first = run()
+    assert sorted(first) == list(range(100, 108)) and len(set(first.values())) == 8
+    add(["d/8", "d/9"])
+    after = run()
+    assert sorted(after) == list(range(100, 110)) and first.items() <= after.items()
+    # the commit of the last batch is lost
+    for f in (tmp_path / "run/state/commits").iterdir():
+        if f.name.strip(".").startswith("2"):
+            f.unlink()
+    assert run() == after
+    assert stored(spark, f"{tmp_path}/run").where("text IS NOT NULL AND size(embedding) = 8").count() == 9

@@ -747,6 +747,9 @@ def retrieval_sql() -> dict[str, str]:
         "ingest_documents": f"""SELECT row_number() OVER (ORDER BY substring(md5(path), 1, 3), path) - 1
               + (SELECT max(page_id) + 1 FROM pages) AS doc_id, md5(text) AS text_md5, {dim} AS dim
             FROM (SELECT 'docs/' || doc_id || '.txt' AS path, text FROM documents)""",
+        "ingest_stream": f"""SELECT count(*) AS documents, count(*) AS ids, (SELECT max(page_id) + 1 FROM pages) AS first_id,
+              (SELECT max(page_id) FROM pages) + count(*) AS last_id, CAST(sum(length(text)) AS BIGINT) AS n_chars,
+              count(text) * {dim} AS numbers FROM documents""",
         "vector_topk": f"WITH {centroids}, {vectors}, {topk_cte('cent', 'vecs', 10)} SELECT {shown} FROM hits",
         "vector_topk_all": f"WITH {vectors}, {topk_cte('vecs', 'vecs', 5)} SELECT {shown} FROM hits",
         "vector_topk_lsh": f"""WITH {vectors}, coded AS (SELECT id, v, [{codes}] AS c FROM vecs),

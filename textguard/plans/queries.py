@@ -20,7 +20,8 @@ from textguard.plans import chat as jobs
 from textguard.plans import inputs
 from textguard.plans.inputs import chunks, prompts, requests, responses, table
 from textguard.streaming.chat import counted
-from textguard.streaming.jobs import run_available, run_updates
+from textguard.streaming.ingest import ingest_stream as ingested
+from textguard.streaming.jobs import job_folder, run_available, run_updates
 from textguard.streaming.rate_limit import rate_limit_stream
 from textguard.streaming.scan import late_counts, scan_states, scan_stream
 
@@ -634,6 +635,28 @@ def ingest_documents(spark, sf):
     )
 
 
+@query
+def ingest_stream(spark, sf):
+    """Documents as a log of files that is ingested in several micro-batches."""
+    docs = _documents(spark, sf).select(F.concat(F.lit("docs/"), "doc_id", F.lit(".txt")).alias("path"), "text")
+    folder = job_folder(spark, "ingest")
+    for n in range(inputs.LOG_PARTS):
+        part = docs.where(F.pmod(F.crc32(F.col("path").cast("binary")), F.lit(inputs.LOG_PARTS)) == n)
+        part.repartition(inputs.LOG_FILES, "path").write.mode("append").parquet(f"{folder}/files")
+    live = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", inputs.LOG_FILES).parquet(f"{folder}/files")
+    first = table(spark, sf, "pages").agg(F.coalesce(F.max("page_id") + 1, F.lit(0))).scalar()
+    out = ingested(live, f"{folder}/out", inputs.EMBED_DIM, spark.range(1).select(first).head()[0])
+    # which ids there are, and that every text is there once with a vector
+    return out.select(
+        F.count("*").alias("documents"),
+        F.count_distinct("doc_id").alias("ids"),
+        F.min("doc_id").alias("first_id"),
+        F.max("doc_id").alias("last_id"),
+        F.sum(F.length("text").cast("bigint")).alias("n_chars"),
+        F.sum(F.size("embedding")).alias("numbers"),
+    )
+
+
 @query
 def vector_topk(spark, sf):
     hits = retrieval.vector_topk_few(_centroids(spark, sf), _vectors(spark, sf, "doc_id"), 10)

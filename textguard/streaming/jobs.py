@@ -16,7 +16,7 @@ _EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
 @contextmanager
-def _settings(spark: SparkSession, empty_batches: bool = False) -> Iterator[None]:
+def checked_settings(spark: SparkSession, empty_batches: bool = False) -> Iterator[None]:
     """Settings a finite run needs; a query keeps those it was started with.
     State that expires asks for one more empty batch for ever, so a run over
     what is there only ends without them."""
@@ -45,7 +45,7 @@ def run_available(
     bring out what the watermark has made final (not for state with timers)."""
     spark = stream.sparkSession
     folder = folder or job_folder(spark, name)
-    with _settings(spark, empty_batches):
+    with checked_settings(spark, empty_batches):
         query = (
             stream.writeStream.format("parquet")
             .option("path", f"{folder}/out")
@@ -68,7 +68,7 @@ def run_updates(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
         # one folder per epoch: a batch that is run again replaces its output
         batch.write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}")
 
-    with _settings(spark):
+    with checked_settings(spark):
         query = (
             stream.writeStream.foreachBatch(write)
             .option("checkpointLocation", f"{folder}/state")
