@@ -217,6 +217,79 @@ def test_lm_gradients():
     assert net.score(docs).sum() > 0.8 * before
 
 
+def test_lm_slopes_equal_differences(monkeypatch):
+    """Three texts in two lanes of one window, so that a state is cleared on the way."""
+    rng = np.random.default_rng(2)
+    net = lm.Network.start(rng.integers(1, 9, 20).astype(np.int64))
+    for p in net.parts():
+        p += rng.normal(0, 0.3, p.shape).astype(np.float32)
+    docs = [np.append(rng.integers(2, 20, n), lm.END) for n in (5, 4, 3)]
+    slopes = [np.zeros(p.shape) for p in net.parts()]
+
+    def note(self, i, squares, slope, rate, at):
+        slopes[i][at] += slope
+
+    monkeypatch.setattr(lm.Network, "_move", note)
+    net.train(docs)
+    loss = lambda: -net.score(docs).sum() * np.log(10) / sum(map(len, docs))
+    for part, slope in zip(net.parts(), slopes):
+        for at in np.argsort(-abs(slope), axis=None)[:8]:
+            at = np.unravel_index(at, part.shape)
+            was = part[at]
+            part[at] = was + 0.01
+            high = loss()
+            part[at] = was - 0.01
+            low = loss()
+            part[at] = was
+            assert np.isclose((high - low) / 0.02, slope[at], rtol=0.05, atol=1e-4)
+
+
+def test_lm_head_is_full_at_any_counts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", 1000)
+    words = lambda a, b: [f"w{i}".encode() for i in range(a, b)]
+    for rows in (
+        [(w, 1) for w in words(0, 3000)],
+        [(w, 1) for w in words(0, 3000)] + [(w, 5) for w in words(3000, 3100)],
+        [(w, 900_000_000 + i) for i, w in enumerate(words(0, 3000))],
+        [(w, i + 1) for i, w in enumerate(words(0, 900))],
+        [],
+    ):
+        got, c = lm.head(spark.createDataFrame(rows, "word binary, c bigint"))
+        assert len(got) == len(set(got)) == min(1000, len(rows))
+        assert c.tolist() == sorted((n for _, n in rows), reverse=True)[:1000]
+        assert all(dict(rows)[w] == n for w, n in zip(got, c))
+
+
+def test_lm_sample_grows_and_copies_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FIT_BASE", 100)
+    monkeypatch.setattr(lm, "FIT_EVERY", 2)
+    monkeypatch.setattr(lm, "FIT_DOCS", 50)
+    for n in (1000, 4000):
+        docs = written(spark.range(n).selectExpr("1 as doc_id", "if(id % 3 = 0, 'copy', 'a ' || id) as text"), "copies")
+        chosen, shards = lm.sampled(docs, n, "text")
+        sizes = [r["count"] for r in chosen.groupBy("part").count().collect()]
+        assert 0.8 * (100 + n / 2) < sum(sizes) < 1.2 * (100 + n / 2)
+        assert len(sizes) == shards * lm.FIT_ROUNDS and max(sizes) < 100
+        copies = chosen.where("text = 'copy'").groupBy("part").count().collect()
+        assert len(copies) == len(sizes)
+
+
+def test_lm_averages_many_shards(spark, monkeypatch):
+    """Networks that meet two at a time average as all together; a text far longer than others is among them."""
+    monkeypatch.setattr(lm, "FIT_DOCS", 4)
+    monkeypatch.setattr(lm, "FIT_PIECE", 64)
+    rng = np.random.default_rng(4)
+    docs = [(7, " ".join(rng.permutation([f"w{j}" for j in range(20)]))) for _ in range(60)] + [(7, "w1 w2 " * 5000), (None, None)]
+    df = written(spark.createDataFrame(docs, "doc_id long, text string"), "many")
+    scores = []
+    for fan in (2, 100):
+        monkeypatch.setattr(lm, "FAN", fan)
+        got = lm.log_likelihood(df, parts=10**6, held=10**6).collect()
+        scores.append(sorted((r["n_tokens"], r["score"]) for r in got))
+    assert len(scores[0]) == 62 and scores[0][-1][0] == 10_001 and all(x < 0 for _, x in scores[0])
+    assert np.allclose(scores[0], scores[1], rtol=1e-3)
+
+
 # --- 4, 9, 10 classifiers ---------------------------------------------------------------------------
 def auc(y, s):
     r = pd.Series(s).rank().to_numpy()
@@ -286,6 +359,22 @@ def test_language_on_held_out_rows(spark, odd, empty):
     assert language.predict_language(empty).count() == 0
 
 
+def test_all_of_very_many_languages_are_learned(spark):
+    """300 languages of 12 words each; one text of the first is in a third of all rows, under one key."""
+    rng = np.random.default_rng(7)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    docs = []
+    for i in range(300):
+        words = ["".join(rng.choice(letters, 6)) for _ in range(12)]
+        docs += [(len(docs) + k, " ".join(rng.choice(words, 40)), f"l{i}", "x", "y") for k in range(12)]
+    docs += [(-1, docs[0][1], "l0", "x", "y")] * 1800
+    df = written(spark.createDataFrame(docs, "doc_id long, text string, lang string, _lang string, label string"), "languages")
+    got = language.predict_language(df).toPandas()
+    assert len(got) == len(docs) and got["lang_pred"].nunique() == 300
+    aside = got[got["held_out"] & (got["doc_id"] >= 0)]
+    assert np.mean([docs[k][2] == p for k, p in zip(aside["doc_id"], aside["lang_pred"])]) > 0.95
+
+
 def test_codewords_differ():
     for n in (2, 3, 4, 6, 7, 40):
         code = language.codewords(n)

@@ -10,6 +10,7 @@ answer is flagged as ambiguous.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,9 +22,9 @@ from textguard.llm.common import bucket, map_texts
 
 #: Features are hashed to this many numbers; long texts are counted in windows.
 BUCKETS, WINDOW_BYTES = 8192, 1 << 20
-#: The fit takes about so many texts of each language, none longer than this
-#: (bytes), and the most frequent languages up to this number.
-FIT_PER_LANGUAGE, FIT_BYTES, LANGUAGES = 400, 1 << 16, 256
+#: The fit takes about so many texts of each language, of all languages together
+#: and, where there are very many, at least of each.
+FIT_PER_LANGUAGE, FIT_TEXTS, FIT_LEAST = 400, 12_800, 16
 UNKNOWN = "und"
 AMBIGUOUS = 1.0
 
@@ -50,7 +51,11 @@ def ngram_counts(text: bytes) -> np.ndarray:
 
 
 def features(texts: list[bytes]) -> np.ndarray:
-    x = np.sqrt(np.array([ngram_counts(t) for t in texts], dtype=np.float32).reshape(-1, BUCKETS))
+    return scaled(np.array([ngram_counts(t) for t in texts], dtype=np.float32).reshape(-1, BUCKETS))
+
+
+def scaled(counts: np.ndarray) -> np.ndarray:
+    x = np.sqrt(counts)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6)
 
 
@@ -102,16 +107,17 @@ class Model:
         return names, score, unsure
 
 
-def fit(texts: list[bytes], labels: list[str], epochs: int = 40, rate: float = 4.0, seed: int = 3) -> Model:
+def fit(x: np.ndarray, labels: list[str], epochs: int = 40, rate: float = 4.0, seed: int = 3) -> Model:
+    """``x``: features of the texts that ``labels`` belong to."""
     languages = sorted(set(labels))
     code = codewords(len(languages))
-    y = code[[languages.index(x) for x in labels]] if labels else np.zeros((0, code.shape[1]))
+    place = {name: i for i, name in enumerate(languages)}
+    y = code[[place[name] for name in labels]].astype(np.float32) if labels else np.zeros((0, code.shape[1]))
     w, b = np.zeros((BUCKETS, code.shape[1]), dtype=np.float32), np.zeros(code.shape[1], dtype=np.float32)
     if not code.shape[1]:
         return Model(languages, code, w, b, np.ones(0))
-    x = features(texts)
     # languages count alike, whatever their share of the sample
-    size = {name: labels.count(name) for name in languages}
+    size = Counter(labels)
     weight = np.array([len(labels) / len(languages) / size[name] for name in labels], dtype=np.float32)[:, None]
     rng = np.random.default_rng(seed)
     for epoch in range(epochs):
@@ -125,19 +131,31 @@ def fit(texts: list[bytes], labels: list[str], epochs: int = 40, rate: float = 4
     return Model(languages, code, w, b, trust / trust.mean())
 
 
-def sample(docs: DataFrame, language: str, key: str, text: str) -> DataFrame:
-    """About FIT_PER_LANGUAGE rows of each of the most frequent languages, by a hash of the key."""
-    learn = docs.where(F.col(language).isNotNull() & F.col(text).isNotNull())
-    counts = learn.groupBy(language).count().orderBy(F.desc("count"), language).limit(LANGUAGES).collect()
-    rates = docs.sparkSession.createDataFrame(
-        [(r[0], min(1.0, FIT_PER_LANGUAGE / r[1])) for r in counts], "_lang string, _rate double"
-    )
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = learn.where(F.octet_length(text) <= FIT_BYTES).join(
-        F.broadcast(rates), F.col(language) == F.col("_lang")
-    )
-    chosen = chosen.where(draw < F.col("_rate")).select(F.col(language).alias("label"), F.col(text).alias("text"))
-    return chosen.limit(2 * FIT_PER_LANGUAGE * max(1, len(counts)))
+def sample(docs: DataFrame, language: str, text: str) -> DataFrame:
+    """(label, at, n): n-gram counts above zero of whole texts, about FIT_PER_LANGUAGE of
+    each language, fewer where there are more than FIT_TEXTS / FIT_PER_LANGUAGE languages.
+
+    Rows are drawn one by one, by a hash of their number in the input, so it does not
+    matter how often a key or a text is repeated. Only counts leave a task.
+    """
+    rows = docs.where(F.col(language).isNotNull() & F.col(text).isNotNull())
+    rows = rows.select(F.col(language).alias("label"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    counts = rows.groupBy("label").count().collect()  # a row for each language
+    each = max(FIT_LEAST, min(FIT_PER_LANGUAGE, FIT_TEXTS // max(1, len(counts))))
+    rates = docs.sparkSession.createDataFrame([(r[0], min(1.0, each / r[1])) for r in counts], "name string, rate double")
+    draw = F.pmod(F.xxhash64("row", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
+    chosen = rows.join(F.broadcast(rates), F.col("label") == F.col("name")).where(draw < F.col("rate"))
+
+    def work(batch: pa.RecordBatch, texts: list[bytes]) -> dict:
+        made = [ngram_counts(t) for t in texts]
+        at = [np.flatnonzero(x) for x in made]
+        return {
+            "label": batch.column(0),
+            "at": pa.array([i.astype(np.int32) for i in at], pa.list_(pa.int32())),
+            "n": pa.array([x[i].astype(np.float32) for x, i in zip(made, at)], pa.list_(pa.float32())),
+        }
+
+    return map_texts(chosen.select("label", "text"), "text", "label string, at array<int>, n array<float>", work)
 
 
 def predict_language(
@@ -152,9 +170,12 @@ def predict_language(
     gives no rows.
     """
     held_out = bucket(F.col(key), parts) == held
-    rows = sample(docs.where(~held_out), language, key, text).collect()
-    rows.sort(key=lambda r: (r["label"], r["text"]))
-    model = fit([r["text"].encode() for r in rows], [r["label"] for r in rows])
+    rows = sample(docs.where(~held_out), language, text).collect()
+    rows.sort(key=lambda r: (r["label"], r["at"], r["n"]))
+    x = np.zeros((len(rows), BUCKETS), dtype=np.float32)
+    for i, r in enumerate(rows):
+        x[i, r["at"]] = r["n"]
+    model = fit(scaled(x), [r["label"] for r in rows])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[key].dataType.simpleString()
     columns = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), held_out.alias("held_out"))
