@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textguard import rules
 from textguard.operators import streams
+from textguard.streaming import scan
 from textguard.operators.rate_limit import rate_limit
 from textguard.streaming.jobs import run_available
 from textguard.streaming.rate_limit import rate_limit_stream
@@ -263,6 +264,32 @@ def test_late_chunks_are_counted_and_an_end_is_kept(spark, tmp_path):
     assert not any(r.chunk for r in states.where(F.col("status").isin("after_end", "out_of_order")).collect())
 
 
+def test_streams_of_one_bucket_keep_apart(spark, tmp_path, monkeypatch):
+    """All streams in one bucket: one call a micro-batch, state and idle time by stream."""
+    calls = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(scan, "BUCKETS", 1)
+
+    class Counted(scan.CarryTail):
+        def ordered(self, rows):
+            calls.add(1)
+            return super().ordered(rows)
+
+    monkeypatch.setattr(scan, "CarryTail", Counted)
+    streams_of = range(40)
+    batches = [
+        [(s, 0, at(s), sse("sk-"), False) for s in streams_of],
+        [(99, 0, at(90), sse("clock"), False)],
+        [(99, 1, at(90), sse("timers are due"), False)],
+        [(s, 1, at(91), sse(KEY[3:]), False) for s in streams_of],
+    ]
+    live = in_batches(spark, f"{tmp_path}/in", batches, TIMED)
+    states = run_available(scan_states(live, idle_ms=60_000, lateness="5 seconds"), "bucket", f"{tmp_path}/run").collect()
+    # the watermark is at 85 seconds: streams that were silent since before 25 begin anew
+    assert {r.stream_id for r in states if r.status == "killed"} == {s for s in streams_of if s + 60 >= 85}
+    assert len(states) == 82 and all(r.status in ("pass", "killed") for r in states)
+    assert 0 < calls.value <= 2 * len(batches)
+
+
 def test_lines_cut_between_chunks(spark, tmp_path):
     """Keys in a line, and characters, that are cut over two chunks or more, within and across blocks and batches."""
     key, note = sse(KEY).encode(), sse("plain é日 text ").encode()

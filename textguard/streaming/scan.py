@@ -6,7 +6,10 @@ remembers which streams were ended; a third, where lines are cut between
 chunks, carries the open line. What decides about a chunk runs in between, as
 Spark expressions, the same as in the batch job.
 
-Time is event time. A state is given up by a timer that is due when the
+State is kept by stream and handled by bucket of streams: one call for each bucket
+of a micro-batch, not for each stream.
+
+Time is event time. A state is given up by a timer when the
 watermark has passed the last chunk of its stream by ``idle``; a job that is
 restarted after a long pause drops nothing that its events do not ask for.
 """
@@ -16,8 +19,9 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -31,77 +35,125 @@ from textguard.operators.streams import flagged, placeless, with_kill
 IDLE_MS = 60 * 60 * 1000
 #: How far chunks may arrive after later ones of other streams.
 LATENESS = "10 minutes"
+#: Streams are dealt into so many buckets; state and timers go by bucket. It must not
+#: change while a query goes on from its checkpoint.
+BUCKETS, BUCKET = 1024, "bucket"
 #: Statuses of chunks that came too late to be forwarded.
 AFTER_END, OUT_OF_ORDER = "after_end", "out_of_order"
 LATE = (AFTER_END, OUT_OF_ORDER)
 
 
-class _Idle(StatefulProcessor):
-    """One value per stream, given up ``idle_ms`` of event time after its last chunk."""
+class _Streams(StatefulProcessor):
+    """State by stream, for the streams of one bucket. A call handles all chunks that a
+    micro-batch has of its bucket, so what a call costs is shared by many streams."""
 
     value: str
 
-    def __init__(self, idle_ms: int | None):
-        self.idle_ms = idle_ms  # None: kept for good
+    def __init__(self, kind: T.DataType):
+        self.key = T.StructType([T.StructField("stream_id", kind)])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("last", f"{self.value}, seq bigint, due bigint")
-
-    def load(self) -> tuple:
-        return tuple(self.state.get()) if self.state.exists() else ()
-
-    def save(self, values: tuple, last: int, due: int | None, frame: pd.DataFrame, now: int) -> None:
-        """Keeps ``values`` and sets the timer by the latest chunk, not before the watermark."""
-        if self.idle_ms is not None and frame["ts"].notna().any():
-            latest = int(frame["ts"].max().timestamp() * 1000)
-            wanted = max(latest, now) + self.idle_ms
-            if due is None or wanted > due:
-                if due is not None:
-                    self.handle.deleteTimer(due)
-                self.handle.registerTimer(wanted)
-                due = wanted
-        self.state.update((*values, last, due))
+        self.state = handle.getMapState("last", self.key, self.value)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        return iter(())
-
-    def ordered(self, rows) -> pd.DataFrame:
-        # the rows of one stream in one micro-batch; the source bounds its size
-        return pd.concat(rows).sort_values("seq", kind="stable")
-
-    def watermark(self, timer_values) -> int:
-        return max(0, timer_values.getCurrentWatermarkInMs()) if self.idle_ms is not None else 0
+    def ordered(self, rows) -> tuple[pd.DataFrame, np.ndarray, list]:
+        """The chunks of the bucket by stream and number, where each stream begins, and
+        which it is; the source bounds their size."""
+        frame = pd.concat(rows, ignore_index=True).drop(columns=BUCKET)
+        frame = frame.sort_values(["stream_id", "seq"], kind="stable", ignore_index=True)
+        ids = frame["stream_id"]
+        starts = np.flatnonzero(np.r_[True, (ids[1:].to_numpy() != ids[:-1].to_numpy())])
+        return frame, starts, ids.iloc[starts].tolist()
 
     def close(self) -> None:
         pass
 
 
+class _Idle(_Streams):
+    """One value per stream, given up ``idle_ms`` of event time after its last chunk.
+    A bucket has one timer, due no later than the first of its streams."""
+
+    def __init__(self, kind: T.DataType, idle_ms: int | None):
+        super().__init__(kind)
+        self.idle_ms = idle_ms  # None: kept for good
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getMapState("last", self.key, f"{self.value}, seq bigint, due bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame, starts, ids = self.ordered(rows)
+        now = max(0, timerValues.getCurrentWatermarkInMs()) if self.idle_ms is not None else 0
+        if self.idle_ms is None:
+            latest = [None] * len(ids)
+        else:  # the least number stands for streams without any time
+            times = pd.to_datetime(frame["ts"]).to_numpy(dtype="datetime64[ms]").astype("int64")
+            none = np.iinfo(np.int64).min
+            latest = [None if t == none else t for t in np.maximum.reduceat(times, starts).tolist()]
+        columns = [frame[c].tolist() for c in self.reads]
+        out, first = [], None
+        for stream, lo, hi, at in zip(ids, starts.tolist(), [*starts[1:].tolist(), len(frame)], latest):
+            known = self.state.containsKey((stream,))
+            *values, last, due = self.state.getValue((stream,)) if known else (*self.begin, None, None)
+            values, last = self.carry(values, last, zip(*(c[lo:hi] for c in columns)), out)
+            if at is not None:
+                # by the latest chunk, not before the watermark
+                wanted = max(at, now) + self.idle_ms
+                due = wanted if due is None else max(due, wanted)
+                first = due if first is None else min(first, due)
+            self.state.updateValue((stream,), (*values, last, due))
+        if first is not None:
+            self.wake(first)
+        yield self.result(frame, out)
+
+    def wake(self, due: int) -> None:
+        set_for = list(self.handle.listTimers())
+        if any(t <= due for t in set_for):
+            return
+        for t in set_for:
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(due)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        fired, now = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        gone, first = [], None
+        for stream, value in self.state.iterator():
+            due = value[-1]
+            if due is not None and (due <= fired or due < now):
+                gone.append(stream)
+            elif due is not None:
+                first = due if first is None else min(first, due)
+        for stream in gone:
+            self.state.removeKey(tuple(stream))
+        if first is not None:
+            self.handle.registerTimer(first)
+        return iter(())
+
+
 class CarryTail(_Idle):
     """Adds the last characters of the stream before each chunk, and whether the
     chunk comes after one with a greater number or the same."""
 
-    value = "tail string"
+    value, reads, begin = "tail string", ("seq", "deltas", "transport_error"), ("",)
 
-    def __init__(self, window: int, idle_ms: int | None):
-        super().__init__(idle_ms)
+    def __init__(self, kind: T.DataType, window: int, idle_ms: int | None):
+        super().__init__(kind, idle_ms)
         self.window = window
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = self.ordered(rows)
-        before, last, due = self.load() or ("", None, None)
-        tails, late = [], []
-        for seq, deltas, broken in zip(frame["seq"], frame["deltas"], frame["transport_error"]):
-            tails.append(before)
-            late.append(last is not None and seq <= last)
-            if late[-1]:
+    def carry(self, values, last, chunks, out) -> tuple[tuple, int | None]:
+        (before,) = values
+        for seq, deltas, broken in chunks:
+            late = last is not None and seq <= last
+            out.append((before, late))
+            if late:
                 continue
             last = int(seq)
             if deltas is not None and not broken:
                 before = (before + "".join(deltas))[-self.window :]
-        self.save((before,), last, due, frame, self.watermark(timerValues))
-        yield frame.assign(tail=tails, late=late)
+        return (before,), last
+
+    def result(self, frame: pd.DataFrame, out: list) -> pd.DataFrame:
+        return frame.assign(tail=[tail for tail, _ in out], late=[late for _, late in out])
 
 
 def _readable(line: bytes) -> bool:
@@ -120,13 +172,11 @@ class CarryLine(_Idle):
     """Adds ``lines``: the text of each chunk behind the open line that the chunks
     before it left. A line that could be read already isn't given again."""
 
-    value = "open binary, done boolean"
+    value, reads, begin = "open binary, done boolean", ("seq", "chunk", "transport_error"), (b"", False)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = self.ordered(rows)
-        begun, done, last, due = self.load() or (b"", False, None, None)
-        begun, out = bytes(begun), []
-        for seq, chunk, broken in zip(frame["seq"], frame["chunk"], frame["transport_error"]):
+    def carry(self, values, last, chunks, out) -> tuple[tuple, int | None]:
+        begun, done = bytes(values[0]), values[1]
+        for seq, chunk, broken in chunks:
             if (last is not None and seq <= last) or broken or chunk is None:
                 out.append("")
                 continue
@@ -140,34 +190,36 @@ class CarryLine(_Idle):
             begun = b"" if done else text.rpartition(b"\n")[2]
             if _readable(begun):
                 begun, done = b"", True
-        self.save((begun, done), last, due, frame, self.watermark(timerValues))
-        yield frame.assign(lines=out)
+        return (begun, done), last
+
+    def result(self, frame: pd.DataFrame, out: list) -> pd.DataFrame:
+        return frame.assign(lines=out)
 
 
-class CutAfterKill(StatefulProcessor):
+class CutAfterKill(_Streams):
     """Passes chunks up to the first that ends the stream and marks all later ones.
     An end is kept for good, one flag for each stream that was ended: whatever
     comes later, after any pause, is not forwarded."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ended = handle.getValueState("ended", "ended boolean")
+    value = "ended boolean"
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(rows).sort_values("seq", kind="stable").reset_index(drop=True)
-        first = 0
-        if not self.ended.exists():
-            ends = frame["status"].isin(("killed", "upstream_error")).to_numpy().nonzero()[0]
-            first = len(frame)
-            if len(ends):
-                first = ends[0] + 1
-                self.ended.update((True,))
-        after = frame.index >= first
+        frame, starts, ids = self.ordered(rows)
+        ends = frame["status"].isin(("killed", "upstream_error")).to_numpy()
+        after = np.zeros(len(frame), dtype=bool)
+        for stream, lo, hi in zip(ids, starts, [*starts[1:], len(frame)]):
+            if self.state.containsKey((stream,)):
+                after[lo:hi] = True
+            elif ends[lo:hi].any():
+                self.state.updateValue((stream,), (True,))
+                after[lo + 1 + int(ends[lo:hi].argmax()) : hi] = True
         frame.loc[after, "status"] = AFTER_END
         frame.loc[after, "chunk"] = None
         yield frame
 
-    def close(self) -> None:
-        pass
+
+def _bucketed(df: DataFrame) -> GroupedData:
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64("stream_id"), F.lit(BUCKETS))).groupBy(BUCKET)
 
 
 def _fields(df: DataFrame, *more: T.StructField) -> T.StructType:
@@ -193,11 +245,11 @@ def scan_states(
 
     Chunks of a stream have to arrive in order of ``seq`` across micro-batches;
     inside one they are sorted. Sources have to bound what a micro-batch holds
-    (``maxFilesPerTrigger``, ``maxBytesPerTrigger``): the chunks of one stream in
-    one of them meet in memory. With ``whole_lines``, ``chunk`` may be bytes, and
+    (``maxFilesPerTrigger``, ``maxBytesPerTrigger``): the chunks of one bucket of
+    streams (of ``BUCKETS``) in one of them meet in memory. With ``whole_lines``, ``chunk`` may be bytes, and
     lines and characters that are cut between chunks are put together.
     """
-    kind = chunks.schema["chunk"].dataType
+    kind, stream = chunks.schema["chunk"].dataType, chunks.schema["stream_id"].dataType
     lost = chunks.where(placeless()).select(
         "stream_id", "seq", F.lit("unscanned").alias("status"), F.lit(None).cast(kind).alias("chunk")
     )
@@ -210,19 +262,19 @@ def scan_states(
         rows = rows.withWatermark("ts", lateness)
 
     def carry(df: DataFrame, processor: StatefulProcessor, *more: T.StructField) -> DataFrame:
-        return df.groupBy("stream_id").transformWithStateInPandas(
+        return _bucketed(df).transformWithStateInPandas(
             processor, _fields(df, *more), "append", mode, eventTimeColumnName=clock
         )
 
     if whole_lines:
-        rows = carry(rows, CarryLine(idle), T.StructField("lines", T.StringType()))
+        rows = carry(rows, CarryLine(stream, idle), T.StructField("lines", T.StringType()))
         text = F.col("lines")
     else:
         text = F.col("chunk").cast("string")
     parsed = rows.select(*columns, sse.deltas(text).alias("deltas"))
     tailed = carry(
         parsed,
-        CarryTail(window, idle),
+        CarryTail(stream, window, idle),
         T.StructField("tail", T.StringType()),
         T.StructField("late", T.BooleanType()),
     )
@@ -238,7 +290,7 @@ def scan_states(
         .otherwise(F.col("chunk"))
         .alias("chunk"),
     )
-    sent = frames.groupBy("stream_id").transformWithStateInPandas(CutAfterKill(), frames.schema, "append", "none")
+    sent = _bucketed(frames).transformWithStateInPandas(CutAfterKill(stream), frames.schema, "append", "none")
     return sent.unionByName(lost)
 
 
