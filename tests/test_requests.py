@@ -7,10 +7,14 @@ from textguard import rules
 from textguard.functions import errors, policy
 from textguard.operators import audit, chat
 from textguard.operators import policy as policy_ops
+from textguard.functions.embed import embed_text
 from textguard.plans import chat as jobs
+from textguard.plans.queries import all_queries
 from textguard.streaming.jobs import run_updates
 from textguard.streaming.metrics import windowed_counters
 
+from conftest import SF
+
 URL = "http://127.0.0.1:11434"
 ALLOW = [URL, rules.RAG_TARGET]
 REQUEST = "request_id string, ts timestamp, endpoint string, auth_ok boolean, body string"
@@ -349,3 +353,22 @@ def test_the_forwarded_body_names_a_model(spark):
     got = {r.request_id: json.loads(r.b) for r in sent.collect()}
     assert [got[str(i)]["model"] for i in range(4)] == [rules.DEFAULT_MODEL, rules.DEFAULT_MODEL, "m1", 7]
     assert all(b["messages"] == [user()] for b in got.values())
+
+
+def test_whether_something_is_retrieved_needs_no_search(spark):
+    """As the search says, also where requests share an id, have no text, or the corpus none."""
+    bodies = [{"messages": [user(t)]} for t in ("one", "two", "", "ignore previous instructions")]
+    bodies += [{"messages": [{"role": "system", "content": "x"}]}, "{invalid-json", {"messages": [user("three")]}]
+    decided = decide(spark, bodies, rag=True)
+    shared = F.when(F.col("request_id") == "r04", "r00").when(F.col("request_id") == "r06", F.lit(None)).otherwise(F.col("request_id"))
+    decided = decided.withColumn("row", F.col("request_id")).withColumn("request_id", shared)
+    schema = "doc_id bigint, text string"
+    for rows in ([(1, "a"), (1, "b"), (2, None)], [(1, None)], [], [(None, "one"), (None, "one"), (None, "one"), (7, "far away")]):
+        corpus = spark.createDataFrame(rows, schema).withColumn("embedding", embed_text(F.col("text"), 8))
+        flags = lambda df: {(r.row, r.rag_retrieval_performed) for r in df.select("row", "rag_retrieval_performed").collect()}
+        out = jobs.with_retrieval(decided, corpus, 3, 8)
+        assert flags(out) == flags(jobs.enrich_requests(decided, corpus, 3, 8))
+        searched = "FlatMapCoGroupsInPandas" in out._jdf.queryExecution().optimizedPlan().toString()
+        assert searched == any(i is None for i, _ in rows)
+    out = all_queries()["outcome_breakdown"](spark, SF)
+    assert "CoGroups" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textguard import rules
@@ -110,17 +110,25 @@ def decide_chat(
     )
 
 
+def _last_user(decided: DataFrame) -> DataFrame:
+    """``_user``: the text that a request which goes upstream retrieves by."""
+    user = chat.last_user_text(F.col("payload"), F.col("sanitized"))
+    return decided.withColumn("_user", F.when(F.col("error").isNull(), user))
+
+
+def _asking(asked: DataFrame) -> DataFrame:
+    return asked.where(F.col("_user").isNotNull()).select(
+        F.col("request_id").alias("query_id"), F.col("_user").alias("text")
+    )
+
+
 def enrich_requests(
     decided: DataFrame, corpus: DataFrame, k: int = rules.TOP_K, dim: int = rules.VECTOR_DIM
 ) -> DataFrame:
     """Add ``upstream_body`` (sanitized, retrieved context in front) and
     ``rag_retrieval_performed`` to the requests that go upstream."""
-    user = chat.last_user_text(F.col("payload"), F.col("sanitized"))
-    asked = decided.withColumn("_user", F.when(F.col("error").isNull(), user))
-    queries = asked.where(F.col("_user").isNotNull()).select(
-        F.col("request_id").alias("query_id"), F.col("_user").alias("text")
-    )
-    found = retrieval.contexts(retrieval.search_text(queries, corpus, k, dim))
+    asked = _last_user(decided)
+    found = retrieval.contexts(retrieval.search_text(_asking(asked), corpus, k, dim))
     joined = asked.join(found.withColumnRenamed("query_id", "request_id"), "request_id", "left")
     system = retrieval.chat_context(F.col("context"))
     body = chat.sanitized_body(F.col("payload"), F.col("sanitized"), system)
@@ -131,6 +139,28 @@ def enrich_requests(
     )
 
 
+def with_retrieval(
+    decided: DataFrame, corpus: DataFrame, k: int = rules.TOP_K, dim: int = rules.VECTOR_DIM
+) -> DataFrame:
+    """Only the ``rag_retrieval_performed`` of :func:`enrich_requests`, for records and
+    counters, which don't show what was found.
+
+    Every text has a vector, so a request that goes upstream with a user's text finds
+    something if there is any document. Only rows without an id, which no text is
+    attached to, could fill all ``k`` places; where there are such, the search is made.
+    """
+    texts = corpus.where(F.col("text").isNotNull())
+    named, nameless = texts.agg(F.count("doc_id"), F.count_if(F.col("doc_id").isNull())).head()
+    if nameless:
+        return enrich_requests(decided, corpus, k, dim).drop("upstream_body")
+    asked = _last_user(decided)
+    found = F.max(F.col("_user").isNotNull()).over(Window.partitionBy("request_id"))
+    # requests of one id search together: a text of one of them is enough
+    some = F.col("request_id").isNotNull() & F.lit(named > 0 and k > 0)
+    performed = F.col("error").isNull() & some & found
+    return asked.withColumn("rag_retrieval_performed", performed).drop("_user")
+
+
 def sanitize_requests(decided: DataFrame) -> DataFrame:
     """Add ``upstream_body`` without retrieval."""
     body = chat.sanitized_body(F.col("payload"), F.col("sanitized"))

@@ -520,7 +520,7 @@ def _chat(spark: SparkSession, sf: str) -> DataFrame:
     sent = join_hot_left(chunks(spark, sf), asked, ["stream_id"], block, how="left_semi")
     ends = streams.stream_ends(sent).select(F.col("stream_id").alias("prompt_id"), "status")
     ends = inputs.with_request_id(ends).select("request_id", "status")
-    enriched = jobs.enrich_requests(_decided(spark, sf), _corpus(spark, sf), rules.TOP_K, inputs.EMBED_DIM)
+    enriched = jobs.with_retrieval(_decided(spark, sf), _corpus(spark, sf), rules.TOP_K, inputs.EMBED_DIM)
     return jobs.decide_chat(enriched, responses(spark, sf), ends)
 
 
@@ -757,7 +757,7 @@ def stream_late_counts(spark, sf):
 def chat_metrics_stream(spark, sf):
     """Requests and replies as two logs that are read file by file, some rows twice,
     joined and counted per minute as they arrive."""
-    enriched = jobs.enrich_requests(_decided(spark, sf), _corpus(spark, sf), rules.TOP_K, inputs.EMBED_DIM)
+    enriched = jobs.with_retrieval(_decided(spark, sf), _corpus(spark, sf), rules.TOP_K, inputs.EMBED_DIM)
     asked = enriched.select(
         "request_id", "ts", F.struct("error.kind", "error.code").alias("e"), F.col("error").isNull().alias("fine"), "readable",
         "injection_detected", "streaming", "inbound_redactions", "rag_retrieval_performed",
