@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from textguard import rules
+from textguard.operators import rate_limit as limits
 from textguard.operators import streams
 from textguard.streaming import scan
 from textguard.operators.rate_limit import rate_limit
@@ -171,6 +172,24 @@ def test_rate_limit_twenty_first(spark):
     assert [r.id for r in out.where("NOT accepted").collect()] == [20]
 
 
+def test_rate_limit_walks_times_not_requests(spark, monkeypatch):
+    """Many requests of few times: the one task of a key gets a short row for each time."""
+    walked = spark.sparkContext.accumulator(0)
+    limit_of = limits.accept_in_order
+
+    def counted(times, log, limit, window):
+        walked.add(len(times))
+        return limit_of(times, log, limit, window)
+
+    monkeypatch.setattr(limits, "accept_in_order", counted)
+    rows = [(i, 1, i * 7919 % 3000 // 300 * 4) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id bigint, k bigint, t bigint").select("id", "k", F.timestamp_seconds("t").alias("ts"))
+    out = rate_limit(df.repartition(4), "k", "ts", "id", 5, 9)
+    want = expected_limits(sorted(rows, key=lambda r: (r[2], r[0])), 5, 9)
+    assert {r.id: r.accepted for r in out.collect()} == want and any(want.values())
+    assert 0 < walked.value <= 10 * 5
+
+
 def test_rate_limit_keeps_rows_and_values(spark):
     """Rows without a key, and large numbers next to nulls, come out unchanged."""
     big = 2**60 + 1

@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textguard import rules
 
@@ -96,31 +95,36 @@ def rate_limit(
     columns = list(events.columns)
     sparse = labelled.where(F.col("_run").isNull()).select(*columns, F.lit(True).alias("accepted"))
 
-    walked = labelled.where(F.col("_run").isNotNull()).select(*columns, "_key", "_run", "_t")
-    schema = T.StructType([*walked.schema.fields, T.StructField("accepted", T.BooleanType())])
+    # of requests of one time the first by ``order`` are accepted, ``limit`` at most: how
+    # many is all that has to be found in order, from one short row for each time
+    place = Window.partitionBy("_key", "_run", "_t").orderBy(order)
+    crowded = labelled.where(F.col("_run").isNotNull()).select(*columns, "_key", "_run", "_t")
+    walked = crowded.groupBy("_key", "_run", "_t").agg(F.least(F.count("*"), F.lit(limit)).alias("_n"))
+    schema = "_key string, _run bigint, _t bigint, _accepted bigint"
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, log = None, deque()
         for batch in batches:
-            keys, runs, times = (
-                batch.column(c).to_numpy(zero_copy_only=False) for c in ("_key", "_run", "_t")
-            )
-            accepted = np.zeros(len(times), dtype=bool)
+            keys, runs, times, counts = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_key", "_run", "_t", "_n"))
+            at = np.r_[0, np.cumsum(counts)]
+            each = np.repeat(times, counts)
+            total = np.zeros(len(each) + 1, dtype=np.int64)
             new = np.flatnonzero((keys[1:] != keys[:-1]) | (runs[1:] != runs[:-1])) + 1
             for lo, hi in zip([0, *new], [*new, len(times)]):
                 if hi > lo:
                     if (keys[lo], runs[lo]) != current:
                         current, log = (keys[lo], runs[lo]), deque()
-                    accepted[lo:hi] = accept_in_order(times[lo:hi], log, limit, window)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(accepted)], names=[*batch.schema.names, "accepted"]
-            )
+                    accepted = accept_in_order(each[at[lo] : at[hi]], log, limit, window)
+                    total[at[lo] + 1 : at[hi] + 1] = accepted
+            total = np.cumsum(total)
+            accepted = pa.array(total[at[1:]] - total[at[:-1]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], accepted], ["_key", "_run", "_t", "_accepted"])
 
     # batches stream through: a task keeps ``limit`` times, never a whole run
+    decided = walked.repartition("_key", "_run").sortWithinPartitions("_key", "_run", "_t").mapInArrow(walk, schema)
     dense = (
-        walked.repartition("_key", "_run")
-        .sortWithinPartitions("_key", "_run", "_t", order)
-        .mapInArrow(walk, schema)
-        .select(*columns, "accepted")
+        crowded.withColumn("_place", F.row_number().over(place))
+        .join(decided, ["_key", "_run", "_t"])
+        .select(*columns, (F.col("_place") <= F.col("_accepted")).alias("accepted"))
     )
     return sparse.unionByName(dense).unionByName(timeless)
