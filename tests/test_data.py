@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from textguard.functions import embed
 from textguard.functions.embed import embed_text
 from textguard.operators import audit, profile, retrieval
 from textguard.plans.queries import all_queries
@@ -54,6 +55,40 @@ def test_topk_forms_agree(spark, monkeypatch, k):
     assert hits(retrieval.vector_topk_few(qs, cs, k)) == want
 
 
+def test_nearest_rows_in_steps_and_by_single_precision():
+    """Copies, zero rows and distances closer than single precision tells, over steps
+    and batches; what is measured at once doesn't grow with the queries."""
+    rng = np.random.RandomState(3)
+    corpus = rng.normal(size=(700, 5))
+    corpus[100:400] = corpus[0]
+    corpus[400:500] = corpus[1] + rng.normal(size=(100, 5)) * 1e-9
+    corpus[[7, 690]] = 0
+    queries = np.vstack([corpus[:3], np.zeros((2, 5)), rng.normal(size=(1200, 5))])
+    corpus, queries = embed.unit_rows(corpus), embed.unit_rows(queries)
+    ids = rng.permutation(700)
+    most = []
+
+    class Measured(embed.NearestRows):
+        def _near(self, part, *args):
+            most.append(len(self.queries[part]))
+            return super()._near(part, *args)
+
+    exact = embed.cosine_distances(queries, corpus)
+    for k in (1, 4, 900):
+        best = Measured(queries, k)
+        for lo in range(0, 700, 150):
+            best.add(ids[lo : lo + 150], corpus[lo : lo + 150])
+        rows, cols = np.indices(exact.shape).reshape(2, -1)
+        want = embed.smallest(rows, ids[cols], exact[rows, cols], min(k, 20))
+        got = embed.smallest(best.rows, best.ids, best.dist, min(k, 20))
+        assert np.array_equal(got[0], want[0]) and np.allclose(got[2], want[2], atol=2e-12, rtol=0)
+        # near ties within rounding may change places
+        same = got[1] == want[1]
+        assert same.mean() > 0.99 and np.allclose(got[2][~same], want[2][~same], atol=2e-12, rtol=0)
+        assert len(best.rows) == len(queries) * min(k, 700)
+    assert max(most) <= embed.NearestRows.STEP < len(queries)
+
+
 def test_topk_edges(spark):
     q, c = vectors(spark, [(1, [1.0, 0.0])], "query_id"), vectors(spark, [(5, [1.0, 0.0])], "doc_id")
     assert retrieval.vector_topk(q, c, 0).count() == 0

@@ -59,28 +59,85 @@ def smallest(rows: np.ndarray, ids: np.ndarray, dist: np.ndarray, k: int):
     return rows[keep], ids[keep], dist[keep]
 
 
+def few_of_each(rows: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Which rows to keep so that of equal ones the ``k`` with the smallest ids stay:
+    equal rows are equally near to everything."""
+    order = np.argsort(ids, kind="stable")
+    whole = np.ascontiguousarray(rows[order])
+    if not whole.size:
+        return order[: k if whole.shape[1] == 0 else None]
+    bytes_of = whole.view(np.dtype((np.void, whole.dtype.itemsize * whole.shape[1]))).ravel()
+    _, group, counts = np.unique(bytes_of, return_inverse=True, return_counts=True)
+    if counts.max() <= k:
+        return order
+    by = np.argsort(group, kind="stable")
+    place = np.arange(len(by)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return order[by[place < k]]
+
+
 class NearestRows:
-    """Running k nearest corpus rows for a block of queries."""
+    """Running k nearest corpus rows for a block of queries.
+
+    Products in single precision leave out what is surely farther than the k
+    nearest so far; only the rest is measured, in double precision. Queries go
+    in steps, so memory doesn't grow with their number times that of rows.
+    """
+
+    STEP, PAIRS = 512, 1 << 16
 
     def __init__(self, queries: np.ndarray, k: int):
         self.queries, self.k = queries, k
-        self.rows = np.array([], dtype=np.int64)
-        self.ids = np.array([], dtype=np.int64)
-        self.dist = np.array([], dtype=np.float64)
+        self.rough, self.zero = queries.astype(np.float32), ~queries.any(axis=1)
+        # the k-th nearest distance so far, and what single precision may be off by
+        self.bound = np.full(len(queries), np.inf)
+        self.slack = (queries.shape[1] + 16) * 2.0**-22
+        none = np.array([], dtype=np.int64)
+        self.found = [(none, none, np.array([], dtype=np.float64))] * len(range(0, len(queries), self.STEP))
+
+    rows = property(lambda self: np.concatenate([r for r, _, _ in self.found] or [[]]).astype(np.int64))
+    ids = property(lambda self: np.concatenate([i for _, i, _ in self.found] or [[]]))
+    dist = property(lambda self: np.concatenate([d for _, _, d in self.found] or [[]]))
 
     def add(self, ids: np.ndarray, corpus: np.ndarray) -> None:
-        distance = cosine_distances(self.queries, corpus)
-        if distance.shape[1] > self.k:
-            bound = np.partition(distance, self.k - 1, axis=1)[:, self.k - 1 : self.k]
-            rows, cols = np.nonzero(distance <= bound)
-        else:
-            rows, cols = np.indices(distance.shape).reshape(2, -1)
-        self.rows, self.ids, self.dist = smallest(
-            np.r_[self.rows, rows],
-            np.r_[self.ids, ids[cols]],
-            np.r_[self.dist, distance[rows, cols]],
-            self.k,
-        )
+        keep = few_of_each(corpus, ids, self.k)
+        ids, corpus = ids[keep], corpus[keep]
+        if not len(ids):
+            return
+        rough, empty = corpus.astype(np.float32).T, np.flatnonzero(~corpus.any(axis=1))
+        for n, lo in enumerate(range(0, len(self.queries), self.STEP)):
+            rows, cols = self._near(slice(lo, lo + self.STEP), rough, empty, ids)
+            if len(rows):
+                rows = rows + lo
+                dist = self._distances(rows, cols, corpus)
+                old = self.found[n]
+                new = smallest(np.r_[old[0], rows], np.r_[old[1], ids[cols]], np.r_[old[2], dist], self.k)
+                self.found[n] = new
+                last = np.flatnonzero(np.r_[new[0][1:] != new[0][:-1], True])
+                full = np.diff(np.r_[-1, last]) == self.k
+                self.bound[new[0][last[full]]] = new[2][last[full]]
+
+    def _near(self, part: slice, corpus: np.ndarray, empty: np.ndarray, ids: np.ndarray):
+        """Pairs that may be among the k nearest."""
+        near = self.rough[part] @ corpus
+        near[:, empty] = 1.0
+        zero = np.flatnonzero(self.zero[part])
+        if len(zero):  # as near to all: the smallest ids count
+            near[zero] = -4.0
+            near[np.ix_(zero, np.argsort(ids, kind="stable")[: self.k])] = 1.0
+        least = 1.0 - self.bound[part] - self.slack
+        new = np.flatnonzero(np.isinf(self.bound[part]))
+        if len(new) and near.shape[1] > self.k:
+            least[new] = -np.partition(-near[new], self.k - 1, axis=1)[:, self.k - 1] - 2 * self.slack
+        return np.nonzero(near >= np.nextafter(least.astype(np.float32), np.float32(-8))[:, None])
+
+    def _distances(self, rows: np.ndarray, cols: np.ndarray, corpus: np.ndarray) -> np.ndarray:
+        out = np.empty(len(rows))
+        for lo in range(0, len(rows), self.PAIRS):
+            q, c = self.queries[rows[lo : lo + self.PAIRS]], corpus[cols[lo : lo + self.PAIRS]]
+            distance = np.maximum(1.0 - np.einsum("ij,ij->i", q, c), 0.0)
+            distance[~q.any(axis=1) | ~c.any(axis=1)] = 0.0
+            out[lo : lo + self.PAIRS] = np.round(distance, 12)
+        return out
 
 
 def hash_planes(dim: int, tables: int, bits: int, seed: int = 7) -> np.ndarray:

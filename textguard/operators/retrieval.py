@@ -25,7 +25,7 @@ from textguard.functions.embed import (
 from textguard.functions.text import fill
 
 STEP = 4096  # corpus rows per matrix product
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 1 << 16  # of each side that meet in one task
 
 
 # --- corpus ---------------------------------------------------------------------
