@@ -321,6 +321,35 @@ def test_toxicity_pools_long_texts_in_chunks(monkeypatch):
     assert np.allclose(net.scores(texts), whole, atol=1e-5)
 
 
+def test_toxicity_learns_from_all_labelled_texts(spark):
+    """Texts over 32 KB too, which no sample held before."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" * 10 for i in range(300)]
+    text = lambda bad: " ".join(rng.choice(words[100 * bad : 200 + 100 * bad], 900))
+    docs = spark.createDataFrame([(i, text(i % 2), "en") for i in range(200)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(docs, labels).toPandas()
+    some = got[got["held_out"]]
+    assert len(some) > 10 and auc(some["doc_id"].to_numpy() % 2, some["score"].to_numpy()) > 0.95
+
+
+def test_thresholds_of_all_scored_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = [(lang, int(y), float(np.clip(rng.normal(0.3 + 0.4 * y, 0.15), 0, 1))) for lang in ("a", "b", None) for y in rng.integers(0, 2, 400)]
+    rows += [("rare", 1, 0.5)] * 5
+    scored = spark.createDataFrame([(str(n), y, s) for n, y, s in rows], "lang string, label int, score double")
+    own, general = toxicity.thresholds(scored, 0.3)
+    assert set(own) == {"a", "b", "None"}
+
+    def f1(some, limit):
+        y, hit = np.array([r[1] for r in some]), np.array([r[2] >= limit for r in some])
+        right, wrong = hit[y == 1].mean() * 0.3, hit[y == 0].mean() * 0.7
+        return 2 * right / (right + wrong + 0.3)
+
+    for some, limit in [([r for r in rows if str(r[0]) == n], t) for n, t in own.items()] + [(rows, general)]:
+        assert f1(some, limit) > max(f1(some, r[2]) for r in some) - 0.005
+
+
 def test_quality_on_held_out_rows(spark, odd, empty, labels):
     sf = "/root/testdata/sf0.01"
     got = queries.all_queries()["op9_quality_classifier"](spark, sf).toPandas()
