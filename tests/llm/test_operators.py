@@ -274,6 +274,12 @@ def test_lm_sample_grows_and_copies_are_dealt_out(spark, monkeypatch):
         assert len(copies) == len(sizes)
 
 
+def test_lm_learns_from_every_document(spark):
+    docs = written(spark.range(9000).selectExpr("id as doc_id", "'a ' || id as text"), "every")
+    chosen, shards = lm.sampled(docs, 9000, "text")
+    assert shards >= 1 and sorted(r["text"] for r in chosen.collect()) == sorted(r["text"] for r in docs.collect())
+
+
 def test_lm_averages_many_shards(spark, monkeypatch):
     """Networks that meet two at a time average as all together; a text far longer than others is among them."""
     monkeypatch.setattr(lm, "FIT_DOCS", 4)
