@@ -633,6 +633,55 @@ def test_near_passages_survive_smaller_texts_with_a_line(spark):
     assert all(v == k for k, v in got.items() if k % 1000 >= 100)
 
 
+def lines_in_many_texts():
+    """Forty texts have a line of 46 words; two have it in near passages of 50, with a changed word inside."""
+    rng = np.random.default_rng(9)
+    words = lambda n: [f"u{i}" for i in rng.integers(0, 10**6, n)]
+    docs = []
+    for group in range(8):
+        line = words(46)
+        p = words(2) + line + words(2)
+        docs += [(1000 * group + 100 + i, " ".join(words(60) + line + words(60))) for i in range(40)]
+        docs += [(1000 * group + i, " ".join(words(30) + x + words(30))) for i, x in enumerate((p, [*p[:25], "x", *p[26:]]))]
+    return docs
+
+
+@pytest.mark.parametrize("block", [512, 8])
+def test_near_passages_survive_a_long_line_in_many_texts(spark, monkeypatch, block):
+    monkeypatch.setattr(substring, "BLOCK", block)
+    rows = substring.repeated_passages(spark.createDataFrame(lines_in_many_texts(), "doc_id long, text string")).collect()
+    got = {r["doc_id"]: r["component_id"] for r in rows}
+    assert all(got[1000 * g] == got[1000 * g + 1] for g in range(8))
+    assert all(v == k for k, v in got.items() if k % 1000 >= 100)
+
+
+def test_zones_join_what_is_near_and_ask_for_what_may_be():
+    """Windows around one place: copies, near ones with words put in, periodic ones, a short common line."""
+    rng = np.random.default_rng(3)
+    width, draw = 46, lambda n: rng.integers(1, 2**32, n, dtype=np.uint64).astype(np.uint32)
+    size, base, wave = 121, draw(121), np.tile(draw(7), 18)[:121]
+    changed, moved = base.copy(), base.copy()
+    changed[70:75] = draw(5)
+    moved[66:] = np.concatenate([draw(5), base[66 : size - 5]])
+    line = draw(size)
+    line[40:75] = base[40:75]
+    zone = np.stack([base, base, changed, moved, wave, np.roll(wave, 3), line, draw(size), np.zeros(size, dtype=np.uint32)])
+    e, asks = np.arange(len(zone)), np.ones(len(zone), dtype=np.int64)
+    i, j = substring.near_in_zones(e, asks, zone, width, 0.8)
+    pairs = set(zip(i.tolist(), j.tolist()))
+    roots = list(range(len(zone)))
+    for a, b in sorted(pairs):
+        roots = [roots[b] if r == roots[a] else r for r in roots]
+    assert roots == [0, 0, 0, 0, 4, 4, 6, 7, 8] and all(a > b for a, b in pairs) and (2, 0) in pairs
+    none = substring.near_in_zones(e, np.zeros_like(asks), zone, width, 0.8)
+    assert len(none[0]) == 0
+    same = substring.near_in_zones(np.zeros_like(e), asks, zone, width, 0.8)
+    assert len(same[0]) == 0
+    # a thousand copies need one pair each
+    i, j = substring.near_in_zones(np.arange(300), np.ones(300), np.stack([base] * 300), width, 0.8)
+    assert len(i) == 299 and set(j.tolist()) == {0}
+
+
 def test_passages_of_odd_tables(spark, odd, empty):
     got = {(r["doc_id"], r["class_id"], r["n_words"]) for r in substring.repeated_passages(odd).collect()}
     assert (9, 1, 5) in got and (4, 4, 60_000) in got and (3, 2, 0) in got
