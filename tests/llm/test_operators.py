@@ -634,13 +634,13 @@ def test_near_passages_survive_smaller_texts_with_a_line(spark):
 
 
 def lines_in_many_texts():
-    """Forty texts have a line of 46 words; two have it in near passages of 50, with a changed word inside."""
+    """Forty texts have a line of 49 words; two have it in near passages of 50, with a changed word inside."""
     rng = np.random.default_rng(9)
     words = lambda n: [f"u{i}" for i in rng.integers(0, 10**6, n)]
     docs = []
     for group in range(8):
-        line = words(46)
-        p = words(2) + line + words(2)
+        line = words(49)
+        p = line + words(1)
         docs += [(1000 * group + 100 + i, " ".join(words(60) + line + words(60))) for i in range(40)]
         docs += [(1000 * group + i, " ".join(words(30) + x + words(30))) for i, x in enumerate((p, [*p[:25], "x", *p[26:]]))]
     return docs
