@@ -339,6 +339,22 @@ def test_toxicity_learns_from_all_labelled_texts(spark):
     assert len(some) > 10 and auc(some["doc_id"].to_numpy() % 2, some["score"].to_numpy()) > 0.95
 
 
+def test_toxicity_moves_only_texts_that_train(spark, monkeypatch):
+    """Rows set aside for the thresholds are scored where they are read; labels decide as before."""
+    moved, scored = [], []
+    bucketed, thresholds = toxicity.bucketed, toxicity.thresholds
+    monkeypatch.setattr(toxicity, "bucketed", lambda df, *more: moved.append(bucketed(df, *more)) or moved[-1])
+    monkeypatch.setattr(toxicity, "thresholds", lambda df, share: scored.append(df.toPandas()) or thresholds(df, share))
+    docs = [(i, f"w{i} bad" if i % 2 else f"w{i} good", "x") for i in range(400)] + [(7, "again", None), (None, "no key", "x")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(5, 0)], "doc_id long, toxic int")
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    assert toxicity.score_toxicity(df, labels).count() == 402
+    aside = {i for i in range(300) if i != 5 and zlib.crc32(str(i).encode()) % 5 and zlib.crc32(f"fold#{i}".encode()) % 5 == 0}
+    train = {i for i in range(300) if i != 5 and zlib.crc32(str(i).encode()) % 5} - aside
+    assert {r["text"] for r in moved[0].collect()} - {"again"} == {docs[i][1] for i in train}
+    assert len(scored[0]) == len(aside) + (7 in aside) and scored[0]["label"].sum() == sum(i % 2 for i in aside) + (7 in aside)
+
+
 def test_thresholds_of_all_scored_rows(spark):
     rng = np.random.default_rng(6)
     rows = [(lang, int(y), float(np.clip(rng.normal(0.3 + 0.4 * y, 0.15), 0, 1))) for lang in ("a", "b", None) for y in rng.integers(0, 2, 400)]
