@@ -698,6 +698,36 @@ def test_zones_join_what_is_near_and_ask_for_what_may_be():
     assert len(i) == 299 and set(j.tolist()) == {0}
 
 
+def test_blocks_of_one_group_take_one_link_more():
+    """Two blocks of near windows: each has its star, and between them is one link, not one for each window."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(1, 2**32, 121, dtype=np.uint64).astype(np.uint32)
+    e, side, zone = np.arange(400), np.arange(400) % 2, np.stack([base] * 400)
+    star, root, settled = (np.zeros(400, dtype=np.int64) for _ in range(3))
+    for k in (0, 1):
+        at = np.flatnonzero(side == k)
+        i, j, a, b, c = substring.met_in_zones(e[at], np.ones(200), zone[at], 46, 0.8)
+        assert len(i) == 199 and set(j.tolist()) == {0}
+        star[at], root[at], settled[at] = at[a], at[b], c
+    before = star, root, settled.astype(bool)
+    i, j = substring.near_in_zones(e, np.ones(400), zone, 46, 0.8, side, before)
+    assert i.tolist() == [1] and j.tolist() == [0]  # the one that had no earlier text joins the groups
+    # with nothing known, the windows of a side meet those of the other only
+    i, j = substring.near_in_zones(e, np.ones(400), zone, 46, 0.8, side, (e, e, np.zeros(400, dtype=bool)))
+    assert len(i) >= 399 and (side[i] != side[j]).all()
+
+
+def test_sure_links_join_two_groups_once():
+    """Windows near the first of two other texts each, and near one another: no link for each pair of them."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(1, 2**32, 121, dtype=np.uint64).astype(np.uint32)
+    tails = [base.copy(), base.copy()]
+    tails[0][:45], tails[1][76:] = 0, 0  # each lacks one side, so these two are not near through the centre
+    zone = np.stack([*tails, *[base] * 200])
+    i, j = substring.near_in_zones(np.arange(202), np.ones(202), zone, 46, 0.8)
+    assert len(i) <= 2 * 201 and set(range(1, 202)) <= set(i.tolist()) | {1}
+
+
 def test_passages_of_odd_tables(spark, odd, empty):
     got = {(r["doc_id"], r["class_id"], r["n_words"]) for r in substring.repeated_passages(odd).collect()}
     assert (9, 1, 5) in got and (4, 4, 60_000) in got and (3, 2, 0) in got
