@@ -490,6 +490,15 @@ def test_packing_round_trip(spark, odd, empty):
     assert packing.pack(empty, WORDS).count() == 0
 
 
+def test_remembered_words_are_forgotten():
+    """A worker that goes on to another stage doesn't keep them, and meets them again as new."""
+    ids = packing.encode_batch(WORDS, [b"some words, once more", b""])
+    assert packing._STATE[WORDS][2]
+    packing.forget()
+    assert not packing._STATE[WORDS][2]
+    assert ids == packing.encode_batch(WORDS, [b"some words, once more", b""])
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plans_hold_every_length(seed):
     rng = np.random.default_rng(seed)

@@ -38,6 +38,7 @@ END_ID = 1
 BINS = 256
 
 _CLOSED = re.compile(rb"([A-Za-z\x80-\xff]*[A-Za-z])([.,;:!?]+)")
+_MARKS = frozenset(b".,;:!?")
 _STATE: dict[str, tuple] = {}
 
 
@@ -49,8 +50,9 @@ def _encoded(model, last: np.ndarray, words: list[bytes]) -> Iterator[tuple[byte
     """(word, ids) of each. Words of letters alone go in groups, in a text of their
     own each: there a word is one unit, and its last token is marked as such."""
     texts = [w.decode() for w in words]
-    alone = [i for i, t in enumerate(texts) if not t.isalpha()]
-    letters = [i for i, t in enumerate(texts) if t.isalpha()]
+    alone, letters = [], []
+    for i, t in enumerate(texts):
+        (letters if t.isalpha() else alone).append(i)
     groups = [letters[a : a + GROUP] for a in range(0, len(letters), GROUP)]
     joined = model.encode_batch_fast([" ".join(texts[i] for i in g) for g in groups], add_special_tokens=False)
     for group, encoding in zip(groups, joined):
@@ -86,7 +88,7 @@ def _looked_up(path: str, words: list[bytes]) -> list[bytes]:
     fresh = set(words).difference(known)
     if fresh:
         # a word with closing marks is two tokens' worth of the same pattern
-        closed = {w: m.groups() for w in fresh if (m := _CLOSED.fullmatch(w))}
+        closed = {w: m.groups() for w in fresh if w[-1] in _MARKS and (m := _CLOSED.fullmatch(w))}
         whole = {x for pair in closed.values() for x in pair}.union(fresh.difference(closed)).difference(known)
         known.update(_encoded(model, last, list(whole)))
         known.update((w, known[a] + known[b]) for w, (a, b) in closed.items())
@@ -97,6 +99,12 @@ def _looked_up(path: str, words: list[bytes]) -> list[bytes]:
     return out
 
 
+def forget() -> None:
+    """A worker lives on after its job: the memory of its words is for what comes next."""
+    for _, _, known in _STATE.values():
+        known.clear()
+
+
 def token_ids(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all texts one after the other, and where each text's begin.
 
@@ -352,6 +360,7 @@ def pack(
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, rows = shared.value
+        forget()  # the words that this worker remembers were for the pieces
         for batch in batches:
             if not batch.num_rows:
                 continue
