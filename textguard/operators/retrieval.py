@@ -7,10 +7,13 @@ the k nearest of a block leave it, so no table of pairs is ever built.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,9 +26,11 @@ from textguard.functions.embed import (
     unit_rows,
 )
 from textguard.functions.text import fill
+from textguard.session import checkpoint_dir
 
 STEP = 4096  # corpus rows per matrix product
-BLOCK_ROWS = 1 << 16  # of each side that meet in one task
+BLOCK_ROWS = 1 << 16  # of each side of a bucket that meet in one task
+BLOCK_BYTES = 8 << 20  # vectors that are written as one row where all meet all
 
 
 # --- corpus ---------------------------------------------------------------------
@@ -165,12 +170,15 @@ def vector_topk(
 ) -> DataFrame:
     """Exact (query_id, doc_id, distance, rank): the k nearest by cosine
     distance, ties by doc_id. Fewer than k if the corpus is smaller. Queries meet
-    the corpus block by block; nothing is read while the plan is built. Rows
-    whose vector is null or holds a null take no part."""
-    queries, corpus = _usable(_check_dim(queries, dim)), _usable(_check_dim(corpus, dim))
+    the corpus block by block; the vectors of both are written to the shared folder
+    while the plan is built. Rows whose vector is null or holds a null take no part."""
+    queries, corpus = _check_dim(queries, dim), _check_dim(corpus, dim)
     if k <= 0:
         return _empty_topk(queries)
-    return _rank(vector_pairs(queries, corpus, k), k)
+    # of equally near rows those without an id are taken last, whatever part they are in
+    order = Window.partitionBy("query_id").orderBy("distance", F.asc_nulls_last("doc_id"))
+    pairs = vector_pairs(queries, corpus, k).withColumn("_place", F.row_number().over(order))
+    return _rank(pairs.where(F.col("_place") <= k).drop("_place"), k)
 
 
 def vector_topk_few(
@@ -190,11 +198,93 @@ def vector_topk_few(
     return _rank(_scan_topk(corpus, ids, vectors, k, pairs_schema(queries)), k)
 
 
+def _blocks(df: DataFrame, key: str) -> DataFrame:
+    """(key: array, rows: binary): vectors of length one, about ``BLOCK_BYTES`` of them in
+    a row, as a table in the shared folder, so that they are made once. Vectors that are
+    null or hold a null stay out; here, as a filter makes Spark compute them again."""
+    spark, id_type = df.sparkSession, df.schema[key].dataType.simpleString()
+
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        batch = batch.filter(batch.column(1).is_valid())
+        holes = np.asarray(batch.column(1).flatten().is_null())
+        if not holes.any():
+            return batch
+        ends = np.cumsum(np.asarray(pc.list_value_length(batch.column(1)), dtype=np.int64))
+        until = np.concatenate([[0], np.cumsum(holes)])[ends]
+        return batch.filter(pa.array(until == np.concatenate([[0], until[:-1]])))
+
+    def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        block = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        sizes, numbers = pc.list_value_length(block.column(1)).to_numpy(), block.column(1).flatten()
+        if (sizes != sizes[0]).any():
+            raise ValueError("embeddings differ in their number of numbers")
+        matrix = unit_rows(numbers.to_numpy().reshape(len(sizes), sizes[0]))
+        ids = pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), block.column(0))
+        return pa.RecordBatch.from_arrays([ids, pa.array([matrix.tobytes()])], [key, "rows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, room = [], 0
+        for batch in map(whole, batches):
+            while batch.num_rows:
+                if not held:
+                    room = max(1, BLOCK_BYTES // max(8, 8 * len(batch.column(1)[0])))
+                held.append(batch.slice(0, room))
+                room -= held[-1].num_rows
+                batch = batch.slice(held[-1].num_rows)
+                if not room:
+                    yield joined(held)
+                    held = []
+        if held:
+            yield joined(held)
+
+    folder = f"{checkpoint_dir(spark)}/textguard-vectors-{uuid.uuid4().hex}"
+    made = df.select(key, "embedding").mapInArrow(run, f"{key} array<{id_type}>, rows binary")
+    # row groups of one block or few: a reader holds a whole one
+    sizes = {"parquet.block.size": BLOCK_BYTES, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+    made.write.options(**sizes).parquet(folder)
+    return spark.read.schema(made.schema).parquet(folder)
+
+
+def _matrix(rows: pa.Scalar, n: int) -> np.ndarray:
+    numbers = np.frombuffer(rows.as_buffer(), dtype=np.float64)
+    return numbers.reshape(n, len(numbers) // n)
+
+
 def vector_pairs(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    one = F.lit(0).alias("_g")
-    return _grid_topk(
-        queries.select(one, "query_id", "embedding"), corpus.select(one, "doc_id", "embedding"), ["_g"], k
-    )
+    """(query_id, doc_id, distance): the k nearest of each part of the corpus. Parts of
+    both tables meet in a cartesian product that reads them where they were written, so
+    nothing is copied for each block of the other side."""
+    left = _blocks(queries, "query_id").withColumn("block", F.monotonically_increasing_id())
+    right = _blocks(corpus, "doc_id").withColumnRenamed("rows", "others")
+    nameless = np.iinfo(np.int64).max  # the last of equally near ones
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, best, own, lost = None, None, None, False
+
+        def out() -> pa.RecordBatch:
+            found = best.ids.astype(np.int64)
+            docs = pa.array(found, mask=(found == nameless) if lost else None)
+            columns = [own.take(pa.array(best.rows)), docs, pa.array(best.dist, pa.float64())]
+            return pa.RecordBatch.from_arrays(columns, ["query_id", "doc_id", "distance"])
+
+        for batch in batches:
+            for n in range(batch.num_rows):
+                ids, rows, number, docs, others = (column[n] for column in batch.columns)
+                if number.as_py() != block:  # all blocks of the corpus come for one of queries
+                    if best is not None:
+                        yield out()
+                    block, own = number.as_py(), ids.values
+                    best = NearestRows(_matrix(rows, len(own)), k)
+                lost = lost or docs.values.null_count > 0
+                doc_ids = pc.fill_null(docs.values.cast(pa.int64()), nameless).to_numpy()
+                corpus_rows = _matrix(others, len(doc_ids))
+                for at in range(0, len(doc_ids), STEP):
+                    best.add(doc_ids[at : at + STEP], corpus_rows[at : at + STEP])
+        if best is not None:
+            yield out()
+
+    pairs = left.hint("shuffle_replicate_nl").crossJoin(right)
+    return pairs.select("query_id", "rows", "block", "doc_id", "others").mapInArrow(nearest, pairs_schema(queries))
 
 
 def vector_topk_lsh(
