@@ -253,9 +253,16 @@ def _matrix(rows: pa.Scalar, n: int) -> np.ndarray:
 def vector_pairs(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, distance): the k nearest of each part of the corpus. Parts of
     both tables meet in a cartesian product that reads them where they were written, so
-    nothing is copied for each block of the other side."""
-    left = _blocks(queries, "query_id").withColumn("block", F.monotonically_increasing_id())
-    right = _blocks(corpus, "doc_id").withColumnRenamed("rows", "others")
+    nothing is copied for each block of the other side. Tables of one block each meet in
+    one task."""
+    left, right = _blocks(queries, "query_id"), _blocks(corpus, "doc_id")
+    size = F.coalesce(F.sum(F.length("rows")), F.lit(0))
+    if all(blocks.select(size).head()[0] <= BLOCK_BYTES for blocks in (left, right)):
+        one = F.lit(0).alias("_g")
+        sides = (_usable(df).select(one, key, "embedding") for df, key in ((queries, "query_id"), (corpus, "doc_id")))
+        return _grid_topk(*sides, ["_g"], k)
+    left = left.withColumn("block", F.monotonically_increasing_id())
+    right = right.withColumnRenamed("rows", "others")
     nameless = np.iinfo(np.int64).max  # the last of equally near ones
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
